@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequence import is_id, read_key
-from ..plans.workspace import table
+from ..plans.workspace import Workspace, table
 from . import sql
+from .components import connected_components, star_edges
+from .heavy_items import most_frequent
 from .seen_keys import SeenKeys, batches
+from .shared_spans import shared_spans
 from .term_counts import TermCounts, spell
 
 # -- 1. has this key been seen before?
@@ -101,5 +104,61 @@ def p2_update(spark: SparkSession, d: str) -> DataFrame:
     return _all_counts(r)
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_counts": p2_counts, "p2_update": p2_update}
+# -- 5. most frequent items
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most frequent keys per field: exact rows, the count of the summary and its error bound."""
+    reads = table(spark, d, "read_seqs").select(read_key("seq").alias("item"))
+    hits = table(spark, d, "kmer_hits").where(is_id("kmer_id")).select(F.col("kmer_id").alias("item"))
+    a = most_frequent(reads, "item", 10).withColumn("field", F.lit("read_seqs.seq"))
+    b = most_frequent(hits, "item", 10).withColumn("field", F.lit("kmer_hits.kmer_id"))
+    return a.unionByName(b).withColumnRenamed("item", "item_key")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_report(spark, d).select("field", "item_key")
+
+
+# -- 6. consolidating pairwise matches into groups
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    ws = Workspace(spark, "matches")
+    skip = table(spark, d, "promiscuous_classes").where("kmer_id is not null").select("kmer_id").distinct()  # a fixed list
+    hits = table(spark, d, "kmer_hits").where(is_id("kmer_id")).select("kmer_id", "transcript_id").join(skip, "kmer_id", "left_anti")
+    genes = table(spark, d, "transcripts").where("gene_id <> 0").select("gene_id", "transcript_id")
+    edges = star_edges(hits, "kmer_id", "transcript_id", ws, "classes").unionByName(star_edges(genes, "gene_id", "transcript_id", ws, "genes"))
+    return connected_components(edges, "u", "v").select(F.col("node").alias("transcript_id"), F.col("component").alias("group_id"))
+
+
+# -- 7. long exact spans shared between records
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "transcripts").select("transcript_id", "kmers")
+    return shared_spans(t, "transcript_id", "kmers", 32).withColumnRenamed("rec", "transcript_id")
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per transcript: shared positions, their share of kmers, and that share of its length."""
+    t = table(spark, d, "transcripts").where("transcript_id is not null")
+    sizes = t.groupBy("transcript_id").agg(F.max(F.coalesce(F.size("kmers"), F.lit(0))).cast("long").alias("n_kmers"), F.max("length").alias("length"))
+    spans = p7_found(spark, d).groupBy("transcript_id").agg(F.sum(F.col("span_end") - F.col("span_start") + 1).alias("n_shared"), F.count(F.lit(1)).alias("n_spans"))
+    share = F.when(F.col("n_kmers") > 0, F.round(F.coalesce("n_shared", F.lit(0)) / F.col("n_kmers"), 6)).otherwise(F.lit(0.0))
+    return sizes.join(spans, "transcript_id", "left").select(
+        "transcript_id",
+        "n_kmers",
+        F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
+        F.coalesce("n_shared", F.lit(0)).alias("n_shared"),
+        share.alias("shared_share"),
+        F.round(share * F.col("length"), 2).alias("shared_length"),
+    )
+
+
+QUERIES = {
+    name: f
+    for name, f in globals().items()
+    if name[0] == "p" and name[1].isdigit() and callable(f)
+}
 ORACLE = sql.ORACLE
