@@ -10,9 +10,11 @@ from ..plans.workspace import Workspace, table
 from . import sql
 from .components import connected_components, star_edges
 from .heavy_items import most_frequent
+from .mixing import mix
 from .seen_keys import SeenKeys, batches
 from .shared_spans import shared_spans
 from .term_counts import TermCounts, spell
+from .tokenizer import encode, measure
 
 # -- 1. has this key been seen before?
 
@@ -156,6 +158,32 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# -- 8. encoding of the corpus
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode(table(spark, d, "documents"), "doc_id", "text")
+
+
+# -- 9. mixing sources
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents").where("source is not null")
+    sized = Workspace(spark, "mix").write(measure(docs, ["doc_id", "source"], "text"), "sized")
+    return mix(sized, table(spark, d, "source_weights"), "doc_id", "source", "n_tokens", "diversity")
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mix with the number of times each is used."""
+    return _mixed(spark, d)[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Per listed source: its target share, what it had, what was used, and the share reached."""
+    return _mixed(spark, d)[1]
+
+
 QUERIES = {
     name: f
     for name, f in globals().items()
