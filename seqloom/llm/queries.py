@@ -9,6 +9,7 @@ from ..functions.sequence import is_id, read_key
 from ..plans.workspace import Workspace, table
 from . import sql
 from .components import connected_components, star_edges
+from .garbled import garbled_documents, restore
 from .heavy_items import most_frequent
 from .mixing import mix
 from .seen_keys import SeenKeys, batches
@@ -184,6 +185,18 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
+# -- 10. garbled text from wrong character encoding
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled_documents(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The garbled documents with their text restored as far as possible."""
+    return restore(table(spark, d, "documents"), "doc_id", "text")
+
+
 QUERIES = {
     name: f
     for name, f in globals().items()
