@@ -52,17 +52,17 @@ def _windows(x: np.ndarray, k: int, combine) -> np.ndarray:
     return acc
 
 
-def packed_kmers(offsets: np.ndarray, raw: np.ndarray, k: int, both_strands: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(packed k-mer, row number) of each valid window; canonical if ``both_strands``.
+def packed_windows(offsets: np.ndarray, raw: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(packed window, its packed reverse complement, row number, position in the row from 0) of each valid window.
 
     A window is valid if it lies in one row and holds only A, C, G, T (either case).  The packing keeps the
     order of the strings, so the lesser number is the lesser string.
     """
     if not 1 <= k <= MAX_PACKED:
         raise ValueError(f"k must be from 1 to {MAX_PACKED} for packed k-mers")
-    n = len(raw)
+    n, none = len(raw), np.zeros(0, np.int64)
     if n < k:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return none, none, none, none
     code = _CODE[raw]
     bad = np.zeros(n + 1, np.int64)
     np.cumsum(code == 4, out=bad[1:])
@@ -71,10 +71,15 @@ def packed_kmers(offsets: np.ndarray, raw: np.ndarray, k: int, both_strands: boo
     start = np.flatnonzero((bad[k:] == bad[:last]) & (row[k - 1 :] == row[:last]))
     bits = (code & 3).astype(np.int64)
     forward = _windows(bits, k, lambda a, b, wide, _: (a << (2 * wide)) | b)[start]
-    if both_strands:
-        other = _windows(3 - bits, k, lambda a, b, _, left: (b << (2 * left)) | a)[start]
-        forward = np.minimum(forward, other)
-    return forward, row[start]
+    backward = _windows(3 - bits, k, lambda a, b, _, left: (b << (2 * left)) | a)[start]
+    at = row[start]
+    return forward, backward, at, start - offsets[at]
+
+
+def packed_kmers(offsets: np.ndarray, raw: np.ndarray, k: int, both_strands: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(packed k-mer, row number) of each valid window; canonical if ``both_strands``."""
+    forward, backward, row, _ = packed_windows(offsets, raw, k)
+    return np.minimum(forward, backward) if both_strands else forward, row
 
 
 def unpack(kmers: np.ndarray, k: int) -> pa.Array:

@@ -39,3 +39,18 @@ def read_key(seq: Column | str) -> Column:
 def is_id(c: Column | str) -> Column:
     """True where a class id is neither null nor the INVALID marker -1."""
     return _col(c).isNotNull() & (_col(c) != -1)
+
+
+def overlaps(a: Column | str, b: Column | str, k: int) -> Column:
+    """Whether the last k - 1 symbols of a are the first of b."""
+    return F.right(_col(a), F.lit(k - 1)) == F.left(_col(b), F.lit(k - 1))
+
+
+def phred_probability(q: Column | str) -> Column:
+    """Probability that a base is right; qualities 0 and 1 say nothing."""
+    return F.when(_col(q) <= 1, F.lit(0.25)).otherwise(1 - F.pow(F.lit(10.0), -_col(q) / 10.0))
+
+
+def phred_log(q: Column | str) -> Column:
+    """Natural log of the probability that a base is right; null for quality 0."""
+    return F.when(_col(q) > 0, F.log(1 - F.pow(F.lit(10.0), -_col(q) / 10.0)))
