@@ -54,3 +54,15 @@ def phred_probability(q: Column | str) -> Column:
 def phred_log(q: Column | str) -> Column:
     """Natural log of the probability that a base is right; null for quality 0."""
     return F.when(_col(q) > 0, F.log(1 - F.pow(F.lit(10.0), -_col(q) / 10.0)))
+
+
+def log_add(a: Column, b: Column) -> Column:
+    """ln(exp(a) + exp(b)); null stands for the logarithm of zero."""
+    high, low = F.greatest(a, b), F.least(a, b)
+    both = high + F.log1p(F.exp(low - high))
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(both)
+
+
+def log_subtract(a: Column, b: Column) -> Column:
+    """ln(exp(a) - exp(b)); null (zero) where a is not above b."""
+    return F.when(b.isNull(), a).when(a > b, a + F.log1p(-F.exp(b - a)))
