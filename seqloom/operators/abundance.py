@@ -234,20 +234,21 @@ def project_to_polytope(counts: DataFrame, rounds: int = 10_000) -> DataFrame:
 
 
 def clamp(est: np.ndarray, lo: np.ndarray, hi: np.ndarray, rounds: int) -> np.ndarray:
-    """Clamp to [lo, hi] and give the surplus or want to the values still free, in proportion, keeping the sum."""
-    x, whole = est.astype(float).copy(), float(est.sum())
-    fixed = np.zeros(len(x), bool)
+    """Clamp to [lo, hi]; what the clamped values leave of the sum goes to the free ones in proportion. When none is free
+    and the sum is not met, all are free again."""
+    x, whole = est.astype(float), float(est.sum())
+    held = np.zeros(len(x), bool)
     for _ in range(rounds):
-        low, high = (x < lo - 1e-9) & ~fixed, (x > hi + 1e-9) & ~fixed
-        if not (low | high).any():
+        held |= (x > hi) | (x < lo)
+        x = np.where(x > hi, hi, np.where(x < lo, lo, x))
+        if abs(x.sum() - whole) < EPSILON * max(1.0, whole):
             break
-        x = np.where(low, lo, np.where(high, hi, x))
-        fixed |= low | high
-        free = ~fixed
-        rest = whole - x[fixed].sum()
-        if not free.any() or x[free].sum() <= 0:
+        if x[~held].sum() == 0:
+            held[:] = False
+        free = x[~held].sum()
+        if free == 0:
             break
-        x[free] *= max(rest, 0.0) / x[free].sum()
+        x[~held] *= (whole - x[held].sum()) / free
     return x
 
 
