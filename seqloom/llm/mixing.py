@@ -35,7 +35,7 @@ def budgets(available: dict[str, int], weights: dict[str, tuple[float, int]], to
 
 
 def mix(sized: DataFrame, weights: DataFrame, doc: str, source: str, n_tokens: str, quality: str, total: int | None = None, seed: int = 0, bins: int = 4096, least_quality: float = 0.05) -> tuple[DataFrame, DataFrame]:
-    """(documents with ``copies``, report per source).
+    """(documents with ``copies``, report per source): one row for every document that could be used, copies 0 if it is not.
 
     ``sized`` should be a written table, as it is read several times. ``weights``: source, target_share,
     max_repeats, one row per source (of several, shares add up and the least cap holds); a null cap is 1.
@@ -69,12 +69,12 @@ def mix(sized: DataFrame, weights: DataFrame, doc: str, source: str, n_tokens: s
     edge = placed.where("rest > 0 and before < rest and before + in_bin > rest")
     prefix = F.sum("n").over(Window.partitionBy("src").orderBy("key", "doc").rowsBetween(Window.unboundedPreceding, 0))
     edge = edge.withColumn("more", F.col("before") + prefix <= F.col("rest"))
-    chosen = whole.unionByName(edge).withColumn("copies", F.col("epochs") + F.col("more").cast("long")).where("copies > 0")
+    chosen = whole.unionByName(edge).withColumn("copies", F.col("epochs") + F.col("more").cast("long"))
     chosen = chosen.select(F.col("doc").alias(doc), F.col("src").alias(source), F.col("n").alias(n_tokens), "copies")
 
     facts = [(s, r.target_share, int(r.max_repeats), *sizes.get(s, (0, 0))) for s, r in rows.items()]
     facts = spark.createDataFrame(facts, "source string, target_share double, max_repeats int, n_documents long, n_available long")
-    used = chosen.groupBy(F.col(source).alias("source")).agg(
+    used = chosen.where("copies > 0").groupBy(F.col(source).alias("source")).agg(
         F.sum(F.col(n_tokens) * F.col("copies")).alias("n_used"), F.count(F.lit(1)).alias("n_documents_used"), F.max("copies").alias("most_copies")
     )
     report = facts.join(used, "source", "left").na.fill(0, ["n_used", "n_documents_used", "most_copies"])

@@ -176,7 +176,7 @@ def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    """The documents of the mix with the number of times each is used."""
+    """Every document of a listed source with the number of times the mix uses it."""
     return _mixed(spark, d)[0]
 
 
