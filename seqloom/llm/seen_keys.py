@@ -115,7 +115,7 @@ class SeenKeys:
                 self._forget(n)
 
     def firsts(self) -> DataFrame:
-        """(h, key, ord) of every key."""
+        """(h, key, ord) of every key; at least one batch must have been taken."""
         return self._merged(self._runs())
 
     def repeats(self, rows: DataFrame, key: str, ord: str) -> DataFrame:  # noqa: A002
@@ -126,10 +126,10 @@ class SeenKeys:
         """
         first = None
         for r in self._runs():
-            r = r.select(F.col("ord").alias("__first"))
+            r = r.select(F.col("ord").alias("__seqloom_first"))
             first = r if first is None else first.unionByName(r)
         rows = rows.where(F.col(key).isNotNull() & F.col(ord).isNotNull())
-        return rows.join(first, F.col(ord) == F.col("__first"), "left_anti")
+        return rows.limit(0) if first is None else rows.join(first, F.col(ord) == F.col("__seqloom_first"), "left_anti")
 
     def probe(self, questions: DataFrame, key: str, ord: str) -> DataFrame:  # noqa: A002
         """Questions whose key is stored with an ord before theirs, with all their columns.
@@ -142,8 +142,10 @@ class SeenKeys:
         for r in self._runs():
             hit = asked.join(r.hint("merge"), ["h", "key"]).select("key", "ord")
             found = hit if found is None else found.unionByName(hit)
-        known = found.groupBy(F.col("key").alias("__key")).agg(F.min("ord").alias("__first"))
-        return questions.join(known, (F.col(key) == F.col("__key")) & (F.col("__first") < F.col(ord))).select(*[questions[c] for c in questions.columns])
+        if found is None:
+            return questions.limit(0)
+        known = found.groupBy(F.col("key").alias("__seqloom_key")).agg(F.min("ord").alias("__seqloom_first"))
+        return questions.join(known, (F.col(key) == F.col("__seqloom_key")) & (F.col("__seqloom_first") < F.col(ord))).select(*[questions[c] for c in questions.columns])
 
     def report(self) -> DataFrame:
         """Keys, and keys that the hash alone would wrongly have called seen at their first row."""
