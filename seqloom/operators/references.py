@@ -73,8 +73,8 @@ class OrphanLedger:
         self.step += 1
         k, usable = self.step, "key is not null and loaded_at is not null"
         # one partition a key keeps the pieces of a step together; what is new in a step is read several times
-        fresh = self.ws.write(references.where(usable).dropDuplicates(), f"fresh-{k}")
-        arrived = self.ws.write(parents.where(usable).dropDuplicates(["field", "version"]), f"arrived-{k}")
+        fresh = self.ws.write(references.select("table_name", "field", "row_id", "key", "loaded_at").where(usable).dropDuplicates(), f"fresh-{k}")
+        arrived = self.ws.write(parents.select("field", "version", "key", "loaded_at", "deleted_at").where(usable).dropDuplicates(["field", "version"]), f"arrived-{k}")
         index = arrived if self.parents is None else self.parents.join(arrived, ["field", "version"], "left_anti").select(*arrived.columns).unionByName(arrived)
         self.parents = self.ws.write(index, f"parents-{k}")
         looked, untouched = fresh, None
