@@ -38,18 +38,16 @@ def per_key(
     )
 
 
-def dominating(counts: DataFrame, key: str, share: float, total: int | None = None) -> DataFrame:
+def dominating(counts: DataFrame, key: str, share: float, whole: DataFrame | None = None) -> DataFrame:
     """Keys that hold at least ``share`` of all rows, with ``n_rows`` and the ``share`` they hold.
 
     ``counts`` is the result of :func:`per_key` with every key in it, also null ones, as all rows make up the
-    total.  Null keys are never named.  There are at most 1 / share such keys.
+    total. ``whole``, one row with the total in its only column, saves adding up the counts, which would make them
+    twice. Null keys are never named. There are at most 1 / share such keys.
     """
     if not 0 < share <= 1:
         raise ValueError("share must be above 0 and at most 1")
-    if total is None:
-        whole = counts.agg(F.sum("n_rows").alias("__total"))
-    else:
-        whole = counts.sparkSession.range(1).select(F.lit(total).alias("__total"))
+    whole = counts.agg(F.sum("n_rows").alias("__total")) if whole is None else whole.toDF("__total")
     # the total is one row, so this is no cross join of two tables
     return (
         counts.join(F.broadcast(whole))

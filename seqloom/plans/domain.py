@@ -16,12 +16,15 @@ def _elements(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    hits = per_key(table(spark, d, "kmer_hits"), "kmer_id")
+    rows, transcripts = table(spark, d, "kmer_hits"), table(spark, d, "transcripts")
+    hits = per_key(rows, "kmer_id")
     elements = per_key(_elements(spark, d), "kmer_id")
+    # the totals need no shuffle of keys: a row count from the footers, and a sum of array sizes
+    n_rows, n_elements = rows.agg(F.count(F.lit(1))), transcripts.agg(F.sum(F.size(F.coalesce("kmers", F.array()))))
     return (
-        dominating(hits, "kmer_id", 0.01)
+        dominating(hits, "kmer_id", 0.01, n_rows)
         .withColumn("field", F.lit("kmer_hits.kmer_id"))
-        .unionByName(dominating(elements, "kmer_id", 0.01).withColumn("field", F.lit("transcripts.kmers")))
+        .unionByName(dominating(elements, "kmer_id", 0.01, n_elements).withColumn("field", F.lit("transcripts.kmers")))
         .where(is_id("kmer_id"))
         .select("field", "kmer_id")
     )
