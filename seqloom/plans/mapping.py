@@ -331,6 +331,50 @@ def stream_round(spark, d):
     return model.shares().select("tid", F.round("log_mass", 6).alias("log_mass"), F.round("share", 7).alias("share"))
 
 
+_ALN_BATCHES = 6
+
+
+def _alignment_sql() -> str:
+    import math
+
+    out = [
+        f"""{_MATES}, h AS MATERIALIZED (SELECT frag AS read_id, tid, CASE WHEN q1 = 255 THEN 0 ELSE -q1 * ln(10) / 10 END + CASE WHEN q2 = 255 THEN 0 ELSE -q2 * ln(10) / 10 END
+  + CASE WHEN {_PAIR} LIKE 'PE/TOWARD/%' THEN -0.6931471805599453 END AS log_p, frag % {_ALN_BATCHES} AS batch FROM mates WHERE tid IS NOT NULL)""",
+        "s0 AS MATERIALIZED (SELECT transcript_id AS tid, max(greatest(coalesce(length, 1), 1))::DOUBLE AS n, ln(0.005::DOUBLE * max(greatest(coalesce(length, 1), 1))) AS m FROM transcripts GROUP BY transcript_id)",
+    ]
+    weight = 0.0
+    for i in range(1, _ALN_BATCHES + 1):
+        if i > 1:
+            weight += 0.6 * math.log(i - 1) - math.log(i**0.6 - 1)
+        out.append(f"p{i} AS (SELECT read_id, tid, exp(m + log_p) / n AS p FROM h JOIN s{i - 1} USING (tid) WHERE batch = {i - 1} AND log_p IS NOT NULL)")
+        out.append(f"b{i} AS (SELECT tid, sum(p / w) AS b FROM p{i} JOIN (SELECT read_id, sum(p) AS w FROM p{i} GROUP BY read_id) USING (read_id) GROUP BY tid)")
+        out.append(f"s{i} AS MATERIALIZED (SELECT tid, n, ln(exp(m) + coalesce(b, 0) * exp({weight!r}::DOUBLE)) AS m FROM s{i - 1} LEFT JOIN b{i} USING (tid))")
+    return "WITH " + ", ".join(out) + f" SELECT tid, round(m, 6) AS log_mass FROM s{_ALN_BATCHES}"
+
+
+@query(_alignment_sql())
+def alignment_round(spark, d):
+    """#136: the online estimation from alignments, with mapping quality and the probability of their format."""
+    ws = Workspace(spark, "alignments")
+    seen = L.of_pair(F.col("p1"), F.col("f1"), F.col("p2"), F.col("f2"))
+    p = A.log_map_quality(F.col("q1")) + A.log_map_quality(F.col("q2")) + L.log_probability(seen, L.struct(*L.NAMES["IU"]))
+    hits = _mates(spark, d).where("tid is not null").select(F.col("frag").alias("read_id"), "tid", p.alias("log_p"), (F.col("frag") % _ALN_BATCHES).alias("batch"))
+    hits = ws.write(hits, "hits", ["batch"])
+    model = OnlineAbundance(table(spark, d, "transcripts").select(F.col("transcript_id").alias("tid"), "length"), forgetting=0.6)
+    for b in range(_ALN_BATCHES):
+        model.update(hits.where(F.col("batch") == b))
+    return model.shares().select("tid", F.round("log_mass", 6).alias("log_mass"))
+
+
+@query(rf"""WITH s AS (SELECT read_id, upper(regexp_replace(seq, '\s+', '', 'g')) AS s FROM read_seqs WHERE seq IS NOT NULL)
+SELECT read_id, translate(regexp_replace(s, '[^=ACMGRSVTWYHKDBN]', 'N', 'g'), '{A.BASES_4BIT}', '0123456789abcdef') AS digits, regexp_replace(s, '[^=ACMGRSVTWYHKDBN]', 'N', 'g') AS back, translate(s, '{A.BASES_4BIT}', '{A.COMPLEMENT_4BIT}') AS comp FROM s""")
+def sam_bases(spark, d):
+    """#56: bases as 4-bit numbers and back, and their complement."""
+    s = table(spark, d, "read_seqs").where("seq is not null").select("read_id", S.squeeze("seq").alias("s"))
+    digits = A.bases_to_4bit(F.col("s"))
+    return s.select("read_id", digits.alias("digits"), A.bases_from_4bit(digits).alias("back"), A.complement(F.col("s")).alias("comp"))
+
+
 @query("SELECT n, round(sum(CASE WHEN n > 1 THEN 0.65 * ln(n - 1) - ln(power(n, 0.65) - 1) ELSE 0 END) OVER (ORDER BY n), 9) AS log_mass FROM (SELECT DISTINCT batch_no::BIGINT + 1 AS n FROM read_seqs WHERE batch_no IS NOT NULL)")
 def forgetting_mass(spark, d):
     """#137: schedule of the log forgetting mass."""

@@ -28,7 +28,9 @@ class OnlineAbundance:
     """Mini-batch estimation. ``targets``: tid, length; a length that is null or below 1 counts as 1.
 
     Hits on unknown targets are ignored; a read's repeated hits on a target count once; an empty batch still counts
-    in the schedule.
+    in the schedule. Hits may have a column ``log_p``, the log-probability of the alignment itself (mapping quality,
+    format, fragment length); it is added to that of the target, a null is probability 0, and of repeated hits the
+    most probable one counts.
     """
 
     def __init__(self, targets: DataFrame, forgetting: float = 0.65, prior: float = 0.005):
@@ -42,7 +44,11 @@ class OnlineAbundance:
         n = self.step
         if n > 1:
             self.log_weight += self.forgetting * math.log(n - 1) - math.log(n**self.forgetting - 1)
-        p = hits.select("read_id", "tid").distinct().join(self.state, "tid").select("read_id", "tid", (F.col("log_mass") - F.log("length")).alias("l"))
+        if "log_p" in hits.columns:
+            h = hits.where(F.col("log_p").isNotNull()).groupBy("read_id", "tid").agg(F.max("log_p").alias("log_p"))
+        else:
+            h = hits.select("read_id", "tid").distinct().withColumn("log_p", F.lit(0.0))
+        p = h.join(self.state, "tid").select("read_id", "tid", (F.col("log_mass") - F.log("length") + F.col("log_p")).alias("l"))
         most = p.groupBy("read_id").agg(F.max("l").alias("m"), F.collect_list("l").alias("all"))
         # the logarithm of a sum over one read's targets, which are bounded by the hit filter
         norm = most.select("read_id", (F.col("m") + F.log(F.aggregate("all", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("m"))))).alias("norm"))
