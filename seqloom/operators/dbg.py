@@ -14,19 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sequence import reverse_packed
 from ..plans.workspace import Workspace
 
 
-def _reverse_packed(c: Column, k: int) -> Column:
-    """Packed reverse complement of k packed bases: swap bits within words of 2, 4, ... bits, as a fixed expression."""
-    x = F.bitwise_not(c)
-    for width, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0x00000000FFFFFFFF)):
-        low = x.bitwiseAND(F.lit(mask))
-        high = F.shiftrightunsigned(x, width).bitwiseAND(F.lit(mask))
-        x = F.shiftleft(low, width).bitwiseOR(high)
-    return F.shiftrightunsigned(x, 64 - 2 * k)
-
-
 def ends(kmers: DataFrame, kmer: str, k: int) -> DataFrame:
     """(node, end, junction, side): two rows a node; side is 1 where out is the junction, -1 where it is its reverse
     complement, 0 where both are the same."""
@@ -34,8 +25,8 @@ def ends(kmers: DataFrame, kmer: str, k: int) -> DataFrame:
     mask = F.lit((1 << (2 * (k - 1))) - 1)
     suffix, prefix = node.bitwiseAND(mask), F.shiftrightunsigned(node, 2)
     out = F.array(
-        F.struct(F.lit("R").alias("end"), suffix.alias("out"), _reverse_packed(suffix, k - 1).alias("back")),
-        F.struct(F.lit("L").alias("end"), _reverse_packed(prefix, k - 1).alias("out"), prefix.alias("back")),
+        F.struct(F.lit("R").alias("end"), suffix.alias("out"), reverse_packed(suffix, k - 1).alias("back")),
+        F.struct(F.lit("L").alias("end"), reverse_packed(prefix, k - 1).alias("out"), prefix.alias("back")),
     )
     e = kmers.select(node.alias("node"), F.explode(out).alias("e")).select("node", "e.end", "e.out", "e.back")
     side = F.when(F.col("out") < F.col("back"), 1).when(F.col("out") > F.col("back"), -1).otherwise(0)
@@ -136,7 +127,7 @@ def unitigs(kmers: DataFrame, kmer: str, k: int, max_rounds: int = 48) -> DataFr
     placed = ws.write(placed.unionByName(heads), "placed")
 
     node, backward = F.shiftrightunsigned("v", 1), F.col("v").bitwiseAND(F.lit(1)) == 1
-    value = F.when(backward, _reverse_packed(node, k)).otherwise(node)
+    value = F.when(backward, reverse_packed(node, k)).otherwise(node)
     last = F.substring(F.lit("ACGT"), (value.bitwiseAND(F.lit(3)) + 1).cast("int"), F.lit(1))
     piece = F.when(F.col("dist") == 0, spell(value, k)).otherwise(last)
     # a unitig is one string in the result, so its pieces are together here as well

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import is_id
+from ..functions.sequence import is_id, reverse_packed
 
 
 def target_kmers(targets: DataFrame, tid: str, kmers: str) -> DataFrame:
@@ -62,20 +62,21 @@ def reverse_is_used(fwd: Column, rev: Column, skipped: Column | None = None) ->
     return rev > (fwd if skipped is None else fwd + skipped)
 
 
-def read_hits(tokens: DataFrame, row_id: str, index: DataFrame) -> DataFrame:
+def read_hits(tokens: DataFrame, row_id: str, index: DataFrame, k: int) -> DataFrame:
     """(row_id, n_fwd, n_rev, n_windows) of each read with a window: its hits in an index of non-canonical k-mers.
 
-    ``tokens``: row_id, fwd, rev of :func:`kmers.tokenise`; ``index``: kmer, one row a k-mer.  Both strands of a
-    window are looked up in one join: a window becomes two rows, which are combined again per read.
+    ``tokens``: row_id, fwd, rev of :func:`kmers.tokenise`; ``index``: kmer, one row a k-mer.  The index is folded to
+    canonical k-mers with a mark for either strand, so a window is one row and is looked up once for both strands.
     """
-    both = tokens.select(row_id, F.explode(F.array(F.struct(F.col("fwd").alias("kmer"), F.lit(1).alias("f")), F.struct(F.col("rev").alias("kmer"), F.lit(0).alias("f")))).alias("x"))
-    both = both.select(row_id, "x.kmer", "x.f").groupBy(row_id, "kmer").agg(F.sum("f").alias("nf"), F.sum(1 - F.col("f")).alias("nr"))
-    hit = both.join(index.select("kmer", F.lit(True).alias("hit")), "kmer", "left")
-    return hit.groupBy(row_id).agg(
-        F.coalesce(F.sum(F.when(F.col("hit"), F.col("nf"))), F.lit(0)).alias("n_fwd"),
-        F.coalesce(F.sum(F.when(F.col("hit"), F.col("nr"))), F.lit(0)).alias("n_rev"),
-        F.sum("nf").alias("n_windows"),
-    )
+    c = F.least("kmer", "other")
+    folded = (
+        index.select("kmer", reverse_packed(F.col("kmer"), k).alias("other"))
+        .groupBy(c.alias("canon")).agg(F.max(F.col("kmer") <= F.col("other")).alias("as_is"), F.max(F.col("kmer") >= F.col("other")).alias("turned"))
+    )
+    w = tokens.select(row_id, F.least("fwd", "rev").alias("canon"), (F.col("fwd") <= F.col("rev")).alias("f")).join(folded, "canon", "left")
+    fwd = F.when(F.col("f"), F.col("as_is")).otherwise(F.col("turned"))
+    rev = F.when(F.col("f"), F.col("turned")).otherwise(F.col("as_is"))
+    return w.groupBy(row_id).agg(F.count_if(fwd).alias("n_fwd"), F.count_if(rev).alias("n_rev"), F.count(F.lit(1)).alias("n_windows"))
 
 
 def composition(df: DataFrame, name: str, seq: str, compat: bool = True) -> DataFrame:

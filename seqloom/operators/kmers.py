@@ -31,18 +31,24 @@ def pack(kmer: Column | str) -> Column:
     return F.when(c.rlike(f"^[ACGT]{{1,{MAX_PACKED}}}$"), F.conv(F.translate(c, "ACGT", "0123"), 4, 10).cast("long"))
 
 
-def tokenise(df: DataFrame, row_id: str, seq: str, k: int) -> DataFrame:
+def tokenise(df: DataFrame, row_id: str, seq: str, k: int, length: str | None = None) -> DataFrame:
     """(row_id, pos, fwd, rev): each window of k bases, packed, with its reverse complement. Windows with anything
-    but bases are dropped, null sequences have none. ``row_id`` must be a long."""
+    but bases are dropped, null sequences have none. ``row_id`` must be a long. ``length`` names one more column
+    for the length of the sequence, which saves joining it to the windows later."""
+    extra = [length] if length else []
 
     def run(batches):
         for b in batches:
-            fwd, rev, row, pos = packed_windows(*buffers(b.column(1)), k)
+            offsets, raw = buffers(b.column(1))
+            fwd, rev, row, pos = packed_windows(offsets, raw, k)
+            size = np.diff(offsets).astype(np.int32)
             for i in range(0, len(fwd), 200_000):
                 j = slice(i, i + 200_000)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[j])), pa.array(pos[j].astype(np.int32)), pa.array(fwd[j]), pa.array(rev[j])], [row_id, "pos", "fwd", "rev"])
+                cols = [b.column(0).take(pa.array(row[j])), pa.array(pos[j].astype(np.int32)), pa.array(fwd[j]), pa.array(rev[j])]
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(size[row[j]]) for _ in extra)], [row_id, "pos", "fwd", "rev", *extra])
 
-    return df.select(F.col(row_id).cast("long").alias(row_id), squeeze(seq).alias("seq")).mapInArrow(run, f"`{row_id}` long, pos int, fwd long, rev long")
+    schema = f"`{row_id}` long, pos int, fwd long, rev long" + "".join(f", `{c}` int" for c in extra)
+    return df.select(F.col(row_id).cast("long").alias(row_id), squeeze(seq).alias("seq")).mapInArrow(run, schema)
 
 
 def count_kmers(df: DataFrame, seq: str, k: int, both_strands: bool = True) -> DataFrame:

@@ -16,7 +16,7 @@ def seeds(reads: DataFrame, read_id: str, seq: str, targets: DataFrame, tid: str
     targets are thinned to every n-th occurrence, in order of target and position, so that at most about max_occ remain;
     None keeps all. The seeds of the targets are the smaller side of the join.
     """
-    r = K.tokenise(reads, read_id, seq, k).join(reads.select(F.col(read_id), F.length(K.squeeze(seq)).alias("n")), read_id)
+    r = K.tokenise(reads, read_id, seq, k, length="n")
     t = K.tokenise(targets, tid, tseq, k).select("fwd", F.col(tid), F.col("pos").alias("tpos")).withColumnRenamed("fwd", "kmer")
     if max_occ is not None:
         by = Window.partitionBy("kmer")

@@ -193,14 +193,14 @@ def _tokens(spark, d) -> DataFrame:
 @query(f"WITH {_READS} SELECT read_id, n_fwd, n_rev, n_windows FROM f")
 def read_hits(spark, d):
     """#81, #93: hits of both strands of every read in the non-canonical index of one library."""
-    return I.read_hits(_tokens(spark, d), "read_id", _index_of(spark, d))
+    return I.read_hits(_tokens(spark, d), "read_id", _index_of(spark, d), k_)
 
 
 @query(f"""WITH {_READS} SELECT read_id, n_rev > n_fwd AS use_reverse, n_rev > n_fwd + (greatest(length(s) - {k_ - 1}, 0) - n_windows) AS use_reverse_compat,
 greatest(n_fwd, n_rev)::DOUBLE / n_windows AS coverage FROM f JOIN reads USING (read_id)""")
 def read_strand_choice(spark, d):
     """#93, closed form: strand of every read, and as the loop of old would choose, which holds skipped windows against the reverse."""
-    h = I.read_hits(_tokens(spark, d), "read_id", _index_of(spark, d))
+    h = I.read_hits(_tokens(spark, d), "read_id", _index_of(spark, d), k_)
     sizes = table(spark, d, "read_seqs").select("read_id", F.length(S.squeeze("seq")).alias("n"))
     h = h.join(sizes, "read_id")
     skipped = F.greatest(F.col("n") - (k_ - 1), F.lit(0)) - F.col("n_windows")
@@ -214,7 +214,7 @@ def indexed_count(spark, d):
     """#93: k-mers of the index counted in all reads, each read on its better strand."""
     ws = Workspace(spark, "indexed")
     index, tokens = ws.write(_index_of(spark, d), "index"), _tokens(spark, d)
-    strand = I.read_hits(tokens, "read_id", index).select("read_id", I.reverse_is_used(F.col("n_fwd"), F.col("n_rev")).alias("r"))
+    strand = I.read_hits(tokens, "read_id", index, k_).select("read_id", I.reverse_is_used(F.col("n_fwd"), F.col("n_rev")).alias("r"))
     used = tokens.join(strand, "read_id").select(F.when(F.col("r"), F.col("rev")).otherwise(F.col("fwd")).alias("kmer"))
     counted = used.groupBy("kmer").agg(F.count(F.lit(1)).alias("cnt"))
     return index.join(counted, "kmer", "left").select(K.spell("kmer", k_).alias("kmer"), F.coalesce("cnt", F.lit(0)).alias("cnt"))
@@ -223,7 +223,7 @@ def indexed_count(spark, d):
 @query(f"""WITH {_READS} SELECT count(*) FILTER (n_fwd + n_rev > 0) AS n_mapped_reads, sum(greatest(n_fwd, n_rev))::BIGINT AS n_mapped, sum(n_windows - greatest(n_fwd, n_rev))::BIGINT AS n_unmapped FROM f""")
 def count_info(spark, d):
     """#26, #94: mapped and unmapped k-mers of all reads."""
-    h = I.read_hits(_tokens(spark, d), "read_id", _index_of(spark, d))
+    h = I.read_hits(_tokens(spark, d), "read_id", _index_of(spark, d), k_)
     best = F.greatest("n_fwd", "n_rev")
     return h.agg(F.count_if(F.col("n_fwd") + F.col("n_rev") > 0).alias("n_mapped_reads"), F.sum(best).alias("n_mapped"), F.sum(F.col("n_windows") - best).alias("n_unmapped"))
 
