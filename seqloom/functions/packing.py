@@ -91,3 +91,25 @@ def unpack(kmers: np.ndarray, k: int) -> pa.Array:
         out[:, j] = letters[(kmers >> (2 * (k - 1 - j))) & 3]
     offsets = np.arange(0, (len(kmers) + 1) * k, k, dtype=np.int32)
     return pa.StringArray.from_buffers(len(kmers), pa.py_buffer(offsets), pa.py_buffer(out.tobytes()))
+
+
+_SWAPS = tuple((np.uint64(width), np.uint64(mask)) for width, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0x00000000FFFFFFFF)))
+
+
+def reverse_values(kmers: np.ndarray, k: int) -> np.ndarray:
+    """Packed reverse complements: all bits turned, then neighbouring pairs, nibbles, bytes, ... swapped."""
+    x = ~np.asarray(kmers, np.int64).view(np.uint64)
+    for width, mask in _SWAPS:
+        x = ((x & mask) << width) | ((x >> width) & mask)
+    return (x >> np.uint64(64 - 2 * k)).view(np.int64)
+
+
+def reverse_packed(column, k: int):
+    """Column of packed reverse complements, by Arrow batches (as an expression it would double at every swap)."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("long")
+    def reverse(x):
+        return x.__class__(reverse_values(x.to_numpy(np.int64), k))
+
+    return reverse(column)

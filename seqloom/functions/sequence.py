@@ -66,13 +66,3 @@ def log_add(a: Column, b: Column) -> Column:
 def log_subtract(a: Column, b: Column) -> Column:
     """ln(exp(a) - exp(b)); null (zero) where a is not above b."""
     return F.when(b.isNull(), a).when(a > b, a + F.log1p(-F.exp(b - a)))
-
-
-def reverse_packed(c: Column, k: int) -> Column:
-    """Packed reverse complement of k packed bases: swap bits within words of 2, 4, ... bits, as a fixed expression."""
-    x = F.bitwise_not(c)
-    for width, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0x00000000FFFFFFFF)):
-        low = x.bitwiseAND(F.lit(mask))
-        high = F.shiftrightunsigned(x, width).bitwiseAND(F.lit(mask))
-        x = F.shiftleft(low, width).bitwiseOR(high)
-    return F.shiftrightunsigned(x, 64 - 2 * k)

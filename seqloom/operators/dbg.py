@@ -11,26 +11,28 @@ Nodes are packed k-mers, k of at most 31.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import reverse_packed
+from ..functions.packing import reverse_packed, reverse_values
 from ..plans.workspace import Workspace
 
 
 def ends(kmers: DataFrame, kmer: str, k: int) -> DataFrame:
     """(node, end, junction, side): two rows a node; side is 1 where out is the junction, -1 where it is its reverse
     complement, 0 where both are the same."""
-    node = F.col(kmer)
-    mask = F.lit((1 << (2 * (k - 1))) - 1)
-    suffix, prefix = node.bitwiseAND(mask), F.shiftrightunsigned(node, 2)
-    out = F.array(
-        F.struct(F.lit("R").alias("end"), suffix.alias("out"), reverse_packed(suffix, k - 1).alias("back")),
-        F.struct(F.lit("L").alias("end"), reverse_packed(prefix, k - 1).alias("out"), prefix.alias("back")),
-    )
-    e = kmers.select(node.alias("node"), F.explode(out).alias("e")).select("node", "e.end", "e.out", "e.back")
-    side = F.when(F.col("out") < F.col("back"), 1).when(F.col("out") > F.col("back"), -1).otherwise(0)
-    return e.select("node", "end", F.least("out", "back").alias("junction"), side.alias("side"))
+
+    def run(batches):
+        for b in batches:
+            v = b.column(0).to_numpy()
+            suffix, prefix = v & ((1 << (2 * (k - 1))) - 1), v >> 2
+            for end, out, back in (("R", suffix, reverse_values(suffix, k - 1)), ("L", reverse_values(prefix, k - 1), prefix)):
+                cols = [b.column(0), pa.array([end]).take(pa.array(np.zeros(len(v), np.int64))), pa.array(np.minimum(out, back)), pa.array(np.sign(back - out).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, ["node", "end", "junction", "side"])
+
+    return kmers.where(F.col(kmer).isNotNull()).select(F.col(kmer).cast("long")).mapInArrow(run, "node long, end string, junction long, side int")
 
 
 def junctions(kmers: DataFrame, kmer: str, k: int) -> DataFrame:
@@ -72,29 +74,26 @@ def _jump(ws: Workspace, links: DataFrame, name: str, rounds: int) -> DataFrame:
 
     Only rows that are not closed yet are looked up and rewritten in a round."""
     open_ = ws.write(links.select("v", F.col("pred").alias("head"), F.lit(1).cast("long").alias("dist"), F.least("v", "pred").alias("low")), f"{name}-open-0")
-    closed = None
+    closed, n = None, open_.count()
     for i in range(rounds):
-        n = open_.count()
         if not n:
             break
-        nxt = open_.select(F.col("v").alias("head"), F.col("head").alias("h2"), F.col("dist").alias("d2"), F.col("low").alias("l2"))
+        nxt = open_.select(F.col("v").alias("head"), F.col("head").alias("h2"), F.col("dist").alias("d2"), F.col("low").alias("l2"), F.lit(False).alias("end"))
         if closed is not None:
-            done = closed.select(F.col("v").alias("head"), F.col("head").alias("h2"), F.col("dist").alias("d2"), F.col("low").alias("l2"), F.lit(True).alias("end"))
-            nxt = nxt.withColumn("end", F.lit(False)).unionByName(done)
-        else:
-            nxt = nxt.withColumn("end", F.lit(False))
+            nxt = nxt.unionByName(closed.select(F.col("v").alias("head"), F.col("head").alias("h2"), F.col("dist").alias("d2"), F.col("low").alias("l2"), F.lit(True).alias("end")))
         j = open_.join(nxt, "head", "left")
         # no row for the head: it has no predecessor, so it is the start of the path
         j = j.select("v", F.coalesce("h2", "head").alias("head"), (F.col("dist") + F.coalesce("d2", F.lit(0))).alias("dist"), F.least("low", "l2").alias("low"), (F.col("h2").isNull() | F.col("end")).alias("closed"))
-        step = ws.write(j, f"{name}-step-{i}")
+        # closed rows lie in a folder of their own, so later rounds read only what they need
+        step = ws.write(j, f"{name}-step-{i}", ["closed"])
         now = step.where("closed").drop("closed")
         closed = now if closed is None else closed.unionByName(now)
-        before, open_ = n, step.where("not closed").drop("closed")
-        left = open_.count()
-        if left == before and i + 1 >= max(1, left.bit_length()):
+        open_ = step.where("not closed").drop("closed")
+        before, n = n, open_.count()
+        if n == before and i + 1 >= max(1, n.bit_length()):
             break  # only cycles are left, and each has been gone round
-    ends_ = open_.withColumn("closed", F.lit(False))
-    return ends_ if closed is None else closed.withColumn("closed", F.lit(True)).unionByName(ends_)
+    left = open_.withColumn("closed", F.lit(False))
+    return left if closed is None else closed.withColumn("closed", F.lit(True)).unionByName(left)
 
 
 def unitigs(kmers: DataFrame, kmer: str, k: int, max_rounds: int = 48) -> DataFrame:

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import is_id, reverse_packed
+from ..functions.packing import reverse_packed
+from ..functions.sequence import is_id
 
 
 def target_kmers(targets: DataFrame, tid: str, kmers: str) -> DataFrame:
