@@ -94,9 +94,11 @@ def most_frequent(df: DataFrame, column: str, top: int, k: int = 1024, max_k: in
     """The ``top`` most frequent items: item (text), n_rows (exact), n_summary and error_bound of the summary.
 
     The candidates of the summary, at most k of them, are counted exactly in a second pass. If the last of the
-    ``top`` is not above what any item outside the summary can have, k is doubled and the summary taken again
-    (up to max_k, an error beyond).  An item that ties with the last one may be left out: ties are broken by the
-    text of the item.  Null items are ignored; an empty table gives no rows; fewer distinct items give fewer rows.
+    ``top`` is not above what any item outside the summary can have, the summary is taken again with four times as
+    many counters. Frequencies so even that ``max_k`` counters do not tell them apart are counted in full, which
+    spills to disk but never fails; n_summary is null then and error_bound 0.  An item that ties with the last
+    one may be left out: ties are broken by the text of the item.  Null items are ignored; an empty table gives no
+    rows; fewer distinct items give fewer rows.
     """
     spark = df.sparkSession
     while True:
@@ -116,5 +118,6 @@ def most_frequent(df: DataFrame, column: str, top: int, k: int = 1024, max_k: in
         if lost == 0 or (len(best) == top and best[-1].n_rows > lost):
             return spark.createDataFrame([(r.item, r.n_rows, r.n_summary, lost) for r in best], "item string, n_rows long, n_summary long, error_bound long")
         if k >= max_k:
-            raise ValueError(f"the frequencies are too even for {max_k} counters")
+            full = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("item")).agg(F.count(F.lit(1)).alias("n_rows"))
+            return full.orderBy(F.desc("n_rows"), "item").limit(top).select("item", "n_rows", F.lit(None).cast("long").alias("n_summary"), F.lit(0).cast("long").alias("error_bound"))
         k *= 4

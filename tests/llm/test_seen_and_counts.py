@@ -144,3 +144,9 @@ def test_top_of_few_ties_and_none(spark):
     assert most_frequent(spark.createDataFrame([(None,)], "x long"), "x", 3).count() == 0
     got = most_frequent(spark.createDataFrame([(2,), (2,), (1,), (3,), (None,)], "x long"), "x", 10).collect()
     assert [(r.item, r.n_rows) for r in got] == [("2", 2), ("1", 1), ("3", 1)]
+
+
+def test_top_of_even_frequencies(spark):
+    df = spark.createDataFrame([(f"k{i:03}",) for i in range(300)] * 2, "x string").repartition(5)
+    got = most_frequent(df, "x", 3, k=4, max_k=16).collect()
+    assert [(r.item, r.n_rows, r.error_bound) for r in got] == [("k000", 2, 0), ("k001", 2, 0), ("k002", 2, 0)]
