@@ -13,16 +13,15 @@ def seeds(reads: DataFrame, read_id: str, seq: str, targets: DataFrame, tid: str
     """(read_id, tid, fwd, rpos, tpos): positions where a k-mer of the read, or of its reverse complement, stands in a target.
 
     ``rpos`` counts in the direction in which the read matches. Seeds with more than ``max_occ`` occurrences in the
-    targets are thinned to every n-th occurrence, in order of target and position, so that at most about max_occ remain;
-    None keeps all. The seeds of the targets are the smaller side of the join.
+    targets are thinned to about max_occ: of n occurrences every ceil(n / max_occ)-th by a hash of target and position
+    stays, so that no seed's occurrences are sorted or gathered in one task; None keeps all.
     """
     r = K.tokenise(reads, read_id, seq, k, length="n")
     t = K.tokenise(targets, tid, tseq, k).select("fwd", F.col(tid), F.col("pos").alias("tpos")).withColumnRenamed("fwd", "kmer")
     if max_occ is not None:
-        by = Window.partitionBy("kmer")
-        t = t.withColumn("n_occ", F.count(F.lit(1)).over(by)).withColumn("i", F.row_number().over(by.orderBy(tid, "tpos")) - 1)
-        step = F.ceil(F.col("n_occ") / F.lit(max_occ))
-        t = t.where(F.col("i") % step == 0).drop("n_occ", "i")
+        many = t.groupBy("kmer").agg(F.count(F.lit(1)).alias("n_occ")).where(F.col("n_occ") > max_occ)
+        step = F.ceil(F.coalesce("n_occ", F.lit(1)) / F.lit(max_occ))
+        t = t.join(many, "kmer", "left").where(F.pmod(F.xxhash64(tid, "tpos"), step) == 0).drop("n_occ")
     both = F.array(
         F.struct(F.col("fwd").alias("kmer"), F.lit(True).alias("fwd"), F.col("pos").alias("rpos")),
         F.struct(F.col("rev").alias("kmer"), F.lit(False).alias("fwd"), (F.col("n") - k - F.col("pos")).cast("int").alias("rpos")),

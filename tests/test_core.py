@@ -205,6 +205,19 @@ def test_anchored_clusters(spark):
     assert [r[0] for r in df.select(mapping.anchors(F.col("v"))).collect()] == [[0, 15, 40], [3], []]
 
 
+def test_frequent_seeds_are_thinned(spark):
+    rng = random.Random(6)
+    rest = "C" + "".join(rng.choice("ACGT") for _ in range(59))
+    targets = spark.createDataFrame([(1, "A" * 900 + rest)], "tid long, s string")
+    reads = spark.createDataFrame([(1, "A" * 19), (2, rest[5:40]), (3, None), (4, "AC")], "read_id long, s string")
+    every = mapping.seeds(reads, "read_id", "s", targets, "tid", "s", 19, max_occ=None).where("fwd")
+    some = mapping.seeds(reads, "read_id", "s", targets, "tid", "s", 19, max_occ=50).where("fwd")
+    assert every.where("read_id = 1").count() == 882 and 10 <= some.where("read_id = 1").count() <= 120
+    assert every.where("read_id = 2").count() == some.where("read_id = 2").count() == 17
+    (m,) = mapping.exact_matches(some.where("read_id = 2"), "read_id", "tid", 19).collect()
+    assert (m.rpos, m.tpos, m.len) == (0, 905, 35)
+
+
 def test_adjacent_groups(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (1, 3, "b"), (1, 4, "a"), (2, 1, "a")], "f long, o long, n string")
     assert {(r.f, r.o): r.group_no for r in AL.adjacent_groups(df, "n", "o", "f").collect()} == {(1, 1): 1, (1, 2): 1, (1, 3): 2, (1, 4): 3, (2, 1): 1}
