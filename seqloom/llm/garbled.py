@@ -84,23 +84,43 @@ def pair_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 _QUOTES = "\"'`"
+#: Words of a line that names characters on purpose, and calls that repair them: what these name is left alone.
+_NAMING = re.compile(r"(?i)decod|encod|sample|invalid|garbl|fffd|(?<![a-z])bad|\b(?:count|find|index|indexOf|contains|includes|split|strip|reject)\s*\(")
+_REPAIR = re.compile(r"(?i)mojibake|(?:replace|replaceAll|gsub|sub|translate|maketrans)\s*\(")
+_WORD = re.compile(r"\w{1,24}\W{0,24}$")
 
 
 def _spaced(text: str) -> str:
     return "".join(c if c > " " else " " for c in text)
 
 
-def runs(text: str):
+def _literal(text: str, i: int, j: int) -> str | None:
+    """Key of the quoted literal text[i:j]: the last word of its line before it, the run, three characters after it, both without
+    characters beyond ASCII, and whether the line names characters on purpose. None in a call that repairs text."""
+    left, right = text[max(text.rfind("\n", 0, i) + 1, i - 200) : i], text[j : j + 100].split("\n")[0]
+    if _REPAIR.search(left + right):
+        return None
+    plain = lambda t: "".join(c for c in t if c < "\x7f")
+    word = _WORD.search(plain(left))
+    named = "named" if _NAMING.search(left + right) else ""
+    return f"{_spaced(word.group() if word else left[-1])}\t{text[i:j]}\t{_spaced(plain(right)[:3])}\t{named}"
+
+
+def runs(text: str, literals: bool = False):
     """(start, end, key) of the runs of a text; key is (before, run, after) joined by tabs.
 
     The neighbours are one character on either side, or four and three around a single symbol that no letter or
     digit adjoins, as such a symbol can only be judged by its surroundings. White space and the ends of the text
-    count as spaces. A run of at most four characters that is all of a quoted literal is named on purpose and no run.
+    count as spaces. A run of at most four characters that is all of a quoted literal may be named on purpose: it is given only
+    with ``literals``, and its key has a fourth field, see _literal.
     """
     end = 0
     for m in _CORE.finditer(text):
         i, j = m.span()
         if i and j < len(text) and j - i <= 4 and text[i - 1] == text[j] and text[j] in _QUOTES:
+            if literals and (key := _literal(text, i, j)) is not None:
+                end = j
+                yield i, j, key
             continue
         least, most = max(end, i - _REACH), min(len(text), j + _REACH)
         while i > least and text[i - 1] in _ALNUM:
@@ -180,7 +200,7 @@ class Judge:
 
     def restored(self, key: str) -> tuple[str, str, float] | None:
         """(restored run, mapping, gain in bits a pair) of a run; None if no mapping makes it better attested."""
-        before, run, after = key.split("\t")
+        before, run, after = key.split("\t")[:3]
         now, _ = self.score(before[-1] + run + after[0])
         best = None
         for wrong, raw in self._bytes(run):
@@ -207,6 +227,19 @@ class Judge:
                     best = (text, f"{wrong}>{right}", gain)
         return best
 
+    def forms(self, run: str) -> dict[str, str]:
+        """Every text -> mapping that a short run may have been before one wrong reading, likely or not."""
+        out: dict[str, str] = {}
+        for wrong, raw in [*self._bytes(run), ("utf_8", run.encode("utf-8", "surrogatepass"))]:
+            for right in ("utf_8", *RIGHT_SINGLE, *RIGHT_MULTI):
+                try:
+                    text = raw.decode("latin-1").translate(_TO_CHAR[right]) if right in _TO_CHAR else raw.decode(right)
+                except UnicodeDecodeError:
+                    continue
+                if text != run and not text.isascii() and "\t" not in text:
+                    out.setdefault(text, f"{wrong}>{right}")
+        return out
+
     def _further(self, text: str) -> str | None:
         """The text after up to three more rounds of UTF-8 that was read wrongly, as far as they can be undone."""
         out = None
@@ -246,26 +279,40 @@ def _list_runs(batches):
         for i, t in enumerate(b.column(1).to_pylist()):
             if not t or t.isascii():
                 continue
-            for k in {k for _, _, k in runs(t)}:
+            for k in {k for _, _, k in runs(t, literals=True)}:
                 at.append(i)
                 keys.append(k)
         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(keys, pa.string())], ["doc", "run"])
 
 
+def _forms_of(judge: Judge, key: str):
+    """(original, mapping, gain, key of the original, whether only its attestation counts) of the forms a run may be restored to."""
+    before, text, after, *literal = key.split("\t")
+    expected = lambda t: "\t".join([before, t, after, *literal])
+    if REPLACEMENT in text:
+        if literal != ["named"]:
+            yield None, "lost", 0.0, None, False
+        elif text != REPLACEMENT:
+            yield None, "lost", 0.0, expected(REPLACEMENT), True
+        return
+    if literal != ["named"] and (found := judge.restored(key)) is not None:
+        yield *found, expected(found[0]), False
+    # a literal is also garbled if other code has another form of it at the same place more often
+    if literal and any(c.isalnum() for c in before):
+        for form, mapping in judge.forms(text).items():
+            yield form, mapping, 0.0, expected(form), True
+
+
 def _judge_runs(table):
     def run(batches):
         judge = Judge(table.value)
         for b in batches:
             out = []
             for key, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                before, text, after = key.split("\t")
-                if REPLACEMENT in text:
-                    out.append((key, n, None, "lost", 0.0, None))
-                elif (found := judge.restored(key)) is not None:
-                    out.append((key, n, found[0], found[1], found[2], f"{before}\t{found[0]}\t{after}"))
-            cols = list(zip(*out)) if out else [()] * 6
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["run", "n_docs", "original", "mapping", "gain", "expected"])
+                out += ((key, n, *x) for x in _forms_of(judge, key))
+            cols = list(zip(*out)) if out else [()] * 7
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["run", "n_docs", "original", "mapping", "gain", "expected", "literal"])
 
     return run
 
@@ -275,7 +322,8 @@ def garbled_runs(docs: DataFrame, doc: str, text: str, sure: float = 3.5) -> tup
 
     A run that is restored through UTF-8 needs a gain of a bit a pair (a bit is given for being UTF-8). Restored
     through another encoding it must be attested as a run in more documents than the garbled form, or gain ``sure``
-    bits a pair; a single symbol must be attested, with its surroundings, in eight times as many documents.
+    bits a pair; a single symbol must be attested, with its surroundings, in eight times as many documents. A short quoted
+    literal on a line that names characters is garbled only if another form of it stands there in more documents.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -284,20 +332,21 @@ def garbled_runs(docs: DataFrame, doc: str, text: str, sure: float = 3.5) -> tup
     table = spark.sparkContext.broadcast(pair_table(docs, "text"))
     listed = ws.write(docs.mapInArrow(_list_runs, "doc long, run string"), "runs")
     counts = ws.write(listed.groupBy("run").agg(F.count(F.lit(1)).alias("n")), "counts")
-    judged = counts.mapInArrow(_judge_runs(table), "run string, n_docs long, original string, mapping string, gain double, expected string")
+    judged = counts.mapInArrow(_judge_runs(table), "run string, n_docs long, original string, mapping string, gain double, expected string, literal boolean")
     judged = ws.write(judged, "judged")
     attested = judged.join(counts.select(F.col("run").alias("expected"), F.col("n").alias("n_expected")), "expected", "left")
     n = F.coalesce("n_expected", F.lit(0))
     core = F.split("run", "\t")[1]
     # a sentence of the large scripts is rarely written twice; its pairs alone decide
     large = F.col("original").rlike("[\u2e80-\uffef]")
-    ok = (
+    ok = F.when(F.col("literal"), n >= F.when(F.length(core) == 1, 8 * F.col("n_docs")).otherwise(F.col("n_docs") + 1)).otherwise(
         (F.col("mapping") == "lost")
         | F.when(F.length(core) == 1, n >= 8 * F.col("n_docs"))
         .when(F.col("mapping").endswith(">utf_8"), F.lit(True))
         .otherwise((n > F.col("n_docs")) | (F.col("gain") >= sure) | large)
     )
-    return listed, ws.write(attested.where(ok).select("run", "original", "mapping", "gain", "n_docs"), "garbled")
+    best = F.max_by(F.struct("original", "mapping", "gain", "n_docs"), F.struct("literal", n, "gain", "original"))
+    return listed, ws.write(attested.where(ok).groupBy("run").agg(best.alias("x")).select("run", "x.*"), "garbled")
 
 
 def _with_garbled(listed: DataFrame, garbled: DataFrame, hot_share: float = 0.001) -> DataFrame:
@@ -331,7 +380,7 @@ def restore(docs: DataFrame, doc: str, text: str) -> DataFrame:
             out, n = [], []
             for t, fixes in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 fixes, parts, last = dict(fixes), [], 0
-                for i, j, key in runs(t):
+                for i, j, key in runs(t, literals=True):
                     if key in fixes:
                         parts += [t[last:i], fixes[key]]
                         last = j

@@ -127,6 +127,16 @@ def test_garbled_documents_are_found_and_restored(spark):
     assert back[len(docs) - 1].text == docs[-1] and back[len(docs) - 1].n_lost == 2
 
 
+def test_short_quoted_literals_are_judged(spark):
+    plain = ['BAD_CHAR = "�"', 'assert decode(b"\\xc3\\xa9", "latin") == "Ã©"', 'samples = ["Ã©", "Ã¼", "â€™"]', "name = 'ñ'; x", "a = '–' + b", 'y.count("�") > 1'] * 3
+    bad = {'BAD_CHAR = "ï¿½"': plain[0], 'BAD_CHAR = "ÔøΩ"': plain[0], 'assert decode(b"\\xc3\\xa9", "latin") == "ÃƒÂ©"': plain[1], "name = 'Ã±'; x": plain[3], "a = 'â€“' + b": plain[4], 'z.count("пїЅ") > 1': 'z.count("�") > 1', 'sep = "�"': 'sep = "�"', 'BAD_CHAR = "���"': 'BAD_CHAR = "���"'}
+    docs = [*plain, 't.replace("Ã©", "é")', *bad]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    back = {r.doc_id: r.text for r in G.restore(df, "doc_id", "text").collect()}
+    assert {docs[i]: t for i, t in back.items()} == bad
+    assert {r.doc_id for r in G.garbled_documents(df, "doc_id", "text").collect()} == set(back)
+
+
 def test_garbled_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert G.garbled_documents(df, "doc_id", "text").count() == 0 and G.restore(df, "doc_id", "text").count() == 0
