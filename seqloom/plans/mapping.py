@@ -1,6 +1,7 @@
 """Queries of mapping, alignments and library formats.
 
-Reads are all of ``read_seqs``; targets are the distinct read keys of one library. Alignment records are made from the
+Reads are all of ``read_seqs``; targets are its distinct read keys. The SQL of the mapping queries takes those of the library
+``ctrl`` only; such a query is also there as NAME_all, without SQL, with the targets of all libraries. Alignment records are made from the
 class hits: flag, position and quality are arithmetic on hit_id and kmer_id, so that SQL can make the same ones.
 """
 
@@ -197,12 +198,25 @@ cl AS (SELECT read_id, tid, fwd, anchor, sum(gain)::BIGINT AS coverage FROM g GR
 best AS (SELECT read_id, tid, fwd, anchor AS pos, coverage, coverage / length(s)::DOUBLE AS score, length(s) AS n FROM (SELECT *, row_number() OVER (PARTITION BY read_id, tid ORDER BY coverage DESC, fwd DESC, anchor) AS rn FROM cl) JOIN reads USING (read_id) WHERE rn = 1)"""
 
 
+#: The library that the SQL takes its targets from; None stands for all.
+SQL_LIBRARY = "ctrl"
+
+
+def whole(f):
+    """Register a query also with the targets of all libraries."""
+    query(name=f"{f.__name__}_all")(lambda spark, d: f(spark, d, None))
+    return f
+
+
 class Mapped:
-    def __init__(self, spark, d):
+    """All reads against the distinct read keys of one library, or of all (None)."""
+
+    def __init__(self, spark, d, library: str | None = None):
         self.ws = Workspace(spark, "mapping")
         self.reads = table(spark, d, "read_seqs").select("read_id", "seq", "lib_code", "batch_no")
         key = S.read_key("seq")
-        self.targets = self.ws.write(self.reads.where("lib_code = 'ctrl'").select("read_id", key.alias("seq")).where("seq is not null").groupBy("seq").agg(F.min("read_id").alias("tid")), "targets")
+        of = self.reads if library is None else self.reads.where(F.col("lib_code") == library)
+        self.targets = self.ws.write(of.select("read_id", key.alias("seq")).where("seq is not null").groupBy("seq").agg(F.min("read_id").alias("tid")), "targets")
         self.lengths = self.reads.where("seq is not null").select("read_id", F.length(S.squeeze("seq")).alias("n"))
 
     def seeds(self):
@@ -219,33 +233,38 @@ class Mapped:
 
 
 @query(f"WITH {_SEEDS} SELECT read_id, tid, fwd, count(*) AS n_seeds FROM seeds GROUP BY ALL")
-def seed_hits(spark, d):
+@whole
+def seed_hits(spark, d, library=SQL_LIBRARY):
     """#68, #84: seeds of 19 bases of every read in every target, both strands."""
-    return Mapped(spark, d).seeds().groupBy("read_id", "tid", "fwd").agg(F.count(F.lit(1)).alias("n_seeds"))
+    return Mapped(spark, d, library).seeds().groupBy("read_id", "tid", "fwd").agg(F.count(F.lit(1)).alias("n_seeds"))
 
 
 @query(f"WITH {_SEEDS} SELECT read_id, tid, fwd, rpos, tpos, len FROM mems")
-def mem_merge(spark, d):
+@whole
+def mem_merge(spark, d, library=SQL_LIBRARY):
     """#84: maximal exact matches."""
-    return Mapped(spark, d).matches()
+    return Mapped(spark, d, library).matches()
 
 
 @query(f"WITH {_CLUSTER} SELECT read_id, tid, fwd, anchor::INT AS anchor, coverage FROM cl")
-def vote_cluster(spark, d):
+@whole
+def vote_cluster(spark, d, library=SQL_LIBRARY):
     """#110: anchored clusters of votes with their coverage."""
-    return Mapped(spark, d).clusters()
+    return Mapped(spark, d, library).clusters()
 
 
 @query(f"WITH {_CLUSTER} SELECT read_id, tid, fwd, pos::INT AS pos, coverage, round(score, 9) AS score FROM best")
-def best_location(spark, d):
+@whole
+def best_location(spark, d, library=SQL_LIBRARY):
     """#120: best place and strand of every read in every target it hits."""
-    return Mapped(spark, d).best().withColumn("score", F.round("score", 9))
+    return Mapped(spark, d, library).best().withColumn("score", F.round("score", 9))
 
 
 @query(f"WITH {_CLUSTER}, few AS (SELECT read_id FROM best GROUP BY read_id HAVING count(*) <= 20) SELECT read_id, tid FROM best JOIN few USING (read_id) WHERE score >= 0.75")
-def max_read_occ(spark, d):
+@whole
+def max_read_occ(spark, d, library=SQL_LIBRARY):
     """#69, #70: hits of reads with at most 20 targets that cover three quarters of the read."""
-    m = Mapped(spark, d)
+    m = Mapped(spark, d, library)
     return M.limit_hits(m.ws.write(m.best(), "best"), "read_id", 20).where("score >= 0.75").select("read_id", "tid")
 
 
@@ -253,9 +272,10 @@ def max_read_occ(spark, d):
   FROM best a JOIN best b USING (tid) WHERE a.read_id % 2 = 0 AND b.read_id = a.read_id + 1 AND a.score >= 0.75 AND b.score >= 0.75),
 q AS (SELECT *, CASE WHEN f1 THEN b1 ELSE b1 + n1 END AS p1, CASE WHEN f2 THEN b2 ELSE b2 + n2 END AS p2 FROM m)
 SELECT pair, tid, (abs(b1 - b2) + n2)::INT AS frag_len, round((s1 + s2) / 2, 9) AS score, {_PAIR} AS format FROM q""")
-def mate_join(spark, d):
+@whole
+def mate_join(spark, d, library=SQL_LIBRARY):
     """#83: targets that both mates (reads 2j and 2j + 1) hit."""
-    m = Mapped(spark, d)
+    m = Mapped(spark, d, library)
     b = m.ws.write(m.best().join(m.lengths, "read_id").withColumn("pair", F.floor(F.col("read_id") / 2)), "best")
     p = M.mate_pairs(b.where("read_id % 2 = 0"), b.where("read_id % 2 = 1"), "pair", "tid")
     return p.select("pair", "tid", "frag_len", F.round("score", 9).alias("score"), _joined(F.col("format")).alias("format"))
@@ -263,16 +283,18 @@ def mate_join(spark, d):
 
 @query(f"""WITH {_SEEDS}, x AS (SELECT read_id, rpos, least(rpos - coalesce(lag(rpos) OVER (PARTITION BY read_id ORDER BY rpos), 0), 20) AS d FROM (SELECT DISTINCT read_id, rpos FROM seeds WHERE fwd))
 SELECT read_id, sum(d)::BIGINT AS covered FROM x GROUP BY read_id""")
-def basis_covered(spark, d):
+@whole
+def basis_covered(spark, d, library=SQL_LIBRARY):
     """#105: bases covered by the forward seeds of a read."""
-    return M.bases_covered(Mapped(spark, d).seeds().where("fwd").select("read_id", "rpos").distinct(), ["read_id"], "rpos")
+    return M.bases_covered(Mapped(spark, d, library).seeds().where("fwd").select("read_id", "rpos").distinct(), ["read_id"], "rpos")
 
 
 @query(f"""WITH RECURSIVE {_SEEDS}, h AS (SELECT DISTINCT read_id, tid FROM seeds), e AS (SELECT DISTINCT a.tid AS x, b.tid AS y FROM h a JOIN h b USING (read_id)),
 reach(x, r) AS (SELECT x, x FROM e UNION SELECT e.y, reach.r FROM reach JOIN e ON e.x = reach.x WHERE reach.r < e.y) SELECT x AS node, min(r) AS cluster FROM reach GROUP BY x""")
-def target_clusters(spark, d):
+@whole
+def target_clusters(spark, d, library=SQL_LIBRARY):
     """#128: targets linked by shared reads."""
-    m = Mapped(spark, d)
+    m = Mapped(spark, d, library)
     return clusters.shared_members(m.seeds().select("read_id", "tid").distinct(), "read_id", "tid")
 
 
@@ -311,18 +333,20 @@ def online_model(m: Mapped) -> tuple[OnlineAbundance, DataFrame]:
 
 
 @query(_online_sql())
-def minibatch_round(spark, d):
+@whole
+def minibatch_round(spark, d, library=SQL_LIBRARY):
     """#135: one pass of the online estimation over the batches in which the reads arrived."""
-    model, hits = online_model(Mapped(spark, d))
+    model, hits = online_model(Mapped(spark, d, library))
     for b in sorted(r.batch_no for r in hits.select("batch_no").distinct().collect()):  # one row a batch
         model.update(hits.where(F.col("batch_no") == b))
     return model.shares().select("tid", F.round("log_mass", 6).alias("log_mass"), F.round("share", 7).alias("share"))
 
 
 @query(_online_sql())
-def stream_round(spark, d):
+@whole
+def stream_round(spark, d, library=SQL_LIBRARY):
     """#9, #135, #138: the same batches as a stream of files, one file a micro-batch."""
-    m = Mapped(spark, d)
+    m = Mapped(spark, d, library)
     model, hits = online_model(m)
     for b in sorted(r.batch_no for r in hits.select("batch_no").distinct().collect()):
         hits.where(F.col("batch_no") == b).select("read_id", "tid").coalesce(1).write.mode("append").parquet(m.ws.where("arriving"))
