@@ -11,8 +11,10 @@
 
 Mutual information of the pairs alone cannot isolate the runs: garbling is systematic, so the two characters that
 a letter became occur nearly always together, and their mutual information is among the highest of the corpus.
-What tells them apart is that the restored pairs are attested in more documents.  So the segment with the greatest
-score is looked for among the restored forms of a run, not from the pairs of the garbled form.
+What tells them apart is that the restored pairs are attested in more documents.  So the form with the greatest score
+is looked for among the restored forms of a run, not from the pairs of the garbled form.  A run that is garbled in part
+fails as a whole; then the stretches of it that an encoding can write and that are UTF-8 are restored one by one, the
+one with the greatest score first.
 """
 
 from __future__ import annotations
@@ -37,6 +39,9 @@ RIGHT_MULTI = ("gb18030", "shift_jis", "euc_jp", "euc_kr", "big5")
 
 #: The core of a run: characters beyond ASCII with the letters and digits between them.
 _CORE = re.compile(r"[^\x00-\x7f]+(?:[0-9A-Za-z_]*[^\x00-\x7f]+)*")
+#: Bytes of a stretch of UTF-8: characters beyond ASCII with the letters and digits between them.
+_WIDE = rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})"
+_STRETCH = re.compile(_WIDE + rb"(?:[0-9A-Za-z_]*" + _WIDE + rb")*")
 #: A run takes in the letters and digits that adjoin its core, up to this number on either side.
 _REACH = 64
 _ALNUM = frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
@@ -225,8 +230,56 @@ class Judge:
                     continue
                 if gain >= self.least_gain and (best is None or gain > best[2]):
                     best = (text, f"{wrong}>{right}", gain)
+        if best is None or not best[1].endswith(">utf_8"):
+            part = self._in_part(before[-1], run, after[0])
+            if part is not None and (best is None or part[2] > best[2]):
+                return part
         return best
 
+    @staticmethod
+    def _stretches(text: str):
+        """(encoding, start, end, restored) of the maximal stretches that an encoding can write and that are UTF-8 then."""
+        for name in WRONG_SINGLE:
+            table = _TO_BYTE[name]
+            raw = bytes([table.get(ord(c), 255) for c in text])  # 255 is no byte of UTF-8
+            for m in _STRETCH.finditer(raw):
+                try:
+                    yield name, m.start(), m.end(), m.group().decode("utf-8")
+                except UnicodeDecodeError:
+                    pass
+        if any(ord(c) >= 0x2E80 for c in text):
+            for name in WRONG_MULTI:
+                raw, at = b"", {0: 0}
+                for i, c in enumerate(text):
+                    raw += c.encode(name, "ignore") or b"\xff"
+                    at[len(raw)] = i + 1
+                for m in _STRETCH.finditer(raw):
+                    if m.start() in at and m.end() in at:
+                        try:
+                            restored = m.group().decode("utf-8")
+                        except UnicodeDecodeError:
+                            continue
+                        if all(ord(c) < 0x2E80 for c in restored):  # the blocks of the large scripts prove nothing here
+                            yield name, at[m.start()], at[m.end()], restored
+
+    def _in_part(self, before: str, run: str, after: str) -> tuple[str, str, float] | None:
+        """(run, mapping, gain) with the stretches restored that are better attested so, every pair of them; None if none is.
+        The least gain of a stretch is that of the run."""
+        text, first, least_gain, seen = run, None, 99.0, {run}
+        while True:
+            best = None
+            whole = before + text + after
+            for wrong, i, j, restored in self._stretches(text):
+                left, right = whole[i], whole[j + 1]
+                mean, least = self.score(left + restored + right)
+                gain = mean - self.score(left + text[i:j] + right)[0]
+                if gain >= self.least_gain and least >= self.least_documents and (best is None or gain * len(restored) > best[0]):
+                    best = (gain * len(restored), text[:i] + restored + text[j:], f"{wrong}>utf_8", gain)
+            if best is None or best[1] in seen:
+                return (text, first, least_gain) if first else None
+            text, first, least_gain = best[1], first or best[2], min(least_gain, best[3])
+            seen.add(text)
+
     def forms(self, run: str) -> dict[str, str]:
         """Every text -> mapping that a short run may have been before one wrong reading, likely or not."""
         out: dict[str, str] = {}

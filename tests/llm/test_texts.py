@@ -137,6 +137,15 @@ def test_short_quoted_literals_are_judged(spark):
     assert {r.doc_id for r in G.garbled_documents(df, "doc_id", "text").collect()} == set(back)
 
 
+def test_runs_garbled_in_part_are_restored(spark):
+    plain = ["il dit “été” là", "un été “chaud”", "l'été — là", "“été” et été", "说“你好”吧", "是“中文”字"] * 4
+    bad = {"il dit “Ã©tÃ©” là": plain[0], "说â€œ你好”吧": plain[4]}
+    docs = [*plain, *bad]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    back = {r.doc_id: r.text for r in G.restore(df, "doc_id", "text").collect()}
+    assert {docs[i]: t for i, t in back.items()} == bad
+
+
 def test_garbled_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert G.garbled_documents(df, "doc_id", "text").count() == 0 and G.restore(df, "doc_id", "text").count() == 0
