@@ -138,18 +138,47 @@ def runs(text: str, literals: bool = False):
         yield i, j, f"{_spaced(before) or ' '}\t{text[i:j]}\t{_spaced(after) or ' '}"
 
 
+class Pairs:
+    """Documents per pair, as two sorted arrays: eight bytes a pair."""
+
+    def __init__(self, pairs: np.ndarray, n: np.ndarray):
+        order = np.argsort(pairs)
+        self.pairs, self.n = pairs[order], n[order]
+
+    def __len__(self) -> int:
+        return len(self.pairs)
+
+    def __getitem__(self, pair: int) -> int:
+        i = int(self.pairs.searchsorted(np.int32(pair)))
+        return int(self.n[i]) if i < len(self.pairs) and self.pairs[i] == pair else 0
+
+
+class _Association(dict):
+    """Association of pairs in bits, looked up when first asked for; the answers kept are at most ``most``."""
+
+    def __init__(self, table: Pairs, most: int = 500_000):
+        super().__init__()
+        self.table, self.most = table, most
+
+    def __missing__(self, pair: int) -> float:
+        if len(self) >= self.most:
+            self.clear()
+        x = self[pair] = math.log2(1 + self.table[pair])
+        return x
+
+
 class Judge:
-    """Decides on runs with the corpus statistics: ``table`` maps a pair to the number of its documents."""
+    """Decides on runs with the corpus statistics: ``table`` has the number of documents of a pair."""
 
-    def __init__(self, table: dict[int, int], least_gain: float = 1.0, least_documents: int = 2):
-        self.log = {p: math.log2(1 + n) for p, n in table.items()}
+    def __init__(self, table: Pairs, least_gain: float = 1.0, least_documents: int = 2):
+        self.log = _Association(table)
         self.least_gain, self.least_documents = least_gain, math.log2(1 + least_documents)
 
     def score(self, text: str) -> tuple[float, float]:
         """Mean and least association, in bits, of the pairs with a character beyond ASCII; (nothing, nothing) without."""
         total, n, least = 0.0, 0, 99.0
         last = None
-        get = self.log.get
+        log = self.log
         for ch in text:
             c = ord(ch)
             if c >= 0x0600 and not 0x1E00 <= c < 0x2700:
@@ -157,7 +186,7 @@ class Judge:
             elif c < 32:
                 c = 32
             if last is not None and (c > 127 or last > 127):
-                x = get(last << 14 | c, 0.0)
+                x = log[last << 14 | c]
                 total, n = total + x, n + 1
                 if x < least:
                     least = x
@@ -313,17 +342,13 @@ def _count_pairs(batches):
         yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], ["pair", "n"])
 
 
-def pair_table(docs: DataFrame, text: str, most: int = 4_000_000) -> dict[int, int]:
-    """Documents per pair, over all documents. Pairs of one document say nothing and are left out. The classes bound
-    the table; should it still have more than ``most`` pairs, the least frequent ones are left out by raising the
-    least number of documents, which changes a pair's association by less than a bit for each doubling."""
+def pair_table(docs: DataFrame, text: str) -> Pairs:
+    """Documents per pair, over all documents. Pairs of one document say nothing and are left out; no other pair is, as
+    the classes bound the table, not the number of documents."""
     counts = docs.select(text).mapInArrow(_count_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     counts = Workspace(docs.sparkSession, "pairs").write(counts, "counts")
-    least = 2
-    while counts.where(F.col("n") >= least).count() > most:
-        least *= 2
-    t = counts.where(F.col("n") >= least).toArrow()
-    return dict(zip(t["pair"].to_pylist(), t["n"].to_pylist()))
+    t = counts.where("n >= 2").select(F.col("pair").cast("int"), F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
+    return Pairs(t["pair"].to_numpy(), t["n"].to_numpy())
 
 
 def _list_runs(batches):

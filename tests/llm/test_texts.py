@@ -146,6 +146,14 @@ def test_runs_garbled_in_part_are_restored(spark):
     assert {docs[i]: t for i, t in back.items()} == bad
 
 
+def test_no_pair_is_left_out_of_a_large_table(spark):
+    chars = [*map(chr, range(0x80, 0x600)), *map(chr, range(0x1E00, 0x2100))]
+    t = "".join(f"{a}{b}" for a in chars for b in chars)  # more than four million pairs, each in three documents
+    table = G.pair_table(spark.createDataFrame([(t,)] * 3, "text string"), "text")
+    assert len(table) > 4_000_000
+    assert all(table[ord(a) << 14 | ord(b)] == 3 for a, b in zip(chars[:200], chars[-200:])) and table[97 << 14 | 98] == 0
+
+
 def test_garbled_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert G.garbled_documents(df, "doc_id", "text").count() == 0 and G.restore(df, "doc_id", "text").count() == 0
