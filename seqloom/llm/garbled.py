@@ -323,17 +323,17 @@ class Judge:
         return out
 
     def _further(self, text: str) -> str | None:
-        """The text after up to three more rounds of UTF-8 that was read wrongly, as far as they can be undone."""
-        out = None
-        for _ in range(3):
+        """The text after all further rounds of UTF-8 that was read wrongly, as far as they can be undone."""
+        out, seen = None, {text}
+        while True:
             for _, raw in self._bytes(text):
                 earlier = self._utf8(raw)
-                if earlier and earlier != text and not earlier.isascii():
+                if earlier and earlier not in seen and not earlier.isascii():
                     out = text = earlier
+                    seen.add(text)
                     break
             else:
-                break
-        return out
+                return out
 
 
 def _count_pairs(batches):

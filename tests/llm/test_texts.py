@@ -154,6 +154,16 @@ def test_no_pair_is_left_out_of_a_large_table(spark):
     assert all(table[ord(a) << 14 | ord(b)] == 3 for a, b in zip(chars[:200], chars[-200:])) and table[97 << 14 | 98] == 0
 
 
+def test_all_rounds_of_wrong_reading_are_undone(spark):
+    plain, t = "un été là, l'été", "un été là, l'été"
+    docs = [plain] * 3
+    for _ in range(6):
+        t = garble(t, "utf-8", "cp1252")
+        docs.append(t)
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in G.restore(df, "doc_id", "text").collect()} == {i: plain for i in range(3, 9)}
+
+
 def test_garbled_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert G.garbled_documents(df, "doc_id", "text").count() == 0 and G.restore(df, "doc_id", "text").count() == 0
