@@ -62,11 +62,11 @@ class _Reads:
     """Counts over the reads of the libraries in count_params."""
 
     def __init__(self, spark: SparkSession, d: str):
-        rows = _params(spark, d).orderBy("lib_code").limit(10_000).collect()  # parameters, one row a library
+        rows = _params(spark, d).orderBy("lib_code").collect()  # parameters, one row a library
         self.ks = {i: r.p_k for i, r in enumerate(rows)}
         self.params = spark.createDataFrame([(i, r.lib_code, r.ci, r.cx) for i, r in enumerate(rows)], "grp int, lib_code string, ci int, cx int")
-        number = F.coalesce(*(F.when(F.col("lib_code") == r.lib_code, F.lit(i)) for i, r in enumerate(rows)), F.lit(None).cast("int"))
-        self.reads = table(spark, d, "read_seqs").select(number.alias("grp"), "seq", "run_at", "loaded_at", F.lit(1).alias("sign")).where("grp is not null")
+        groups = F.broadcast(self.params.select("grp", "lib_code"))
+        self.reads = table(spark, d, "read_seqs").join(groups, "lib_code").select("grp", "seq", "run_at", "loaded_at", F.lit(1).alias("sign"))
         self.n_bases = self.reads.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()[0]
         self.store = TermCounts(spark, self.ks)
 
