@@ -99,10 +99,15 @@ class SeenKeys:
                 level += 1
 
     def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        out = runs[0]
-        for r in runs[1:]:
-            out = out.unionByName(r)
-        return out.groupBy("h", "key").agg(F.min("ord").alias("ord")) if len(runs) > 1 else out
+        if len(runs) == 1:
+            return runs[0]
+        # Spark takes a union of bucketed scans for partitioned by key, leaves the exchange out and only appends their
+        # partitions; the inverted hash hides the buckets from it
+        out = None
+        for r in runs:
+            r = r.select(F.bitwise_not("h").alias("h"), "key", "ord")
+            out = r if out is None else out.unionByName(r)
+        return out.groupBy("h", "key").agg(F.min("ord").alias("ord")).select(F.bitwise_not("h").alias("h"), "key", "ord")
 
     def compact(self) -> None:
         """Merge all runs into one."""
@@ -124,12 +129,12 @@ class SeenKeys:
         A row is no repeat exactly if its ord is the stored one of its key, so rows and runs are compared by
         ord, which has no hot values, not by key.
         """
-        first = None
-        for r in self._runs():
-            r = r.select(F.col("ord").alias("__seqloom_first"))
-            first = r if first is None else first.unionByName(r)
         rows = rows.where(F.col(key).isNotNull() & F.col(ord).isNotNull())
-        return rows.limit(0) if first is None else rows.join(first, F.col(ord) == F.col("__seqloom_first"), "left_anti")
+        if not self._runs():
+            return rows.limit(0)
+        # a key may stand in several runs, with an earlier ord in the later one
+        first = self.firsts().select(F.col("ord").alias("__seqloom_first"))
+        return rows.join(first, F.col(ord) == F.col("__seqloom_first"), "left_anti")
 
     def probe(self, questions: DataFrame, key: str, ord: str) -> DataFrame:  # noqa: A002
         """Questions whose key is stored with an ord before theirs, with all their columns.

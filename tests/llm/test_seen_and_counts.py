@@ -48,6 +48,15 @@ def test_probe_with_late_rows(spark):
     assert sorted(r.q for r in store.probe(q, "k", "ord").collect()) == [1, 3, 4, 8]
 
 
+def test_repeats_with_an_earlier_row_in_a_later_batch(spark):
+    seen = SeenKeys(spark, fanout=9, buckets=2)
+    rows = [("A", 5), ("B", 1), ("A", 3), ("A", 4), ("B", 2)]
+    for r in rows:
+        seen.ingest(spark.createDataFrame([r], "key string, id long"), "key", "id")
+    every = spark.createDataFrame(rows, "key string, id long")
+    assert sorted(r.id for r in seen.repeats(every, "key", "id").collect()) == [2, 4, 5]
+
+
 def test_store_without_rows(spark):
     df = spark.createDataFrame([], "id long, k string")
     store = SeenKeys(spark)
