@@ -20,30 +20,33 @@ from .tokenizer import encode, measure
 # -- 1. has this key been seen before?
 
 
-def _seen(spark: SparkSession, d: str, n_batches: int = 4) -> tuple[SeenKeys, SeenKeys, DataFrame, DataFrame]:
+def _seen_reads(spark: SparkSession, d: str, n_batches: int = 4) -> SeenKeys:
     reads = table(spark, d, "read_seqs").select("read_id", read_key("seq").alias("read_key"))
-    hits = table(spark, d, "kmer_hits").select("hit_id", "kmer_id", "loaded_at")
-    by_read, by_class = SeenKeys(spark), SeenKeys(spark)
+    store = SeenKeys(spark)
     for b in batches(reads, "read_id", n_batches):
-        by_read.ingest(b, "read_key", "read_id")
+        store.ingest(b, "read_key", "read_id", answer=True)
+    return store
+
+
+def _seen_classes(spark: SparkSession, d: str, n_batches: int = 4) -> SeenKeys:
+    hits = table(spark, d, "kmer_hits").select("hit_id", "kmer_id", "loaded_at")
+    store = SeenKeys(spark)
     for b in batches(hits, "hit_id", n_batches):
-        by_class.ingest(b.where(is_id("kmer_id")), "kmer_id", "loaded_at")
-    questions = table(spark, d, "kmer_queries").where(is_id("kmer_id"))
-    return by_read, by_class, reads, questions
+        store.ingest(b.where(is_id("kmer_id")), "kmer_id", "loaded_at")
+    return store
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    by_read, by_class, reads, questions = _seen(spark, d)
-    a = by_read.repeats(reads, "read_key", "read_id").select(F.lit("read_seqs.seq").alias("field"), F.col("read_id").alias("rec_id"))
-    b = by_class.probe(questions, "kmer_id", "asked_at").select(F.lit("kmer_queries.kmer_id").alias("field"), F.col("query_id").alias("rec_id"))
+    questions = table(spark, d, "kmer_queries").where(is_id("kmer_id"))
+    a = _seen_reads(spark, d).repeats().select(F.lit("read_seqs.seq").alias("field"), F.col("ord").alias("rec_id"))
+    b = _seen_classes(spark, d).probe(questions, "kmer_id", "asked_at").select(F.lit("kmer_queries.kmer_id").alias("field"), F.col("query_id").alias("rec_id"))
     return a.unionByName(b)
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
     """Per field: distinct keys stored, and wrong answers of the hash alone at the first rows of keys (verified hits have none)."""
-    by_read, by_class, _, _ = _seen(spark, d)
-    one = by_read.report().select(F.lit("read_seqs.seq").alias("field"), "*")
-    two = by_class.report().select(F.lit("kmer_queries.kmer_id").alias("field"), "*")
+    one = _seen_reads(spark, d).report().select(F.lit("read_seqs.seq").alias("field"), "*")
+    two = _seen_classes(spark, d).report().select(F.lit("kmer_queries.kmer_id").alias("field"), "*")
     return one.unionByName(two).withColumn("wrong_rate", F.when(F.col("n_keys") > 0, F.col("n_false_hits") / F.col("n_keys")).otherwise(F.lit(0.0)))
 
 

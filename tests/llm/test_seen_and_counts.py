@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from seqloom.llm.heavy_items import most_frequent, shrink, summary
 from seqloom.llm.seen_keys import SeenKeys, batches
@@ -25,19 +26,35 @@ def test_repeats_agree_with_a_set(spark, bits, n_batches):
     df = spark.createDataFrame(rows, "id long, k string, key string, h int")
     store = SeenKeys(spark, fanout=2, hash_bits=bits)
     for b in batches(df, "id", n_batches):
-        store.ingest(b, "k", "id")
+        store.ingest(b, "k", "id", answer=True)
     seen, expected = set(), set()
     for i, k, *_ in rows:
         if k is not None:
             if k in seen:
                 expected.add(i)
             seen.add(k)
-    got = store.repeats(df, "k", "id")
-    assert got.columns == df.columns and sorted(r.id for r in got.collect()) == sorted(expected)
+    assert sorted(r.ord for r in store.repeats().collect()) == sorted(expected)
     report = store.report().first()
     assert report.n_keys == len(seen) and (report.n_false_hits == 0) == (bits == 64)
-    store.compact()
-    assert sorted(r.id for r in store.repeats(df, "k", "id").collect()) == sorted(expected)
+
+
+@pytest.mark.parametrize("bits", [64, 2])
+def test_late_keys_through_compactions_stay_one_row_a_key(spark, bits):
+    """Keys that come again earlier and earlier, through merges of two levels: one row a key, with the earliest ord."""
+    rng = random.Random(bits)
+    store, first, rows = SeenKeys(spark, fanout=2, hash_bits=bits, buckets=3), {}, []
+    for i in reversed(range(6)):
+        part = [(rng.choice(["K", None, *[f"k{j}" for j in range(30)]]), 100 * i + j) for j in range(40)]
+        rows += part
+        store.ingest(spark.createDataFrame(part, "k string, t long"), "k", "t", answer=True)
+        for k, t in part:
+            if k is not None:
+                first[k] = min(t, first.get(k, t))
+    assert len(store.levels) > 2
+    assert sorted(r.ord for r in store.repeats().collect()) == sorted(t for k, t in rows if k is not None and t > first[k])
+    got = store.firsts().collect()
+    assert len(got) == len(first) and {r.key: r.ord for r in got} == first
+    assert store.report().first().n_keys == len(first)
 
 
 def test_probe_with_late_rows(spark):
@@ -50,19 +67,60 @@ def test_probe_with_late_rows(spark):
 
 def test_repeats_with_an_earlier_row_in_a_later_batch(spark):
     seen = SeenKeys(spark, fanout=9, buckets=2)
-    rows = [("A", 5), ("B", 1), ("A", 3), ("A", 4), ("B", 2)]
-    for r in rows:
-        seen.ingest(spark.createDataFrame([r], "key string, id long"), "key", "id")
-    every = spark.createDataFrame(rows, "key string, id long")
-    assert sorted(r.id for r in seen.repeats(every, "key", "id").collect()) == [2, 4, 5]
+    for r in [("A", 5), ("B", 1), ("A", 3), ("A", 4), ("B", 2)]:
+        seen.ingest(spark.createDataFrame([r], "key string, id long"), "key", "id", answer=True)
+    assert sorted(r.ord for r in seen.repeats().collect()) == [2, 4, 5]
 
 
 def test_store_without_rows(spark):
     df = spark.createDataFrame([], "id long, k string")
     store = SeenKeys(spark)
-    assert store.repeats(df, "k", "id").count() == 0 and store.probe(df, "k", "id").count() == 0
-    store.ingest(df, "k", "id")
-    assert store.repeats(df, "k", "id").count() == 0 and store.report().first().n_keys == 0
+    assert store.repeats().count() == 0 and store.probe(df, "k", "id").count() == 0 and store.report().first().n_keys == 0
+    store.ingest(df, "k", "id", answer=True)
+    assert store.repeats().count() == 0 and store.report().first().n_keys == 0
+
+
+def test_store_is_opened_again_and_leaves_nothing_behind(spark, tmp_path):
+    path, before = f"file://{tmp_path}/store", {r.tableName for r in spark.sql("show tables").collect()}
+    settings = dict(spark.conf.getAll)
+    one = spark.createDataFrame([("a", 1), ("b", 2)], "k string, t long")
+    SeenKeys(spark, path=path).ingest(one, "k", "t", batch_id="one", answer=True)
+    store = SeenKeys(spark, path=path)
+    store.ingest(one, "k", "t", batch_id="one", answer=True)  # a retry
+    store.ingest(spark.createDataFrame([("a", 3), ("c", 4)], "k string, t long"), "k", "t", batch_id="two", answer=True)
+    again = SeenKeys(spark, path=path)
+    assert [r.ord for r in again.repeats().collect()] == [3] and {r.key for r in again.firsts().collect()} == {"a", "b", "c"}
+    assert {r.tableName for r in spark.sql("show tables").collect()} == before and dict(spark.conf.getAll) == settings
+
+
+def scans_of(df):
+    """Rows given out by each scan of an executed plan, and the plan."""
+    df.collect()
+    plan, out = df._jdf.queryExecution().executedPlan(), []
+
+    def walk(p):
+        name = p.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(p.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(p.plan())
+        if name == "FileSourceScanExec":
+            out.append(p.metrics().apply("numOutputRows").value())
+        for i in range(p.children().size()):
+            walk(p.children().apply(i))
+
+    walk(plan)
+    return out, plan.toString()
+
+
+def test_fences_leave_most_of_a_run_unread_and_nothing_is_sorted_or_shuffled(spark):
+    store = SeenKeys(spark, buckets=2)
+    store.ingest(spark.range(400_000).selectExpr("id as k", "id as t"), "k", "t")
+    asked = store._flush(spark.createDataFrame([(5, 9), (7, 9)], "k long, t long"), F.col("k"), F.lit(None).cast("long"))
+    rows, plan = scans_of(store.probed(asked))
+    assert sum(rows) < 200_000 and "Sort " not in plan and "Exchange" not in plan
+    whole, _ = scans_of(store.probed(store.runs[0]))
+    assert max(whole) == 400_000
 
 
 # -- 2
