@@ -27,8 +27,8 @@ from ..plans.workspace import Workspace, private_session
 
 _BY = ["h", "key"]
 _FENCE_BITS = 12
-#: More touched blocks than this are not worth a filter.
-_MOST_RANGES = 1024
+#: Ranges of a filter: more would skip little more, and take longer to plan.
+_MOST_RANGES = 32
 
 
 class SeenKeys:
@@ -99,20 +99,17 @@ class SeenKeys:
         return self._save(new)
 
     def _fences(self, flushed: DataFrame) -> list[tuple[int, int]] | None:
-        """Ranges of the hashes that the flushed keys lie in; None if these are too many to be worth a filter."""
+        """Ranges of the hashes that the flushed keys lie in, at most _MOST_RANGES, joined across the smallest gaps; None if the
+        keys are so many that nearly every block is touched."""
         shift = max(0, self.hash_bits - _FENCE_BITS)
-        if flushed.count() > 4 << _FENCE_BITS:  # a count of the footers; so many keys touch nearly every block
+        if flushed.count() > 4 << _FENCE_BITS:  # a count of the footers
             return None
-        blocks = sorted(r.b for r in flushed.select(F.shiftright("h", shift).alias("b")).distinct().limit(_MOST_RANGES + 1).collect())
-        if len(blocks) > _MOST_RANGES:
-            return None
-        ranges: list[list[int]] = []
-        for b in blocks:
-            if ranges and ranges[-1][1] == b - 1:
-                ranges[-1][1] = b
-            else:
-                ranges.append([b, b])
-        return [(a << shift, (b + 1 << shift) - 1) for a, b in ranges]
+        blocks = sorted(r.b for r in flushed.select(F.shiftright("h", shift).alias("b")).distinct().collect())  # at most 4096
+        if not blocks:
+            return []
+        gaps = sorted(range(1, len(blocks)), key=lambda i: blocks[i - 1] - blocks[i])[: _MOST_RANGES - 1]
+        cuts = [0, *sorted(i for i in gaps if blocks[i] - blocks[i - 1] > 1), len(blocks)]
+        return [(blocks[i] << shift, (blocks[j - 1] + 1 << shift) - 1) for i, j in zip(cuts, cuts[1:])]
 
     def _run(self, name: str, fences: list[tuple[int, int]] | None) -> DataFrame:
         run = self._table(name)
