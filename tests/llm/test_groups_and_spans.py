@@ -4,8 +4,9 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from seqloom.llm import shared_spans as S
 from seqloom.llm.components import connected_components, star_edges
-from seqloom.llm.shared_spans import shared_spans, window_hashes
+from seqloom.llm.shared_spans import shared_spans
 from seqloom.plans.workspace import Workspace
 
 # -- 6
@@ -101,10 +102,26 @@ def test_spans_of_nothing(spark):
     assert shared_spans(spark.createDataFrame([], "t long, k array<long>"), "t", "k", 4).count() == 0
 
 
-def test_rolling_hash_is_position_free():
-    x = np.random.default_rng(1).integers(0, 50, 200)
-    x[120:160] = x[10:50]
-    with np.errstate(over="ignore"):
-        a, b = window_hashes(x, 32)
-        c, _ = window_hashes(x[10:42], 32)
-    assert a[10] == a[120] == c[0] and b[10] == b[120] and len(set(zip(a, b))) == 169 - 9
+def test_rolling_hash_is_a_polynomial_modulo_the_prime():
+    rng = random.Random(2)
+    x = np.array([rng.choice([-1, 0, 7, 2**63 - 1, -(2**63), rng.randint(-(2**62), 2**62)]) for _ in range(300)], np.int64)
+    r = [int(v) for v in S._residues(x)]
+    for width in (1, 2, 3, 31, 32, 33, 100, 300):
+        slow = [sum(t * pow(S._BASE, width - 1 - j, S.PRIME) for j, t in enumerate(r[p : p + width])) % S.PRIME for p in range(300 - width + 1)]
+        assert S.window_hashes(x, width).tolist() == slow
+
+
+@pytest.mark.parametrize("width", [1024, 2048, 4096])
+def test_words_that_meet_under_powers_of_two_do_not_meet(width):
+    word = np.array([bin(i).count("1") & 1 for i in range(width)], np.int64)
+    assert S.window_hashes(word, width)[0] != S.window_hashes(1 - word, width)[0]
+
+
+@pytest.mark.parametrize("bits", [1, 5])
+def test_windows_that_meet_under_a_hash_are_told_apart(spark, bits):
+    rng = random.Random(bits)
+    base = [rng.randint(0, 5) for _ in range(60)]
+    rows = [(rec, base[(a := rng.randint(0, 40)) : a + rng.randint(0, 12)] + [rng.randint(0, 10**6) for _ in range(9)]) for rec in range(12)]
+    rows.append((3, rows[5][1]))
+    df = spark.createDataFrame(rows, "t long, k array<long>")
+    assert {tuple(r) for r in shared_spans(df, "t", "k", 4, hash_bits=bits).collect()} == brute_spans(rows, 4)
