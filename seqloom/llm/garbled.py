@@ -28,7 +28,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.workspace import Workspace
-from .tokenizer import small_batches
 
 REPLACEMENT = "�"
 #: Encodings that text may have been read in by mistake, and those it may have been written in.
@@ -404,7 +403,6 @@ def garbled_runs(docs: DataFrame, doc: str, text: str, sure: float = 3.5) -> tup
     literal on a line that names characters is garbled only if another form of it stands there in more documents.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     ws = Workspace(spark, "garbled")
     docs = docs.where(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
     table = spark.sparkContext.broadcast(pair_table(docs, "text"))

@@ -179,12 +179,12 @@ def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    """Every document of a listed source with the number of times the mix uses it."""
+    """The documents of a mix of as many tokens as those of the listed sources, with the number of times each is used."""
     return _mixed(spark, d)[0]
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Per listed source: its target share, what it had, what was used, and the share reached."""
+    """Per listed source: its target share, what it had, what it was to give and gave, what it fell short by, and the share reached."""
     return _mixed(spark, d)[1]
 
 

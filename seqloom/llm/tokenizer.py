@@ -19,8 +19,6 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-import regex
-import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +28,6 @@ SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _SEGMENT = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
-_PATTERN = regex.compile(PATTERN)
 
 
 def byte_characters() -> list[str]:
@@ -101,7 +98,11 @@ class Codec:
     """Encoder and decoder; ids as the bytes of little-endian int32."""
 
     def __init__(self, model: bytes, most_segments: int = 300_000, most_pretokens: int = 150_000):
+        import regex
+        import sentencepiece  # only needed here, so the other operators work without it
+
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.pattern = regex.compile(PATTERN)
         chars = byte_characters()
         self._chars = {b: c for b, c in enumerate(chars)}
         self._bytes = {ord(c): b for b, c in enumerate(chars)}
@@ -113,7 +114,7 @@ class Codec:
         return np.asarray(self.sp.encode(mapped), np.int32).tobytes()
 
     def _segment(self, text: str) -> bytes:
-        return b"".join(map(self.pretokens.__getitem__, _PATTERN.findall(text)))
+        return b"".join(map(self.pretokens.__getitem__, self.pattern.findall(text)))
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.segments.__getitem__, _SEGMENT.findall(text)))
@@ -148,13 +149,6 @@ def shared_model(spark: SparkSession, ranks: str | None = None):
     return spark.sparkContext.broadcast(serialise(read_ranks(path)))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch, as texts can be long; a smaller setting is left alone."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, rows)
-
-
 def encode(df: DataFrame, doc: str, text: str, ranks: str | None = None) -> DataFrame:
     """(doc, ids array<int>): the ids of every text, without special tokens.
 
@@ -162,7 +156,6 @@ def encode(df: DataFrame, doc: str, text: str, ranks: str | None = None) -> Data
     texts are encoded, whatever their length. Rows stay as they are: a repeated row is encoded again.
     """
     model = shared_model(df.sparkSession, ranks)
-    small_batches(df.sparkSession)
     kind = df.schema[doc].dataType.simpleString()
 
     def run(batches):
@@ -181,7 +174,6 @@ def encode(df: DataFrame, doc: str, text: str, ranks: str | None = None) -> Data
 def measure(df: DataFrame, columns: list[str], text: str, ranks: str | None = None) -> DataFrame:
     """The named columns with n_tokens (number of ids) and diversity (distinct pieces over pieces, 0 without any)."""
     model = shared_model(df.sparkSession, ranks)
-    small_batches(df.sparkSession)
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
     def run(batches):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.llm import garbled as G
-from seqloom.llm.mixing import budgets, mix
+from seqloom.llm.mixing import budgets, edges, mix
 from seqloom.llm.tokenizer import DEFAULT_RANKS, PATTERN, Codec, encode, measure, read_ranks, serialise
 
 needs_ranks = pytest.mark.skipif(not os.path.exists(DEFAULT_RANKS), reason="no vocabulary files")
@@ -54,26 +54,35 @@ def test_mix_reaches_its_shares(spark):
     rows = [(i, "big" if i % 3 else rng.choice(["small", "other", None, "unlisted"]), rng.randint(0, 60), rng.random(), "x") for i in range(9000)]
     sized = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long, quality double, copies string")
     w = spark.createDataFrame([("big", 0.5, 1, "r"), ("small", 0.3, 3, "r"), ("other", 0.1, 2, None), ("gone", 0.1, 5, None)], "source string, target_share double, max_repeats int, remark string")
-    chosen, report = mix(sized, w, "doc_id", "source", "n_tokens", "quality", bins=16)
-    used = {r.doc_id: r for r in chosen.collect()}
     caps, size = {"big": 1, "small": 3, "other": 2}, {r[0]: r[2] for r in rows}
-    assert set(used) == {i for i, s, n, *_ in rows if s in caps and n > 0}
-    assert all(0 <= r.copies <= caps[r.source] for r in used.values())
-    rep = {r.source: r for r in report.collect()}
-    assert rep["gone"].n_used == 0
-    for s, share in (("big", 0.5), ("small", 0.3), ("other", 0.1)):
-        assert rep[s].n_used == sum(r.copies * size[i] for i, r in used.items() if r.source == s)
-        assert rep[s].share_reached == pytest.approx(share / 0.9, abs=0.005)
-        epochs = {r.copies for r in used.values() if r.source == s}
-        assert max(epochs) - min(epochs) <= 1  # complete epochs first
-    again = {r.doc_id: r.copies for r in mix(sized.repartition(5), w, "doc_id", "source", "n_tokens", "quality", bins=3)[0].collect()}
-    assert again == {i: r.copies for i, r in used.items()}  # neither partitions nor bins matter
-    few = [r for r in used.values() if r.source == "small"]
-    quality = {r[0]: r[3] for r in rows}
-    low = min(r.copies for r in few)
-    mean = lambda c: sum(quality[r.doc_id] for r in few if r.copies == c) / max(1, sum(r.copies == c for r in few))
-    if any(r.copies > low for r in few):
-        assert mean(low + 1) > mean(low)
+    have = {s: sum(r[2] for r in rows if r[1] == s) for s in caps}
+    for total in (None, 60_000, 5_000):
+        chosen, report = mix(sized, w, "doc_id", "source", "n_tokens", "quality", total=total, most_sorted=20, bins=4)
+        used = {r.doc_id: r for r in chosen.collect()}
+        assert all(1 <= r.copies <= caps[r.source] for r in used.values())
+        rep = {r.source: r for r in report.collect()}
+        assert rep["gone"].n_used == rep["gone"].n_target == 0
+        for s, share in (("big", 0.5), ("small", 0.3), ("other", 0.1)):
+            assert rep[s].n_used == sum(r.copies * size[i] for i, r in used.items() if r.source == s)
+            assert abs(rep[s].n_target - (total or sum(have.values())) * share / 0.9) <= 1
+            capped = min(rep[s].n_target, caps[s] * have[s])
+            assert capped - 60 <= rep[s].n_used <= capped and rep[s].n_short == rep[s].n_target - rep[s].n_used
+            copies = [used[i].copies if i in used else 0 for i, x, n, *_ in rows if x == s and n]
+            assert max(copies) - min(copies) <= 1  # complete epochs first
+        again = mix(sized.repartition(5), w, "doc_id", "source", "n_tokens", "quality", total=total)[0].collect()
+        assert {r.doc_id: r.copies for r in again} == {i: r.copies for i, r in used.items()}  # neither partitions nor intervals matter
+    few, quality = {i for i, r in used.items() if r.source == "big"}, {r[0]: r[3] for r in rows if r[1] == "big" and r[2]}
+    mean = lambda ids: sum(quality[i] for i in ids) / len(ids)
+    assert mean(few) > mean(quality.keys() - few)
+
+
+def test_no_task_sorts_more_than_a_narrow_interval(spark):
+    docs = spark.range(1_000_000).select(F.lit("a").alias("src"), F.lit(3).cast("long").alias("n"), (-F.log((F.xxhash64("id").bitwiseAND(F.lit((1 << 53) - 1)) + 0.5) / float(1 << 53)) / 0.05).alias("key"))
+    e = edges(docs, {"a": 2_000_000}, most_sorted=1000)["a"]
+    assert e.n_docs <= 1000 and e.before <= 2_000_000 < e.before + 3 * e.n_docs
+    assert docs.where(F.col("key").between(e.low, e.high)).count() == e.n_docs and 3 * docs.where(F.col("key") < e.low).count() == e.before
+    same = spark.range(50).select(F.lit("a").alias("src"), F.lit(3).cast("long").alias("n"), F.lit(1.5).alias("key"))
+    assert edges(same, {"a": 30}, most_sorted=10)["a"].n_docs == 50  # a single key is not divided further
 
 
 def test_mix_of_nothing(spark):
