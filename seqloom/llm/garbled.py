@@ -1,20 +1,18 @@
 """Text that was decoded with the wrong encoding: find it, and restore it where possible.
 
-1. Corpus statistics: in how many documents each pair of adjacent characters occurs, for all pairs with a
-   character beyond ASCII.  Characters of the large scripts are taken by blocks, so that the table is bounded.
-2. Runs: the stretches of a text around characters beyond ASCII.  A run is judged once for the whole corpus,
-   however many documents hold it.
-3. Inverse mappings: a run is written back to bytes with each encoding that may have been the wrong one, and the
-   bytes are read as UTF-8 or as another encoding.  The association of the pairs of the result is compared with
-   that of the run as it stands, in bits per pair; garbled text can be garbled again, so this repeats.
+1. Corpus statistics: in how many documents each pair of adjacent characters occurs, and each character, for all pairs with
+   a character beyond ASCII.  Characters of the large scripts are taken by blocks, so that the table has a fixed bound.
+2. Improbable runs: every pair is scored by the mutual information of its characters, and the maximum-scoring segments of
+   what is missing to a probable pair are taken.  A run is a stretch around characters beyond ASCII in such a segment.
+   It is judged once for the whole corpus, however many documents hold it.
+3. Inverse mappings, only of these runs: a run is written back to bytes with each encoding that may have been the wrong one,
+   and the bytes are read as UTF-8 or as another encoding.  The mapping is tested by the attestation of the pairs of the
+   result against those of the run as it stands, in bits per pair; garbled text can be garbled again, so this repeats.
 4. A document is garbled if one of its runs is; replacement characters mark it too, as what stood there is lost.
 
-Mutual information of the pairs alone cannot isolate the runs: garbling is systematic, so the two characters that
-a letter became occur nearly always together, and their mutual information is among the highest of the corpus.
-What tells them apart is that the restored pairs are attested in more documents.  So the form with the greatest score
-is looked for among the restored forms of a run, not from the pairs of the garbled form.  A run that is garbled in part
-fails as a whole; then the stretches of it that an encoding can write and that are UTF-8 are restored one by one, the
-one with the greatest score first.
+Mutual information finds what is improbable, and text beyond ASCII that nobody garbled is mostly so as well; whether a run is
+garbled, the test of the mapping decides.  A run that is garbled in part fails as a whole; then the stretches of it that
+an encoding can write and that are UTF-8 are restored one by one, the one with the greatest score first.
 """
 
 from __future__ import annotations
@@ -41,8 +39,7 @@ _CORE = re.compile(r"[^\x00-\x7f]+(?:[0-9A-Za-z_]*[^\x00-\x7f]+)*")
 #: Bytes of a stretch of UTF-8: characters beyond ASCII with the letters and digits between them.
 _WIDE = rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})"
 _STRETCH = re.compile(_WIDE + rb"(?:[0-9A-Za-z_]*" + _WIDE + rb")*")
-#: A run takes in the letters and digits that adjoin its core, up to this number on either side.
-_REACH = 64
+_ASCII = "".join(map(chr, range(128)))
 _ALNUM = frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 
 
@@ -65,26 +62,55 @@ def _tables() -> tuple[dict[str, dict[int, int]], dict[str, str]]:
 _TO_BYTE, _TO_CHAR = _tables()
 
 
-def classes(codes: np.ndarray) -> np.ndarray:
-    """Class of a code point: itself in the alphabets and the punctuation, its block of 256 elsewhere (< 16384 classes)."""
-    own = (codes < 0x0600) | ((codes >= 0x1E00) & (codes < 0x2700))
-    return np.where(own, codes, 0x2800 + (codes >> 8)).astype(np.int64)
+#: Number of classes at most; the number after the last one stands for "any".
+N_CLASSES = 4095
+_ANY = N_CLASSES
 
 
-def pair_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(pair, documents it occurs in) over a batch of texts, for pairs with a class beyond ASCII; pair = a << 14 | b."""
-    found = []
+def classes(codes: np.ndarray) -> np.ndarray:
+    """Class of a code point: itself in the alphabets, the punctuation and the symbols, its block of 512 or 256 elsewhere, its
+    plane beyond the first."""
+    c = np.asarray(codes, np.int64)
+    low, high = 0x0600 + (c - 0x0600 >> 9), 0x060C + (c - 0x1E00)
+    return np.where(c < 0x0600, c, np.where(c < 0x1E00, low, np.where(c < 0x2700, high, np.where(c < 0x10000, 0x0F0C + (c - 0x2700 >> 8), 0x0FE5 + (c >> 16)))))
+
+
+def class_of(c: int) -> int:
+    """The same of one code point."""
+    if c < 0x0600:
+        return c if c >= 32 else 32
+    if c < 0x1E00:
+        return 0x0600 + (c - 0x0600 >> 9)
+    if c < 0x2700:
+        return 0x060C + c - 0x1E00
+    return 0x0F0C + (c - 0x2700 >> 8) if c < 0x10000 else 0x0FE5 + (c >> 16)
+
+
+def text_classes(text: str) -> np.ndarray:
+    """Classes of the characters of a text, which begins and ends with a space; control characters count as spaces."""
+    c = classes(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
+    return np.concatenate(([32], np.where(c < 32, 32, c), [32]))
+
+
+def pair_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, documents it occurs in, occurrences) over a batch of texts, for pairs with a class beyond ASCII; pair = a << 12 | b.
+    A pair of a class and _ANY has the occurrences of the class, that of _ANY twice all documents."""
+    found, counts, ascii_ = [], [], np.zeros(128, np.int64)
     for t in texts:
         if t.isascii():
+            ascii_ += np.bincount(np.frombuffer(t.encode(), np.uint8), minlength=128)
             continue
-        c = classes(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64))
-        # a text begins and ends with a space
-        c = np.concatenate(([32], np.where(c < 32, 32, c), [32]))
+        c = text_classes(t)
         at = np.flatnonzero((c[:-1] > 127) | (c[1:] > 127))
-        found.append(np.unique(c[at] << 14 | c[at + 1]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.unique(np.concatenate(found), return_counts=True)
+        for codes in (c[at] << 12 | c[at + 1], c << 12 | _ANY):
+            pairs, n = np.unique(codes, return_counts=True)
+            found.append(pairs)
+            counts.append(n)
+    ascii_[32] += ascii_[:32].sum()
+    pairs, at = np.unique(np.concatenate([*found, np.arange(32, 128) << 12 | _ANY, [_ANY << 12 | _ANY]]), return_inverse=True)
+    occ = np.concatenate([*counts, ascii_[32:], [0]])
+    docs = np.concatenate([*(np.ones(len(x), np.int64) for x in found), np.zeros(96, np.int64), [len(texts)]])
+    return pairs, np.bincount(at, docs).astype(np.int64), np.bincount(at, occ).astype(np.int64)
 
 
 _QUOTES = "\"'`"
@@ -113,10 +139,10 @@ def _literal(text: str, i: int, j: int) -> str | None:
 def runs(text: str, literals: bool = False):
     """(start, end, key) of the runs of a text; key is (before, run, after) joined by tabs.
 
-    The neighbours are one character on either side, or four and three around a single symbol that no letter or
-    digit adjoins, as such a symbol can only be judged by its surroundings. White space and the ends of the text
-    count as spaces. A run of at most four characters that is all of a quoted literal may be named on purpose: it is given only
-    with ``literals``, and its key has a fourth field, see _literal.
+    A run is a core with all letters and digits that adjoin it. The neighbours are one character on either side, or four and
+    three around a single symbol that no letter or digit adjoins, as such a symbol can only be judged by its surroundings.
+    White space and the ends of the text count as spaces. A run of at most four characters that is all of a quoted literal may
+    be named on purpose: it is given only with ``literals``, and its key has a fourth field, see _literal.
     """
     end = 0
     for m in _CORE.finditer(text):
@@ -126,10 +152,9 @@ def runs(text: str, literals: bool = False):
                 end = j
                 yield i, j, key
             continue
-        least, most = max(end, i - _REACH), min(len(text), j + _REACH)
-        while i > least and text[i - 1] in _ALNUM:
+        while i > end and text[i - 1] in _ALNUM:
             i -= 1
-        while j < most and text[j] in _ALNUM:
+        while j < len(text) and text[j] in _ALNUM:
             j += 1
         end = j
         wide = j - i == 1
@@ -137,12 +162,47 @@ def runs(text: str, literals: bool = False):
         yield i, j, f"{_spaced(before) or ' '}\t{text[i:j]}\t{_spaced(after) or ' '}"
 
 
-class Pairs:
-    """Documents per pair, as two sorted arrays: eight bytes a pair."""
+def maximal_segments(scores: list[float]) -> list[tuple[int, int]]:
+    """(start, end) of all maximum-scoring segments of a sequence of scores, in linear time: the segment of the greatest sum, and
+    in the same way those of what lies before and after it, down to the last positive score."""
+    total, found = 0.0, []  # found: start, end, sum before, sum up to the end
+    for i, x in enumerate(scores):
+        before, total = total, total + x
+        if x <= 0:
+            continue
+        start, low = i, before
+        # join backwards while the segment found last does not hold its own: it begins lower and does not reach as high
+        while True:
+            k = len(found) - 1
+            while k >= 0 and found[k][2] >= low:
+                k = found[k][4]
+            if k < 0 or found[k][3] >= total:
+                found.append((start, i + 1, low, total, k))
+                break
+            start, low = found[k][0], found[k][2]
+            del found[k:]
+    return [f[:2] for f in found]
+
 
-    def __init__(self, pairs: np.ndarray, n: np.ndarray):
-        order = np.argsort(pairs)
-        self.pairs, self.n = pairs[order], n[order]
+class Pairs:
+    """Documents and pointwise mutual information per pair, as sorted arrays: twelve bytes a pair, and never more than N_CLASSES^2
+    pairs, 201 MB. Pairs of one document are left out."""
+
+    #: Documents that a pair must be in for its information to count.
+    EVIDENCE = 100
+    #: Information of a pair that nothing is known of.
+    LEAST = -12.0
+
+    def __init__(self, pairs: np.ndarray, n: np.ndarray, occ: np.ndarray):
+        whole = pairs & 4095 == _ANY
+        of_class = np.zeros(4096)
+        of_class[pairs[whole] >> 12] = occ[whole]
+        self.n_docs = int(n[whole & (pairs >> 12 == _ANY)].sum())
+        keep = np.flatnonzero(~whole & (n >= 2))
+        keep = keep[np.argsort(pairs[keep])]
+        self.pairs, self.n = pairs[keep].astype(np.int32), np.minimum(n[keep], 2**31 - 1).astype(np.int32)
+        expected = of_class[self.pairs >> 12] * of_class[self.pairs & 4095] / max(of_class.sum(), 1.0)
+        self.pointwise = np.log2(np.maximum(occ[keep], 1) / np.maximum(expected, 1e-9)).astype(np.float32)
 
     def __len__(self) -> int:
         return len(self.pairs)
@@ -151,6 +211,46 @@ class Pairs:
         i = int(self.pairs.searchsorted(np.int32(pair)))
         return int(self.n[i]) if i < len(self.pairs) and self.pairs[i] == pair else 0
 
+    def information(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """log2 of the part, in bits a document, that pairs (a, b) have in the mutual information of neighbours: the share of the
+        documents with the pair times its pointwise information. Least where too few documents have the pair to tell, and for
+        pairs with a block, as these say nothing on the character."""
+        if not len(self.pairs):
+            return np.full(len(a), self.LEAST)
+        pair = (a << 12 | b).astype(np.int32)
+        i = np.minimum(self.pairs.searchsorted(pair), len(self.pairs) - 1)
+        block = lambda x: (x >= 0x0600) & (x < 0x060C) | (x >= 0x0F0C)
+        known = (self.pairs[i] == pair) & (self.n[i] >= self.EVIDENCE) & ~block(a) & ~block(b)
+        bits = np.log2(self.n[i] / self.n_docs) + np.log2(np.maximum(self.pointwise[i], 1e-3))
+        return np.where(known, np.maximum(bits, self.LEAST), self.LEAST)
+
+
+def segments(text: str, table: Pairs, probable: float = -3.5, plain: float = 4.0) -> list[tuple[int, int]]:
+    """Segments (start, end) of a text whose pairs are improbable: maximum-scoring segments of ``probable`` (an eleventh of a bit
+    a document) less the information of each pair. A pair of two ASCII characters stays as it is under every mapping, so it costs ``plain`` bits and no more."""
+    c = text_classes(text)
+    at = np.flatnonzero((c[:-1] > 127) | (c[1:] > 127))
+    if not len(at):
+        return []
+    missing = probable - table.information(c[at], c[at + 1])
+    gaps = np.diff(at) - 1
+    # pairs and the gaps between them in turn; gap k follows pair k
+    scores = np.zeros(2 * len(at) - 1)
+    scores[::2], scores[1::2] = missing, -plain * gaps
+    # pair q is that of the characters q - 1 and q
+    return [(int(at[i // 2]), int(at[(j - 1) // 2]) + 1) for i, j in maximal_segments(scores.tolist())]
+
+
+def improbable_runs(text: str, table: Pairs) -> dict[str, bool]:
+    """Keys of the runs of a text, and whether one of the runs lies in an improbable segment, at least in part."""
+    out: dict[str, bool] = {}
+    found, k = segments(text, table), 0
+    for i, j, key in runs(text, literals=True):
+        while k < len(found) and found[k][1] <= i:
+            k += 1
+        out[key] = out.get(key, False) or k < len(found) and found[k][0] <= j
+    return out
+
 
 class _Association(dict):
     """Association of pairs in bits, looked up when first asked for; the answers kept are at most ``most``."""
@@ -179,13 +279,9 @@ class Judge:
         last = None
         log = self.log
         for ch in text:
-            c = ord(ch)
-            if c >= 0x0600 and not 0x1E00 <= c < 0x2700:
-                c = 0x2800 + (c >> 8)
-            elif c < 32:
-                c = 32
+            c = class_of(ord(ch))
             if last is not None and (c > 127 or last > 127):
-                x = log[last << 14 | c]
+                x = log[last << 12 | c]
                 total, n = total + x, n + 1
                 if x < least:
                     least = x
@@ -232,34 +328,44 @@ class Judge:
             return None
 
     def restored(self, key: str) -> tuple[str, str, float] | None:
-        """(restored run, mapping, gain in bits a pair) of a run; None if no mapping makes it better attested."""
+        """(restored run, mapping, gain in bits a pair) of a run; None if no mapping makes it better attested. Only the core
+        is mapped, with one letter or digit on either side: the one after it may be the second byte of a character, all others
+        are the same in every encoding."""
         before, run, after = key.split("\t")[:3]
-        now, _ = self.score(before[-1] + run + after[0])
+        core = run.strip(_ASCII)
+        at = len(run) - len(run.lstrip(_ASCII))
+        i, j = max(0, at - 1), min(len(run), at + len(core) + 1)
+        head, tail = run[:i], run[j:]
+        found = self._restored((head or before)[-1], run[i:j], (tail or after)[0])
+        return found and (head + found[0] + tail, *found[1:])
+
+    def _restored(self, before: str, run: str, after: str) -> tuple[str, str, float] | None:
+        now, _ = self.score(before + run + after)
         best = None
         for wrong, raw in self._bytes(run):
             options = [("utf_8", self._utf8(raw))]
-            options += [(right, raw.decode("latin-1").translate(_TO_CHAR[right])) for right in RIGHT_SINGLE]
-            for right in RIGHT_MULTI:
+            options += [(name, raw.decode("latin-1").translate(_TO_CHAR[name])) for name in RIGHT_SINGLE]
+            for name in RIGHT_MULTI:
                 try:
-                    options.append((right, raw.decode(right)))
+                    options.append((name, raw.decode(name)))
                 except UnicodeDecodeError:
                     pass
-            for right, text in options:
-                if not text or text == run or text.isascii() or REPLACEMENT in text and right != "utf_8":
+            for name, text in options:
+                if not text or text == run or text.isascii() or REPLACEMENT in text and name != "utf_8":
                     continue
-                mean, least = self.score(before[-1] + text + after[0])
+                mean, least = self.score(before + text + after)
                 gain = mean - now
-                if right == "utf_8":
+                if name == "utf_8":
                     gain += 1.0  # bytes that are UTF-8 throughout are rarely so by chance
                     deeper = self._further(text)
                     if deeper is not None:
-                        text, gain = deeper, max(gain, self.score(before[-1] + deeper + after[0])[0] - now + 2.0)
+                        text, gain = deeper, max(gain, self.score(before + deeper + after)[0] - now + 2.0)
                 elif least < self.least_documents:
                     continue
                 if gain >= self.least_gain and (best is None or gain > best[2]):
-                    best = (text, f"{wrong}>{right}", gain)
+                    best = (text, f"{wrong}>{name}", gain)
         if best is None or not best[1].endswith(">utf_8"):
-            part = self._in_part(before[-1], run, after[0])
+            part = self._in_part(before, run, after)
             if part is not None and (best is None or part[2] > best[2]):
                 return part
         return best
@@ -337,29 +443,33 @@ class Judge:
 
 def _count_pairs(batches):
     for b in batches:
-        pairs, n = pair_counts([t for t in b.column(0).to_pylist() if t])
-        yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], ["pair", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in pair_counts([t for t in b.column(0).to_pylist() if t])], ["pair", "n", "occ"])
 
 
 def pair_table(docs: DataFrame, text: str) -> Pairs:
-    """Documents per pair, over all documents. Pairs of one document say nothing and are left out; no other pair is, as
-    the classes bound the table, not the number of documents."""
-    counts = docs.select(text).mapInArrow(_count_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    """Documents and information per pair, over all documents. Pairs of one document say nothing and are left out; no other
+    pair is. The classes bound the table, not the number of documents, so it is brought to the driver whatever that is."""
+    counts = docs.select(text).mapInArrow(_count_pairs, "pair long, n long, occ long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("occ").alias("occ"))
     counts = Workspace(docs.sparkSession, "pairs").write(counts, "counts")
-    t = counts.where("n >= 2").select(F.col("pair").cast("int"), F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
-    return Pairs(t["pair"].to_numpy(), t["n"].to_numpy())
+    t = counts.where(f"n >= 2 or pair & 4095 = {_ANY}").toArrow()
+    return Pairs(*(t[c].to_numpy() for c in ("pair", "n", "occ")))
 
 
-def _list_runs(batches):
-    for b in batches:
-        at, keys = [], []
-        for i, t in enumerate(b.column(1).to_pylist()):
-            if not t or t.isascii():
-                continue
-            for k in {k for _, _, k in runs(t, literals=True)}:
-                at.append(i)
-                keys.append(k)
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(keys, pa.string())], ["doc", "run"])
+def _list_runs(table):
+    def run(batches):
+        pairs = table.value
+        for b in batches:
+            at, keys, inside = [], [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                if not t or t.isascii():
+                    continue
+                of = improbable_runs(t, pairs)
+                at += [i] * len(of)
+                keys += of
+                inside += of.values()
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(keys, pa.string()), pa.array(inside, pa.bool_())], ["doc", "run", "improbable"])
+
+    return run
 
 
 def _forms_of(judge: Judge, key: str):
@@ -394,8 +504,8 @@ def _judge_runs(table):
     return run
 
 
-def garbled_runs(docs: DataFrame, doc: str, text: str, sure: float = 3.5) -> tuple[DataFrame, DataFrame]:
-    """(runs of documents: doc, run; garbled runs: run, original, mapping, gain, n_docs), both written tables.
+def garbled_runs(docs: DataFrame, doc: str, text: str, sure: float = 3.5, runs_per_task: int = 20_000) -> tuple[DataFrame, DataFrame]:
+    """(improbable runs of documents: doc, run; garbled runs: run, original, mapping, gain, n_docs), both written tables.
 
     A run that is restored through UTF-8 needs a gain of a bit a pair (a bit is given for being UTF-8). Restored
     through another encoding it must be attested as a run in more documents than the garbled form, or gain ``sure``
@@ -406,9 +516,12 @@ def garbled_runs(docs: DataFrame, doc: str, text: str, sure: float = 3.5) -> tup
     ws = Workspace(spark, "garbled")
     docs = docs.where(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
     table = spark.sparkContext.broadcast(pair_table(docs, "text"))
-    listed = ws.write(docs.mapInArrow(_list_runs, "doc long, run string"), "runs")
-    counts = ws.write(listed.groupBy("run").agg(F.count(F.lit(1)).alias("n")), "counts")
-    judged = counts.mapInArrow(_judge_runs(table), "run string, n_docs long, original string, mapping string, gain double, expected string, literal boolean")
+    listed = ws.write(docs.mapInArrow(_list_runs(table), "doc long, run string, improbable boolean"), "runs")
+    # probable runs are not judged, but what others may have been is attested by them as well
+    counts = ws.write(listed.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.bool_or("improbable").alias("improbable")), "counts")
+    # runs are few bytes and much work, so they are divided by their number
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), counts.count() // runs_per_task)
+    judged = counts.where("improbable").select("run", "n").repartition(tasks, "run").mapInArrow(_judge_runs(table), "run string, n_docs long, original string, mapping string, gain double, expected string, literal boolean")
     judged = ws.write(judged, "judged")
     attested = judged.join(counts.select(F.col("run").alias("expected"), F.col("n").alias("n_expected")), "expected", "left")
     n = F.coalesce("n_expected", F.lit(0))
@@ -422,7 +535,7 @@ def garbled_runs(docs: DataFrame, doc: str, text: str, sure: float = 3.5) -> tup
         .otherwise((n > F.col("n_docs")) | (F.col("gain") >= sure) | large)
     )
     best = F.max_by(F.struct("original", "mapping", "gain", "n_docs"), F.struct("literal", n, "gain", "original"))
-    return listed, ws.write(attested.where(ok).groupBy("run").agg(best.alias("x")).select("run", "x.*"), "garbled")
+    return listed.where("improbable").drop("improbable"), ws.write(attested.where(ok).groupBy("run").agg(best.alias("x")).select("run", "x.*"), "garbled")
 
 
 def _with_garbled(listed: DataFrame, garbled: DataFrame, hot_share: float = 0.001) -> DataFrame:
@@ -449,7 +562,10 @@ def restore(docs: DataFrame, doc: str, text: str) -> DataFrame:
         F.map_from_entries(F.collect_set(F.when(F.col("original").isNotNull(), F.struct("run", "original")))).alias("fixes"),
         F.count_if(F.col("mapping") == "lost").alias("n_lost"),
     )  # one entry for each garbled run of a document, so no larger than its text
-    joined = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).distinct().join(per, "doc")
+    # as a written table its size is known: while it is small, Spark broadcasts it and no text is shuffled but that of garbled documents
+    per = Workspace(docs.sparkSession, "fixes").write(per, "fixes")
+    texts = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).where(F.col("text").rlike(r"[^\x00-\x7f]"))
+    joined = texts.join(per, "doc").dropDuplicates(["doc", "text"])
 
     def run(batches):
         for b in batches:

@@ -160,7 +160,8 @@ def test_no_pair_is_left_out_of_a_large_table(spark):
     t = "".join(f"{a}{b}" for a in chars for b in chars)  # more than four million pairs, each in three documents
     table = G.pair_table(spark.createDataFrame([(t,)] * 3, "text string"), "text")
     assert len(table) > 4_000_000
-    assert all(table[ord(a) << 14 | ord(b)] == 3 for a, b in zip(chars[:200], chars[-200:])) and table[97 << 14 | 98] == 0
+    pair = lambda a, b: G.class_of(ord(a)) << 12 | G.class_of(ord(b))
+    assert all(table[pair(a, b)] == 3 for a, b in zip(chars[:200], chars[-200:])) and table[pair("a", "b")] == 0
 
 
 def test_all_rounds_of_wrong_reading_are_undone(spark):
@@ -180,15 +181,51 @@ def test_garbled_of_nothing(spark):
     assert G.garbled_documents(df, "doc_id", "text").count() == 0
 
 
-def test_runs_are_linear_in_long_texts():
+def test_runs_are_linear_in_long_texts_and_take_in_all_that_adjoins():
     t = "x" * 400_000 + "é" + "y" * 400_000
     (i, j, key), = G.runs(t)
-    assert j - i <= 129 and "é" in key
+    assert (i, j) == (0, len(t)) and "é" in key
     assert [k for *_, k in G.runs('a "é" b')] == [] and len(list(G.runs("é" * 50_000))) == 1
 
 
+def test_garbling_far_from_the_ends_of_a_word_is_restored(spark):
+    plain = f"{'x' * 300}é{'y' * 300}"
+    docs = [plain, plain, "né", "né", garble(plain, "utf-8", "cp1252")]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in G.restore(df, "doc_id", "text").collect()} == {4: plain}
+
+
 def test_classes_are_bounded():
     import numpy as np
 
-    assert G.classes(np.arange(0x110000)).max() < 1 << 14
+    every = np.arange(0x110000)
+    c = G.classes(every)
+    assert c.max() < G.N_CLASSES and all(G.class_of(int(x)) == max(32, c[x]) for x in [*range(0x3000), *range(0x3000, 0x110000, 97)])
+    blocks = (c >= 0x0600) & (c < 0x060C) | (c >= 0x0F0C)
+    assert (blocks == ~((every < 0x0600) | (every >= 0x1E00) & (every < 0x2700))).all()
+
+
+def test_maximal_segments_are_those_of_the_definition():
+    def slow(x, lo, hi):
+        best = max(((sum(x[i:j]), -(j - i), -i, i, j) for i in range(lo, hi) for j in range(i + 1, hi + 1)), default=(0,))
+        if best[0] <= 0:
+            return []
+        i, j = best[3:]
+        return [*slow(x, lo, i), (i, j), *slow(x, j, hi)]
+
+    rng = random.Random(4)
+    for _ in range(400):
+        x = [rng.uniform(-5, 5) for _ in range(rng.randint(0, 14))]
+        assert G.maximal_segments(x) == slow(x, 0, len(x))
+    assert len(G.maximal_segments([1.0, -2.0] * 100_000)) == 100_000
+
+
+def test_segments_hold_the_improbable_and_leave_out_the_attested(spark):
+    docs = ["año nuevo, año viejo"] * 500 + ["plain text"] * 200 + ["aÃ±o nuevo"]
+    table = G.pair_table(spark.createDataFrame([(t,) for t in docs], "text string"), "text")
+    assert table.n_docs == 701 and table[ord("a") << 12 | ord("ñ")] == 500
+    assert G.segments(docs[0], table) == [] and G.segments("plain", table) == []
+    (i, j), = G.segments(docs[-1], table)
+    assert i <= 1 and j >= 3
+    assert {k.split("\t")[1]: v for k, v in G.improbable_runs("viejo año aÃ±o", table).items()} == {"año": False, "aÃ±o": True}
     assert F is not None
