@@ -113,8 +113,8 @@ def p2_update(spark: SparkSession, d: str) -> DataFrame:
 # -- 5. most frequent items
 
 
-def p5_report(spark: SparkSession, d: str) -> DataFrame:
-    """The ten most frequent keys per field: exact rows, the count of the summary and its error bound."""
+def p5_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most frequent keys per field: exact rows, the count of the summary and its error bound, and whether no other key can have more."""
     reads = table(spark, d, "read_seqs").select(read_key("seq").alias("item"))
     hits = table(spark, d, "kmer_hits").where(is_id("kmer_id")).select(F.col("kmer_id").alias("item"))
     a = most_frequent(reads, "item", 10).withColumn("field", F.lit("read_seqs.seq"))
@@ -122,8 +122,13 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b).withColumnRenamed("item", "item_key")
 
 
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    """The same without what depends on the partitions: the exact rows of each key."""
+    return p5_bounds(spark, d).select("field", "item_key", "n_rows", "guaranteed")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return p5_report(spark, d).select("field", "item_key")
+    return p5_bounds(spark, d).select("field", "item_key")
 
 
 # -- 6. consolidating pairwise matches into groups

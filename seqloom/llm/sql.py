@@ -54,6 +54,12 @@ WITH {_KEYED}
 (SELECT 'read_seqs.seq' AS field, read_key AS item_key FROM keyed GROUP BY read_key ORDER BY count(*) DESC, read_key LIMIT 10)
 UNION ALL
 (SELECT 'kmer_hits.kmer_id', kmer_id::VARCHAR FROM kmer_hits WHERE kmer_id <> -1 GROUP BY kmer_id ORDER BY count(*) DESC, kmer_id::VARCHAR LIMIT 10)""",
+    "p5_report": f"""
+WITH {_KEYED}
+SELECT field, item_key, n_rows, n_rows > 0 AS guaranteed FROM (
+(SELECT 'read_seqs.seq' AS field, read_key AS item_key, count(*) AS n_rows FROM keyed GROUP BY read_key ORDER BY n_rows DESC, read_key LIMIT 10)
+UNION ALL
+(SELECT 'kmer_hits.kmer_id', kmer_id::VARCHAR, count(*) AS n_rows FROM kmer_hits WHERE kmer_id <> -1 GROUP BY kmer_id ORDER BY n_rows DESC, kmer_id::VARCHAR LIMIT 10))""",
     "p6_found": f"""
 WITH RECURSIVE {_GROUPS}
 SELECT t AS transcript_id, min(r) AS group_id FROM reach GROUP BY t""",
