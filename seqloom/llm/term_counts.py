@@ -13,6 +13,9 @@ Stages of a delta:
    partition of the term space one block of sorted terms: a few rows of packed arrays instead of a row per
    window, which keeps the shuffle near 8 bytes a distinct term and task;
 3. the blocks of a partition are merged with each other and with the stored counts of that partition.
+
+The counts lie bucketed by partition, so a delta moves its own blocks and nothing of the store.  The number of partitions
+follows the terms stored and the windows of the delta; when it has to grow, the store is divided anew in the same pass.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.packing import MAX_PACKED, buffers, packed_kmers, unpack
 from ..functions.sequence import canonical, squeeze
@@ -123,54 +127,86 @@ def _merge(key, stored, blocks):
     return _result(key[0].as_py(), groups)
 
 
+def _divide(parts: int):
+    """Stored counts with the partitions of another number of them."""
+
+    def run(batches):
+        for b in batches:
+            part = (_spread(b.column(1).to_numpy(zero_copy_only=False)) % np.uint64(parts)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(part), *(b.column(i) for i in range(4))], ["part", "grp", "term", "n_occ", "n_rec"])
+
+    return run
+
+
 class TermCounts:
     """Persistent counts of the k-mers of each group, updated by signed deltas.
 
     ``ks`` gives k per group number (k of at most 31). Null sequences, sequences shorter than k and windows with
     anything but bases have no terms. Case and white space are ignored. A term whose counts come to 0 leaves the
     table. Groups without k are ignored; an empty delta changes nothing.
+
+    ``path``: folder to keep the counts in; counts that lie there are opened, with their own ``ks``. A delta is written as a
+    new table, named in a note beside it, and only then is the old table removed, so a delta that fails leaves the counts as
+    they were. A delta with a ``delta_id`` that was merged before is not merged again.
     """
 
-    def __init__(self, spark: SparkSession, ks: dict[int, int], terms_per_part: int = 4_000_000):
+    MOST_BUCKETS = 16_384
+
+    def __init__(self, spark: SparkSession, ks: dict[int, int], terms_per_part: int = 4_000_000, path: str | None = None):
         if any(not 1 <= k <= MAX_PACKED for k in ks.values()):
             raise ValueError(f"k must be from 1 to {MAX_PACKED}")
-        self.spark, self.ks, self.terms_per_part = spark, {int(g): int(k) for g, k in ks.items()}, terms_per_part
-        self.ws = Workspace(spark, "terms")
-        self.parts = self.buckets = 0
-        self.name: str | None = None
-
-    def apply(self, delta: DataFrame, n_bases: int) -> None:
-        """Merge a delta with columns grp, seq, sign.  ``n_bases`` bounds its windows; it sizes the partitions."""
-        if not self.parts:
-            self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            self.parts = max(self.buckets, -(-int(n_bases) // self.terms_per_part))
+        self.spark = spark
+        self.ws = Workspace(spark, "terms", path)
+        self.state = self.ws.noted() or {"ks": list(ks.items()), "terms_per_part": terms_per_part, "parts": 0, "buckets": 0, "rows": 0, "name": None, "taken": []}
+        self.ks = {int(g): int(k) for g, k in self.state["ks"]}
+        self._now: tuple[str, DataFrame] | None = None
+
+    def _stored(self) -> DataFrame:
+        name = self.state["name"]
+        if self._now is None or self._now[0] != name:
+            self._now = name, self.ws.read_bucketed(name, StructType.fromDDL(_COUNTS), self.state["buckets"], ["part"], sort=False)
+        return self._now[1]
+
+    def apply(self, delta: DataFrame, n_bases: int, delta_id: str | None = None) -> None:
+        """Merge a delta with columns grp, seq, sign.  ``n_bases`` bounds its windows; with the terms stored it sizes the partitions."""
+        if delta_id is not None and delta_id in self.state["taken"]:
+            return
+        parts, buckets = self.state["parts"], self.state["buckets"]
+        needed = -(-(self.state["rows"] + int(n_bases)) // self.state["terms_per_part"])
+        divided = needed > parts
+        if divided:
+            parts = max(needed, 2 * parts, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+            buckets = min(parts, self.MOST_BUCKETS)
         reads = (
             delta.where(F.col("seq").isNotNull() & F.col("grp").isin(*self.ks))
             .groupBy(F.col("grp").cast("int").alias("grp"), canonical(squeeze("seq")).alias("seq"))
             .agg(F.sum("sign").alias("sign"))
             .where("sign != 0")
         )
-        blocks = reads.select("grp", "seq", "sign").mapInArrow(_tokenise(self.parts, self.ks), _BLOCK)
-        before = self.spark.conf.get("spark.sql.shuffle.partitions")
-        try:
-            self.spark.conf.set("spark.sql.shuffle.partitions", self.buckets)
-            if self.name is None:
-                merged = blocks.groupBy("part").applyInArrow(_build, _COUNTS)
-            else:
-                merged = self.counts().groupBy("part").cogroup(blocks.groupBy("part")).applyInArrow(_merge, _COUNTS)
-            name = f"seqloom_terms_{uuid.uuid4().hex}"
-            # tasks are partitioned by part already, so each bucket is written by one task and later read without a shuffle
-            merged.write.format("parquet").option("path", self.ws.where(name)).option("compression", "zstd").bucketBy(self.buckets, "part").saveAsTable(name)
-        finally:
-            self.spark.conf.set("spark.sql.shuffle.partitions", before)
-        if self.name is not None:
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-            self.ws.drop(self.name)
-        self.name = name
+        # one task a bucket, as the stored counts are
+        blocks = reads.select("grp", "seq", "sign").mapInArrow(_tokenise(parts, self.ks), _BLOCK).repartition(buckets, "part")
+        if self.state["name"] is None:
+            merged = blocks.groupBy("part").applyInArrow(_build, _COUNTS)
+        else:
+            stored = self._stored()
+            if divided:
+                stored = stored.select("grp", "term", "n_occ", "n_rec").mapInArrow(_divide(parts), _COUNTS).repartition(buckets, "part")
+            merged = stored.groupBy("part").cogroup(blocks.groupBy("part")).applyInArrow(_merge, _COUNTS)
+        old, name = self.state["name"], f"counts-{uuid.uuid4().hex}"
+        rows = self.ws.write_bucketed(merged, name, buckets, ["part"], sort=False).count()
+        state = {**self.state, "parts": parts, "buckets": buckets, "rows": rows, "name": name}
+        if delta_id is not None:
+            state["taken"] = [*state["taken"], delta_id]
+        self.ws.note(state)
+        self.state = state
+        if old is not None:
+            self.ws.drop(old)
 
     def counts(self) -> DataFrame:
         """part, grp, term (packed), n_occ, n_rec."""
-        return self.spark.table(self.name)
+        if self.state["name"] is None:
+            return self.spark.createDataFrame([], _COUNTS)
+        return self._stored()
 
 
 def spell(df: DataFrame, ks: dict[int, int], keep: str) -> DataFrame:

@@ -170,6 +170,22 @@ def test_deltas_agree_with_a_recount(spark):
     assert counts(store, ks) == {}
 
 
+def test_counts_are_opened_again_and_divided_as_they_grow(spark, tmp_path):
+    rng = random.Random(6)
+    path, ks, rows = f"file://{tmp_path}/terms", {0: 9}, []
+    before, settings, parts = {r.tableName for r in spark.sql("show tables").collect()}, dict(spark.conf.getAll), []
+    for i in range(4):
+        new = [(100 * i + j, 0, "".join(rng.choice("ACGT") for _ in range(30))) for j in range(20 * 3**i)]
+        rows += new
+        store = TermCounts(spark, {} if i else ks, terms_per_part=300, path=path)
+        for _ in range(2):  # the second time is a retry
+            store.apply(spark.createDataFrame([(g, s, 1) for _, g, s in new], "grp int, seq string, sign int"), 30 * len(new), delta_id=str(i))
+        assert counts(store, ks) == brute_terms([(n, g, s) for n, (_, g, s) in enumerate(rows)], ks)
+        parts.append(store.state["parts"])
+    assert parts[-1] >= 4 * parts[0] and store.counts().groupBy("part").count().agg({"count": "max"}).first()[0] < 600
+    assert {r.tableName for r in spark.sql("show tables").collect()} == before and dict(spark.conf.getAll) == settings
+
+
 def test_counts_of_nothing_and_of_a_long_read(spark):
     store = TermCounts(spark, {0: 31})
     store.apply(spark.createDataFrame([], "grp int, seq string, sign int"), 0)
