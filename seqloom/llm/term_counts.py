@@ -173,7 +173,7 @@ class TermCounts:
             return
         parts, buckets = self.state["parts"], self.state["buckets"]
         needed = -(-(self.state["rows"] + int(n_bases)) // self.state["terms_per_part"])
-        divided = needed > parts
+        divided = needed > parts or not parts
         if divided:
             parts = max(needed, 2 * parts, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
             buckets = min(parts, self.MOST_BUCKETS)
