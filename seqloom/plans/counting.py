@@ -204,13 +204,11 @@ def mmer_top3(spark, d):
     return _ranked(_counts(spark, d)).select("code", "cnt").orderBy(F.desc("cnt"), "code").limit(3)
 
 
-def _rank_of(w: str) -> str:
-    return f"least(r[{code4(w, _M, True)} + 1], r[{code4(RC.format(w), _M, True)} + 1])"
-
-
-_NODES = f"""r AS (SELECT list(coalesce(rank, 0) ORDER BY c) AS r FROM (SELECT unnest(generate_series(0, {4**_M - 1})) AS c) LEFT JOIN ranked ON code = c),
-mid AS (SELECT kmer, list_min([{', '.join(_rank_of(f'substr(kmer, {i}, {_M})') for i in range(2, k_ - _M + 1))}]) AS middle,
-  {_rank_of(f'substr(kmer, 1, {_M})')} AS l, {_rank_of(f'substr(kmer, {k_ - _M + 1}, {_M})')} AS rr FROM counts, r),
+_NODES = f"""word AS (SELECT c, {' || '.join(f"substr('ACGT', (c // {4**i}) % 4 + 1, 1)" for i in range(_M))} AS w FROM (SELECT unnest(generate_series(0, {4**_M - 1})) AS c)),
+word_rank AS (SELECT word.w, coalesce(ranked.rank, 0) AS rank FROM word LEFT JOIN ranked ON code = c),
+best AS (SELECT a.w, least(a.rank, b.rank) AS rank FROM word_rank a JOIN word_rank b ON b.w = {RC.format('a.w')}),
+mid AS (SELECT kmer, min(rank) FILTER (p > 1 AND p <= {k_ - _M}) AS middle, min(rank) FILTER (p = 1) AS l, min(rank) FILTER (p = {k_ - _M + 1}) AS rr
+  FROM (SELECT kmer, unnest(generate_series(1, {k_ - _M + 1})) AS p FROM counts) JOIN best ON best.w = substr(kmer, p, {_M}) GROUP BY kmer),
 nodes AS (SELECT kmer, least(l, middle)::BIGINT AS left_min, least(rr, middle)::BIGINT AS right_min FROM mid)"""
 
 

@@ -12,10 +12,10 @@ from .workspace import Workspace, table
 
 query = Registry()
 
-_ENDS = f"""{COUNTS}, ends AS (SELECT kmer AS node, 'R' AS e, substr(kmer, 2) AS y FROM counts
-  UNION ALL SELECT kmer, 'L', {RC.format(f'substr(kmer, 1, {k_ - 1})')} FROM counts),
-edges AS (SELECT a.node AS src, a.e AS src_end, b.node AS dst, b.e AS dst_end FROM ends a JOIN ends b ON b.y = {RC.format('a.y')}),
-deg AS (SELECT node, ends.e, count(dst) AS n FROM ends LEFT JOIN edges ON src = node AND src_end = ends.e GROUP BY node, ends.e)"""
+_ENDS = f"""{COUNTS}, ends AS MATERIALIZED (SELECT node, e, y, {RC.format('y')} AS back FROM (SELECT kmer AS node, 'R' AS e, substr(kmer, 2) AS y FROM counts
+  UNION ALL SELECT kmer, 'L', {RC.format(f'substr(kmer, 1, {k_ - 1})')} FROM counts)),
+edges AS MATERIALIZED (SELECT a.node AS src, a.e AS src_end, b.node AS dst, b.e AS dst_end, a.y < a.back AS first FROM ends a JOIN ends b ON b.y = a.back),
+deg AS (SELECT src AS node, src_end AS e, count(*) AS n FROM edges GROUP BY ALL)"""
 
 
 def _kmers(spark, d):
@@ -35,14 +35,15 @@ def dbg_edges(spark, d):
     return _text(dbg.edges(_kmers(spark, d), "kmer", k_), "src", "dst")
 
 
-@query(f"WITH {_ENDS} SELECT node, sum(n) FILTER (e = 'L')::BIGINT AS deg_l, sum(n) FILTER (e = 'R')::BIGINT AS deg_r FROM deg GROUP BY node")
+@query(f"""WITH {_ENDS} SELECT node, coalesce(sum(n) FILTER (e = 'L'), 0)::BIGINT AS deg_l, coalesce(sum(n) FILTER (e = 'R'), 0)::BIGINT AS deg_r
+FROM (SELECT node, e, n FROM deg UNION ALL SELECT kmer, 'L', 0 FROM counts) GROUP BY node""")
 def dbg_degree(spark, d):
     """#124: degrees of both ends."""
     return _text(dbg.degrees(_kmers(spark, d), "kmer", k_), "node")
 
 
 @query(f"""WITH {_ENDS} SELECT src AS a, src_end AS a_end, dst AS b, dst_end AS b_end FROM edges JOIN deg x ON x.node = src AND x.e = src_end JOIN deg y ON y.node = dst AND y.e = dst_end
-JOIN ends s ON s.node = src AND s.e = src_end WHERE x.n = 1 AND y.n = 1 AND src <> dst AND s.y < {RC.format('s.y')}""")
+WHERE x.n = 1 AND y.n = 1 AND src <> dst AND first""")
 def dbg_mergeable(spark, d):
     """#124: pairs of ends that can be merged."""
     return _text(dbg.mergeable(_kmers(spark, d), "kmer", k_), "a", "b")
