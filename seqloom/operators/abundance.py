@@ -40,18 +40,18 @@ def normalise(df: DataFrame, column: str, out: str) -> DataFrame:
     return df.join(F.broadcast(total)).withColumn(out, F.when(F.col("__total") > 0, F.col(column) / F.col("__total")).otherwise(F.lit(0.0))).drop("__total")
 
 
-def vb_step(means: DataFrame, classes: DataFrame, pairs: DataFrame, lengths: DataFrame, prior: float = PRIOR) -> DataFrame:
+def vb_step(means: DataFrame, classes: DataFrame, pairs: DataFrame, lengths: DataFrame, prior: float = PRIOR, least: float = 1.0) -> DataFrame:
     """(tid, mean) after one step of the variational EM.
 
-    With total = prior x targets + sum of class counts, the weight of a target with count c = mean x total >= 1 is
-    exp(digamma(c) - digamma(total)) / effective length, that of others 0; each class count is divided among its
+    With total = prior x targets + sum of class counts, the weight of a target with count c = mean x total, at least ``least``
+    and not 0, is exp(digamma(c) - digamma(total)) / effective length, that of others 0; each class count is divided among its
     targets by weight, and the new mean is prior + mass, normalised.  ``lengths``: tid, eff_len, for every target.
     """
     sizes = lengths.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(classes.agg(F.sum("cnt").alias("c"))))  # two single rows
     total = sizes.select((F.lit(prior) * F.col("n") + F.col("c")).alias("__t"))
     count = F.col("mean") * F.col("__t")
     weighted = lengths.join(means, "tid", "left").na.fill(0.0, ["mean"]).join(F.broadcast(total)).select(
-        "tid", F.when((count >= 1.0) & (F.col("eff_len") > 0), F.exp(digamma(count) - digamma(F.col("__t"))) / F.col("eff_len")).otherwise(F.lit(0.0)).alias("rho")
+        "tid", F.when((count >= least) & (count > 0) & (F.col("eff_len") > 0), F.exp(digamma(count) - digamma(F.col("__t"))) / F.col("eff_len")).otherwise(F.lit(0.0)).alias("rho")
     )
     return _split(weighted, classes, pairs, prior)
 
@@ -93,24 +93,125 @@ def iterate(means: DataFrame, classes: DataFrame, pairs: DataFrame, lengths: Dat
     return now
 
 
-def squarem(means: DataFrame, classes: DataFrame, pairs: DataFrame, lengths: DataFrame, rounds: int, step=vb_step) -> DataFrame:
-    """Accelerated iteration: two steps, an extrapolation along their difference, and one stabilising step a round."""
-    ws = Workspace(means.sparkSession, "squarem")
-    classes, pairs, lengths = (ws.write(x, n) for x, n in ((classes, "classes"), (pairs, "pairs"), (lengths, "lengths")))
-    x0 = ws.write(means, "start")
-    for i in range(rounds):
-        x1 = ws.write(step(x0, classes, pairs, lengths), f"one-{i}")
-        x2 = ws.write(step(x1, classes, pairs, lengths), f"two-{i}")
-        j = x2.withColumnRenamed("mean", "c").join(x1.withColumnRenamed("mean", "b"), "tid").join(x0.withColumnRenamed("mean", "a"), "tid", "left").na.fill(0.0, ["a"])
-        r, v = F.col("b") - F.col("a"), F.col("c") - 2 * F.col("b") + F.col("a")
-        sr, sv = j.agg(F.sqrt(F.sum(r * r)), F.sqrt(F.sum(v * v))).first()
-        if not sr or not sv:
-            return x2
-        alpha = -max(1.0, sr / sv)
-        ahead = j.select("tid", F.greatest(F.col("a") - 2 * alpha * r + alpha * alpha * v, F.lit(0.0)).alias("raw"))
-        ahead = normalise(ahead, "raw", "mean").select("tid", "mean")
-        x0 = ws.write(step(ahead, classes, pairs, lengths), f"new-{i}")
-    return x0
+class _Tables:
+    """Means as written tables; every operation is a query over the class-target pairs."""
+
+    def __init__(self, classes: DataFrame, pairs: DataFrame, lengths: DataFrame, prior: float, least: float):
+        self.ws, self.n = Workspace(pairs.sparkSession, "solve"), 0
+        self.classes, self.pairs, self.lengths = (self.ws.write(x, n) for x, n in ((classes, "classes"), (pairs, "pairs"), (lengths, "lengths")))
+        self.prior, self.least = prior, least
+
+    def keep(self, means: DataFrame) -> DataFrame:
+        self.n += 1
+        return self.ws.write(means.select("tid", "mean"), f"means-{self.n}")
+
+    def step(self, m: DataFrame) -> DataFrame:
+        return self.keep(vb_step(m, self.classes, self.pairs, self.lengths, self.prior, self.least))
+
+    def _join(self, *means: DataFrame) -> DataFrame:
+        j = self.lengths.select("tid")
+        for i, m in enumerate(means):
+            j = j.join(m.select("tid", F.col("mean").alias(f"m{i}")), "tid", "left").na.fill(0.0, [f"m{i}"])
+        return j
+
+    def change(self, a: DataFrame, b: DataFrame) -> float:
+        x, y = F.col("m0"), F.col("m1")
+        share = F.when(x > 0, F.abs(y - x) / x).otherwise(F.lit(float("inf")))
+        return self._join(a, b).where((x > 1e-7) | (y > 1e-7)).agg(F.max(share)).first()[0] or 0.0
+
+    def likelihood(self, m: DataFrame) -> float:
+        row = log_likelihood(m, self.classes, self.pairs, self.lengths, 3).first()
+        return row[0] or 0.0
+
+    def norms(self, m0: DataFrame, m1: DataFrame, m2: DataFrame) -> tuple[float, float]:
+        r = F.col("m1") - F.col("m0")
+        v = F.col("m2") - F.col("m1") - r
+        x = self._join(m0, m1, m2).agg(F.sum(r * r), F.sum(v * v)).first()
+        return math.sqrt(x[0] or 0.0), math.sqrt(x[1] or 0.0)
+
+    def ahead(self, m0: DataFrame, m1: DataFrame, m2: DataFrame, alpha: float) -> DataFrame:
+        r = F.col("m1") - F.col("m0")
+        v = F.col("m2") - F.col("m1") - r
+        return self.keep(self._join(m0, m1, m2).select("tid", F.greatest(F.col("m0") * 0.1, F.col("m0") + 2 * alpha * r + alpha * alpha * v).alias("mean")))
+
+
+class _Arrays:
+    """Means as arrays in one task. c, t: class and target of each pair; cnt: per class; length: per target."""
+
+    def __init__(self, c: np.ndarray, t: np.ndarray, cnt: np.ndarray, length: np.ndarray, prior: float, least: float):
+        self.c, self.t, self.cnt, self.length, self.prior, self.least = c, t, cnt, length, prior, least
+        self.total = prior * len(length) + cnt.sum()
+        self.psi = _digamma(np.array([self.total]))[0]
+
+    def step(self, m: np.ndarray) -> np.ndarray:
+        n = m * self.total
+        ok = (n >= self.least) & (n > 0) & (self.length > 0)
+        rho = np.zeros(len(m))
+        rho[ok] = np.exp(_digamma(n[ok]) - self.psi) / self.length[ok]
+        whole = np.bincount(self.c, rho[self.t], len(self.cnt))
+        share = np.where(whole > EPSILON, self.cnt / np.where(whole > EPSILON, whole, 1.0), 0.0)
+        new = self.prior + np.bincount(self.t, rho[self.t] * share[self.c], len(m))
+        return new / new.sum() if new.sum() > 0 else new
+
+    def change(self, a: np.ndarray, b: np.ndarray) -> float:
+        seen = (a > 1e-7) | (b > 1e-7)
+        a, b = a[seen], b[seen]
+        return float(np.where(a > 0, np.abs(b - a) / np.where(a > 0, a, 1.0), np.inf).max(initial=0.0))
+
+    def likelihood(self, m: np.ndarray) -> float:
+        p = np.where(self.length > 0, m / np.where(self.length > 0, self.length, 1.0), 0.0)
+        p = p / p.sum() if p.sum() > 0 else p
+        seen = p > EPSILON
+        log_p = np.zeros(len(p))
+        log_p[seen] = np.log(p[seen] / self.length[seen])
+        return float((self.cnt[self.c] * log_p[self.t]).sum()) / max(len(m), 1)
+
+    def norms(self, m0, m1, m2) -> tuple[float, float]:
+        r = m1 - m0
+        v = m2 - m1 - r
+        return float(np.sqrt((r * r).sum())), float(np.sqrt((v * v).sum()))
+
+    def ahead(self, m0, m1, m2, alpha: float) -> np.ndarray:
+        r = m1 - m0
+        return np.maximum(m0 * 0.1, m0 + 2 * alpha * r + alpha * alpha * (m2 - m1 - r))
+
+
+def drive(ops, m, rounds: int, tolerance: float | None, accelerate: bool):
+    """(means, rounds taken, whether they converged) of the fixed-point iteration over :class:`_Tables` or :class:`_Arrays`.
+
+    It has converged when no mean above 1e-7 changes in a step by ``tolerance`` of it or more. With ``accelerate`` a round, once changes
+    are below ten times that (from the start without a tolerance), extrapolates along two steps (SQUAREM): step lengths are
+    from 1 to a bound that is 1 at first and quadruples when it is reached; no mean falls below a tenth of what it was; a length
+    other than 1 is followed by a stabilising step; and if the likelihood falls by more than 1, the two steps are taken as they are.
+    """
+    accelerated, last, bound = tolerance is None and accelerate, None, 1.0
+    for i in range(1, rounds + 1):
+        one = ops.step(m)
+        if tolerance is not None:
+            change = ops.change(m, one)
+            if change < tolerance:
+                return one, i, True
+            accelerated = accelerated or accelerate and change < 10 * tolerance
+        if not accelerated:
+            m = one
+            continue
+        last = -ops.likelihood(m) if last is None else last
+        two = ops.step(one)
+        r, v = ops.norms(m, one, two)
+        alpha = max(1.0, min(bound, r / v if v > 0 else bound))
+        new = ops.ahead(m, one, two, alpha)
+        if abs(alpha - 1.0) > 0.01:
+            new = ops.step(new)
+        now = -ops.likelihood(new)
+        if now > last + 1.0:
+            new, now = two, -ops.likelihood(two)
+            if alpha == bound:
+                bound = max(1.0, bound / 4.0)
+            alpha = 1.0
+        if alpha == bound:
+            bound *= 4.0
+        m, last = new, now
+    return m, rounds, False
 
 
 def _digamma(x: np.ndarray) -> np.ndarray:
@@ -120,19 +221,20 @@ def _digamma(x: np.ndarray) -> np.ndarray:
     return np.log(y) - 0.5 / y - series - sum(1.0 / (x + i) for i in range(6))
 
 
-def solve(means: DataFrame, classes: DataFrame, pairs: DataFrame, lengths: DataFrame, rounds: int, tolerance: float | None = None, accelerate: bool = False, prior: float = PRIOR, most_pairs: int = 2_000_000) -> DataFrame:
-    """(tid, mean): the same iteration as :func:`iterate` or :func:`squarem` with :func:`vb_step`.
+def solve(means: DataFrame, classes: DataFrame, pairs: DataFrame, lengths: DataFrame, rounds: int = 1000, tolerance: float | None = None, accelerate: bool = False, prior: float = PRIOR, least: float = 1.0, most_pairs: int = 2_000_000) -> DataFrame:
+    """(tid, mean, rounds, converged): :func:`drive` with the steps of :func:`vb_step`, for every target of ``lengths``.
 
     Up to ``most_pairs`` class-target pairs (some 100 MB) all rounds run inside one task, as a round then costs less
-    than scheduling it; beyond that the loop over tables is used. Both give the same numbers.
+    than scheduling it; beyond that every operation is a query over tables. Both take the same steps in the same order.
     """
     ws = Workspace(means.sparkSession, "solve")
-    one = pairs.join(classes.select("class_key", "cnt"), "class_key").join(lengths, "tid").join(means, "tid", "left").na.fill(0.0, ["mean"])
+    start = lengths.join(means, "tid", "left").na.fill(0.0, ["mean"]).select("tid", "eff_len", "mean")
+    one = start.join(pairs.join(classes.select("class_key", "cnt"), "class_key").select("tid", "class_key", "cnt"), "tid", "left")
     one = ws.write(one.select("class_key", "tid", "cnt", "eff_len", "mean"), "pairs")
     if one.count() > most_pairs:
-        if accelerate:
-            return squarem(means, classes, pairs, lengths, rounds)
-        return iterate(means, classes, pairs, lengths, rounds, tolerance=tolerance)
+        ops = _Tables(classes, pairs, lengths, prior, least)
+        m, n, done = drive(ops, ops.keep(start), rounds, tolerance, accelerate)
+        return m.select("tid", "mean", F.lit(n).alias("rounds"), F.lit(done).alias("converged"))
 
     def run(frames):
         import pandas as pd
@@ -140,51 +242,52 @@ def solve(means: DataFrame, classes: DataFrame, pairs: DataFrame, lengths: DataF
         x = pd.concat(list(frames))
         if not len(x):
             return
-        c, classes_ = pd.factorize(x["class_key"])
         t, tids = pd.factorize(x["tid"])
-        cnt = np.zeros(len(classes_))
-        cnt[c] = x["cnt"]
         length, mean = np.zeros(len(tids)), np.zeros(len(tids))
         length[t], mean[t] = x["eff_len"], x["mean"]
-        total = prior * len(tids) + cnt.sum()
-        psi = _digamma(np.array([total]))[0]
-
-        def step(m):
-            n = m * total
-            ok = (n >= 1.0) & (length > 0)
-            rho = np.zeros(len(tids))
-            rho[ok] = np.exp(_digamma(n[ok]) - psi) / length[ok]
-            whole = np.bincount(c, rho[t], len(classes_))
-            share = np.where(whole > EPSILON, cnt / np.where(whole > EPSILON, whole, 1.0), 0.0)
-            new = prior + np.bincount(t, rho[t] * share[c], len(tids))
-            return new / new.sum()
-
-        for _ in range(rounds):
-            new = step(mean)
-            if accelerate:
-                last = step(new)
-                r, v = new - mean, last - 2 * new + mean
-                sr, sv = np.sqrt((r * r).sum()), np.sqrt((v * v).sum())
-                if not sr or not sv:
-                    mean = last
-                    break
-                alpha = -max(1.0, sr / sv)
-                ahead = np.maximum(mean - 2 * alpha * r + alpha * alpha * v, 0.0)
-                new = step(ahead / ahead.sum())
-            change = np.abs(new - mean)[new > 1e-8] / new[new > 1e-8]
-            mean = new
-            if tolerance is not None and (not len(change) or change.max() < tolerance):
-                break
-        yield pd.DataFrame({"tid": tids, "mean": mean})
-
-    # targets without a class keep the prior's share, so none must be missing here: every target has its k-mers' classes
-    return one.coalesce(1).mapInPandas(run, "tid long, mean double")
-
-
-def log_likelihood(means: DataFrame, classes: DataFrame, pairs: DataFrame, lengths: DataFrame) -> DataFrame:
-    """One row: sum over classes of count x ln(sum over targets of mean / effective length); classes of no probability are left out."""
-    p = pairs.join(means, "tid").join(lengths, "tid").where("eff_len > 0").groupBy("class_key").agg(F.sum(F.col("mean") / F.col("eff_len")).alias("p"))
-    return p.join(classes, "class_key").where("p > 0").agg(F.sum(F.col("cnt") * F.log("p")).alias("log_likelihood"))
+        has = x["class_key"].notna().to_numpy()
+        c, keys = pd.factorize(x["class_key"][has])
+        cnt = np.zeros(len(keys))
+        cnt[c] = x["cnt"][has]
+        mean, n, done = drive(_Arrays(c, t[has], cnt, length, prior, least), mean, rounds, tolerance, accelerate)
+        yield pd.DataFrame({"tid": tids, "mean": mean, "rounds": n, "converged": done})
+
+    return one.coalesce(1).mapInPandas(run, "tid long, mean double, rounds int, converged boolean")
+
+
+def log_likelihood(means: DataFrame, classes: DataFrame, pairs: DataFrame, lengths: DataFrame, variant: int = 0, prior: float = PRIOR, least: float = 1.0) -> DataFrame:
+    """One row, ``log_likelihood``, of means (tid, mean).
+
+    0: that of the mixture: sum over classes of count x ln(sum over targets of mean / effective length).
+    1: over targets, ln(mean x product over classes of the share of the class it gets); products below 1e-40 add nothing.
+    2: over classes, ln(sum over targets of the mass it gets of the class x p / effective length), left out below 1e-20.
+    3: over class-target pairs, count x ln(p / effective length), divided by the number of targets: the one that guards the acceleration.
+    p is mean / effective length, normalised; shares and masses are those of a step from these means. Targets without an effective length and
+    probabilities of 0 are left out.
+    """
+    kept = lengths.join(means.select("tid", "mean"), "tid", "left").na.fill(0.0, ["mean"])
+    if variant == 0:
+        p = pairs.join(kept, "tid").where("eff_len > 0").groupBy("class_key").agg(F.sum(F.col("mean") / F.col("eff_len")).alias("p"))
+        return p.join(classes, "class_key").where("p > 0").agg(F.sum(F.col("cnt") * F.log("p")).alias("log_likelihood"))
+    kept = normalise(kept.withColumn("raw", F.when(F.col("eff_len") > 0, F.col("mean") / F.col("eff_len")).otherwise(F.lit(0.0))), "raw", "p")
+    if variant == 3:
+        n = lengths.agg(F.count(F.lit(1)).alias("n"))
+        x = pairs.join(kept.where(F.col("p") > EPSILON), "tid").join(classes.select("class_key", "cnt"), "class_key")
+        x = x.agg(F.sum(F.col("cnt") * F.log(F.col("p") / F.col("eff_len"))).alias("x"))
+        return x.join(F.broadcast(n)).select((F.col("x") / F.col("n")).alias("log_likelihood"))  # two single rows
+    sizes = lengths.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(classes.agg(F.sum("cnt").alias("c"))))
+    count = F.col("mean") * F.col("__t")
+    rho = F.when((count >= least) & (count > 0) & (F.col("eff_len") > 0), F.exp(digamma(count) - digamma(F.col("__t"))) / F.col("eff_len")).otherwise(F.lit(0.0))
+    kept = kept.join(F.broadcast(sizes.select((F.lit(prior) * F.col("n") + F.col("c")).alias("__t")))).withColumn("rho", rho)
+    x = pairs.join(kept.select("tid", "eff_len", "mean", "p", "rho"), "tid")
+    whole = x.groupBy("class_key").agg(F.sum("rho").alias("whole")).where(F.col("whole") > EPSILON)
+    x = x.join(whole.join(classes.select("class_key", "cnt").where("cnt > 0"), "class_key"), "class_key").withColumn("share", F.col("rho") / F.col("whole"))
+    if variant == 1:
+        log_share = F.sum(F.when(F.col("share") > 0, F.log("share")).otherwise(F.lit(-1e9)))
+        x = x.groupBy("tid").agg(F.max("mean").alias("mean"), log_share.alias("l")).where(f"mean > 1e-40 and l > {math.log(1e-40)!r}")
+        return x.agg(F.coalesce(F.sum(F.log("mean") + F.col("l")), F.lit(0.0)).alias("log_likelihood"))
+    per = x.where("eff_len > 0").groupBy("class_key").agg(F.sum(F.col("share") * F.col("cnt") * F.col("p") / F.col("eff_len")).alias("l"))
+    return per.where("l >= 1e-20").agg(F.coalesce(F.sum(F.log("l")), F.lit(0.0)).alias("log_likelihood"))
 
 
 def kmer_units(masses: DataFrame, k: int, mean_read_length: float, least: float = 0.0) -> DataFrame:
@@ -252,50 +355,61 @@ def clamp(est: np.ndarray, lo: np.ndarray, hi: np.ndarray, rounds: int) -> np.nd
     return x
 
 
-def quantiles_of_beta(df: DataFrame, a: str, b: str) -> DataFrame:
-    """df with low and high: the central 95 % interval of Beta(a, b), by bisection on the incomplete beta function."""
-
-    def incomplete(a: float, b: float, x: float) -> float:
-        if x <= 0 or x >= 1:
-            return float(x >= 1)
-        if x > (a + 1) / (a + b + 2):
-            return 1 - incomplete(b, a, 1 - x)
-        front = math.exp(a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) / a
-        f, c, d = 1.0, 1.0, 0.0
-        for i in range(300):  # the continued fraction, by the modified Lentz method
-            m = i // 2
-            num = 1.0 if i == 0 else (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)))
-            d = 1 / max(1 + num * d, 1e-300) if 1 + num * d > 0 else 1 / min(1 + num * d, -1e-300)
-            c = 1 + num / c
-            f *= c * d
-            if abs(1 - c * d) < 1e-14:
-                break
-        return front * (f - 1)
-
-    def quantile(a: float, b: float, p: float) -> float:
-        lo, hi = 0.0, 1.0
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if incomplete(a, b, mid) < p else (lo, mid)
-        return (lo + hi) / 2
-
-    from pyspark.sql.functions import pandas_udf
-
-    def udf_of(p: float):
-        @pandas_udf("double")
-        def q(x, y):
-            return x.__class__([quantile(float(i), float(j), p) for i, j in zip(x, y)])
-
-        return q
-
-    return df.withColumn("low", udf_of(0.025)(a, b)).withColumn("high", udf_of(0.975)(a, b))
-
-
-def intervals(masses: DataFrame, alpha: float = 0.1) -> DataFrame:
-    """(tid, mean, low, high): posterior share of each target and its 95 % interval under a Dirichlet with prior alpha."""
-    t = masses.agg((F.sum("mass") + F.count(F.lit(1)) * alpha).alias("__t"))
-    x = masses.join(F.broadcast(t)).select("tid", (F.col("mass") + alpha).alias("a"), (F.col("__t") - F.col("mass") - alpha).alias("b"))
-    return quantiles_of_beta(x, "a", "b").select("tid", (F.col("a") / (F.col("a") + F.col("b"))).alias("mean"), "low", "high")
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """ln of the gamma function for x > 0: recurrence up to x + 8, then Stirling's series."""
+    y, shift = x + 8.0, np.zeros(len(x))
+    for i in range(8):
+        shift += np.log(x + i)
+    r = 1.0 / (y * y)
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r / 1680))) / y - shift
+
+
+def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Regularised incomplete beta function, for 0 < x < 1; its continued fraction by the modified Lentz method, for all rows at once."""
+    turned = x > (a + 1) / (a + b + 2)
+    p, q, z = np.where(turned, b, a), np.where(turned, a, b), np.where(turned, 1 - x, x)
+    front = np.exp(p * np.log(z) + q * np.log1p(-z) + _log_gamma(p + q) - _log_gamma(p) - _log_gamma(q)) / p
+    away = lambda u: np.where(np.abs(u) < 1e-300, 1e-300, u)
+    c, d = np.ones(len(x)), 1.0 / away(1 - (p + q) * z / (p + 1))
+    f = d.copy()
+    for m in range(1, 20_000):
+        even = m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m))
+        d, c = 1.0 / away(1 + even * d), away(1 + even / c)
+        f *= c * d
+        odd = -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))
+        d, c = 1.0 / away(1 + odd * d), away(1 + odd / c)
+        f *= c * d
+        if (np.abs(c * d - 1) < 1e-14).all():
+            break
+    out = front * f
+    return np.where(turned, 1 - out, out)
+
+
+def beta_quantile(a: np.ndarray, b: np.ndarray, p: float) -> np.ndarray:
+    """Quantile of Beta(a, b), by bisection of all rows at once."""
+    low, high = np.zeros(len(a)), np.ones(len(a))
+    for _ in range(60):
+        mid = (low + high) / 2
+        less = incomplete_beta(a, b, mid) < p
+        low, high = np.where(less, mid, low), np.where(less, high, mid)
+    return (low + high) / 2
+
+
+def intervals(means: DataFrame, classes: DataFrame, alpha: float = 0.1) -> DataFrame:
+    """(tid, mean, low, high): posterior share of each target and its central 95 % interval, of the converged means (tid, mean) of :func:`solve`
+    under a Dirichlet prior ``alpha``: the parameter of a target is its mean times the total, and its share has a beta distribution."""
+    total = means.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(classes.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("c"))))  # two single rows
+    x = means.join(F.broadcast(total.select((F.lit(alpha) * F.col("n") + F.col("c")).alias("t")))).select("tid", "mean", (F.col("mean") * F.col("t")).alias("a"), ((1 - F.col("mean")) * F.col("t")).alias("b"))
+
+    def run(frames):
+        for f in frames:
+            a, b = f["a"].to_numpy(float), f["b"].to_numpy(float)
+            ok = (a > 0) & (b > 0)
+            low, high = np.where(a > 0, f["mean"], 0.0), np.where(a > 0, f["mean"], 0.0)
+            low[ok], high[ok] = beta_quantile(a[ok], b[ok], 0.025), beta_quantile(a[ok], b[ok], 0.975)
+            yield f[["tid", "mean"]].assign(low=low, high=high)
+
+    return x.mapInPandas(run, "tid long, mean double, low double, high double")
 
 
 def running_log_mass(n: Column, forgetting: float) -> Column:

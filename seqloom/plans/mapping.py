@@ -153,20 +153,26 @@ def adjacent_groups(spark, d):
     return A.adjacent_groups(r, "lib_code", "read_id", "batch_no").select("batch_no", "read_id", "group_no")
 
 
-@query(f"""WITH {_MATES}, f AS (SELECT abs(p1 - p2) + CASE WHEN p1 < p2 THEN l2 ELSE l1 END AS len FROM mates),
-k AS (SELECT len + d - 2 AS len, w FROM f, (SELECT unnest([0, 1, 2, 3, 4]) AS d, unnest([0.0625::DOUBLE, 0.25, 0.375, 0.25, 0.0625]) AS w) WHERE len BETWEEN 0 AND 800),
-t AS (SELECT len::INT AS len, sum(w) AS mass FROM k WHERE len BETWEEN 0 AND 800 GROUP BY len) SELECT len, round(mass, 6) AS mass, round(sum(mass) OVER (ORDER BY len), 6) AS cmf FROM t""")
+_FLD = f"""{_MATES}, f AS (SELECT least(abs(p1 - p2) + CASE WHEN p1 < p2 THEN l2 ELSE l1 END, 800) AS len FROM mates),
+k AS (SELECT len + d - 2 AS len, w FROM f, (SELECT unnest([0, 1, 2, 3, 4]) AS d, unnest([0.0625::DOUBLE, 0.25, 0.375, 0.25, 0.0625]) AS w)),
+t AS (SELECT len::INT AS len, sum(w) AS mass FROM k WHERE len BETWEEN 1 AND 800 GROUP BY len)"""
+
+
+@query(f"WITH {_FLD} SELECT len, round(mass, 6) AS mass, round(sum(mass) OVER (ORDER BY len), 6) AS cmf FROM t")
 def fld_cmf(spark, d):
     """#114, #140: fragment lengths smoothed by the kernel, and their running sum."""
     f = _mates(spark, d).select(A.fragment_length(F.col("p1"), F.col("l1"), F.col("p2"), F.col("l2")).alias("len"))
     return A.length_distribution(f, "len").select("len", F.round("mass", 6).alias("mass"), F.round("cmf", 6).alias("cmf"))
 
 
-@query()
+_PRIOR = f"prior AS (SELECT unnest(generate_series(0, 800))::INT AS len, unnest([{', '.join(repr(m) for _, m in A.prior_masses())}])::DOUBLE AS mass)"
+
+
+@query(f"WITH {_FLD}, {_PRIOR}, b AS (SELECT len, sum(mass) AS mass FROM (FROM t UNION ALL FROM prior) GROUP BY len) SELECT len, round(mass, 6) AS mass, round(sum(mass) OVER (ORDER BY len), 6) AS cmf FROM b")
 def fld_prior(spark, d):
-    """#29, #140: the same with the normal prior; the normal distribution function is not in SQL."""
+    """#29, #140: the same with the normal prior; SQL has the 801 masses of the prior written out."""
     f = _mates(spark, d).select(A.fragment_length(F.col("p1"), F.col("l1"), F.col("p2"), F.col("l2")).alias("len"))
-    return A.length_distribution(f, "len", A.length_prior(spark))
+    return A.length_distribution(f, "len", A.length_prior(spark)).select("len", F.round("mass", 6).alias("mass"), F.round("cmf", 6).alias("cmf"))
 
 
 _U = "((kmer_id * 7919 + 13) % 10007) / 10007.0::DOUBLE"

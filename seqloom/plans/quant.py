@@ -69,7 +69,7 @@ class Model:
         return A.initial_means(self.counts, self.pairs)
 
     def rounds(self, n: int, **kw) -> DataFrame:
-        return A.iterate(self.start(), self.counts, self.pairs, self.lengths, n, **kw)
+        return A.solve(self.start(), self.counts, self.pairs, self.lengths, n, **kw).select("tid", "mean")
 
     def masses(self) -> DataFrame:
         """Masses after one step, in k-mers."""
@@ -264,30 +264,76 @@ def em_step5(spark, d):
 
 @query()
 def em_converged(spark, d):
-    """#130: until no mean changes by more than 0.5 %, at most 60 steps."""
+    """#130: accelerated, until no mean changes by 0.5 % or more, at most 1000 rounds."""
     m = Model(spark, d)
-    return A.solve(m.start(), m.counts, m.pairs, m.lengths, 60, tolerance=5e-3)
+    return A.solve(m.start(), m.counts, m.pairs, m.lengths, 1000, tolerance=5e-3, accelerate=True)
 
 
-@query()
+def _step_sql(source: str, out: str) -> str:
+    """One variational step from the table ``source`` (tid, mean)."""
+    c = "(coalesce(mean, 0) * t)"
+    return f"""w_{out} AS MATERIALIZED (SELECT tid, CASE WHEN {c} >= 1 AND eff_len > 0 THEN exp({dg(c)} - {dg('t')}) / eff_len ELSE 0 END AS rho FROM lens LEFT JOIN {source} USING (tid), tot),
+n_{out} AS MATERIALIZED (SELECT class_key, sum(rho) AS whole FROM ct JOIN w_{out} USING (tid) GROUP BY class_key HAVING sum(rho) > 0.375e-10),
+s_{out} AS (SELECT tid, sum(rho / whole * cnt) AS mass FROM ct JOIN w_{out} USING (tid) JOIN n_{out} USING (class_key) JOIN cp USING (class_key) GROUP BY tid),
+r_{out} AS MATERIALIZED (SELECT tid, 0.01::DOUBLE + coalesce(mass, 0) AS raw FROM lens LEFT JOIN s_{out} USING (tid)),
+{out} AS MATERIALIZED (SELECT tid, raw / (SELECT sum(raw) FROM r_{out}) AS mean FROM r_{out})"""
+
+
+def _likelihood_sql(source: str, out: str) -> str:
+    return f"""p_{out} AS (SELECT tid, eff_len, mean / eff_len / sum(mean / eff_len) OVER () AS p FROM {source} JOIN lens USING (tid)),
+{out} AS MATERIALIZED (SELECT sum(cnt * ln(p / eff_len)) / (SELECT count(*) FROM lens) AS l FROM ct JOIN cp USING (class_key) JOIN p_{out} USING (tid) WHERE p > 0.375e-10)"""
+
+
+def _ahead_sql(m0: str, m1: str, m2: str, alpha: str, out: str) -> str:
+    return f"""x_{out} AS (SELECT tid, coalesce({m0}.mean, 0) AS a, {m1}.mean - coalesce({m0}.mean, 0) AS r, {m2}.mean - 2 * {m1}.mean + coalesce({m0}.mean, 0) AS v FROM lens LEFT JOIN {m0} USING (tid) JOIN {m1} USING (tid) JOIN {m2} USING (tid)),
+a_{out} AS MATERIALIZED (SELECT greatest(1.0, least({alpha}, sqrt(sum(r * r)) / sqrt(sum(v * v)))) AS alpha FROM x_{out}),
+{out} AS MATERIALIZED (SELECT tid, greatest(a * 0.1, a + 2 * alpha * r + alpha * alpha * v) AS mean FROM x_{out}, a_{out})"""
+
+
+# the first round has step length 1, so its bound is 4 in the second; both are guarded by the likelihood
+_SQUAREM = ", ".join([
+    INIT, _likelihood_sql("m0", "l0"), _step_sql("m0", "f1"), _step_sql("f1", "f2"), _ahead_sql("m0", "f1", "f2", "1.0", "g"), _likelihood_sql("g", "lg"), _likelihood_sql("f2", "lf"),
+    "one AS MATERIALIZED (SELECT tid, CASE WHEN -lg.l > 1 - l0.l THEN f2.mean ELSE g.mean END AS mean FROM f2 JOIN g USING (tid), lg, l0)", "l1 AS (SELECT CASE WHEN -lg.l > 1 - l0.l THEN lf.l ELSE lg.l END AS l FROM lg, lf, l0)",
+    _step_sql("one", "h1"), _step_sql("h1", "h2"), _ahead_sql("one", "h1", "h2", "4.0", "e"), _step_sql("e", "st"),
+    "i AS MATERIALIZED (SELECT tid, CASE WHEN abs(alpha - 1) > 0.01 THEN st.mean ELSE e.mean END AS mean FROM st JOIN e USING (tid), a_e)", _likelihood_sql("i", "li"),
+    "two AS (SELECT tid, CASE WHEN -li.l > 1 - l1.l THEN h2.mean ELSE i.mean END AS mean FROM h2 JOIN i USING (tid), li, l1)",
+])
+
+
+@query(f"WITH {_SQUAREM} SELECT tid, round(mean, 8) AS mean, 2 AS rounds, false AS converged FROM two")
 def em_squarem(spark, d):
-    """#130: ten accelerated rounds."""
+    """#130: two accelerated rounds."""
     m = Model(spark, d)
-    return A.solve(m.start(), m.counts, m.pairs, m.lengths, 10, accelerate=True)
+    return A.solve(m.start(), m.counts, m.pairs, m.lengths, 2, accelerate=True).withColumn("mean", F.round("mean", 8))
 
 
 @query()
 def vb_intervals(spark, d):
-    """#133: posterior shares with 95 % credible intervals."""
-    return A.intervals(Model(spark, d).masses())
+    """#133: posterior shares of the converged variational Bayes (prior 0.1 a target) with 95 % credible intervals."""
+    m = Model(spark, d)
+    uniform = m.lengths.select("tid", F.lit(1.0).alias("raw"))
+    means = A.solve(A.normalise(uniform, "raw", "mean").select("tid", "mean"), m.counts, m.pairs, m.lengths, 1000, tolerance=5e-3, prior=0.1, least=0.0)
+    return A.intervals(means, m.counts)
+
+
+_RHO = f"""w AS (SELECT tid, eff_len, mean, CASE WHEN mean * t >= 1 THEN exp({dg('(mean * t)')} - {dg('t')}) / eff_len ELSE 0 END AS rho, mean / eff_len / sum(mean / eff_len) OVER () AS p FROM m0 JOIN lens USING (tid), tot),
+n AS (SELECT class_key, sum(rho) AS whole FROM ct JOIN w USING (tid) GROUP BY class_key HAVING sum(rho) > 0.375e-10),
+sh AS (SELECT class_key, tid, mean, p, eff_len, cnt, rho / whole AS share FROM ct JOIN w USING (tid) JOIN n USING (class_key) JOIN cp USING (class_key) WHERE cnt > 0)"""
 
 
-@query(f"""WITH {INIT}, p AS (SELECT class_key, sum(mean / eff_len) AS p FROM ct JOIN m0 USING (tid) JOIN lens USING (tid) GROUP BY class_key)
-SELECT round(sum(cnt * ln(p)), 3) AS log_likelihood FROM p JOIN cp USING (class_key) WHERE p > 0""")
+@query(f"""WITH {INIT}, p AS (SELECT class_key, sum(mean / eff_len) AS p FROM ct JOIN m0 USING (tid) JOIN lens USING (tid) GROUP BY class_key), {_RHO}, {_likelihood_sql('m0', 'l3')},
+one AS (SELECT tid, max(mean) AS mean, sum(CASE WHEN share > 0 THEN ln(share) ELSE -1e9 END) AS l FROM sh GROUP BY tid),
+two AS (SELECT sum(share * cnt * p / eff_len) AS l FROM sh GROUP BY class_key)
+SELECT (SELECT round(sum(cnt * ln(p)), 3) FROM p JOIN cp USING (class_key) WHERE p > 0) AS mixture, (SELECT round(sum(ln(mean) + l), 6) FROM one WHERE mean > 1e-40 AND l > -92.10340371976183) AS shares,
+(SELECT round(sum(ln(l)), 4) FROM two WHERE l >= 1e-20) AS masses, (SELECT round(l, 6) FROM l3) AS pairs""")
 def loglik(spark, d):
-    """#132: log-likelihood of the initial means."""
+    """#132: the likelihood of the initial means as a mixture, and its three variants."""
     m = Model(spark, d)
-    return A.log_likelihood(m.start(), m.counts, m.pairs, m.lengths).select(F.round("log_likelihood", 3).alias("log_likelihood"))
+    one = lambda v, name, digits: A.log_likelihood(m.start(), m.counts, m.pairs, m.lengths, v).select(F.round("log_likelihood", digits).alias(name))
+    out = one(0, "mixture", 3)
+    for v, name, digits in ((1, "shares", 6), (2, "masses", 4), (3, "pairs", 6)):
+        out = out.join(F.broadcast(one(v, name, digits)))  # single rows
+    return out
 
 
 def _units_sql(least: float, cols: str) -> str:

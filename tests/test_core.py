@@ -149,10 +149,58 @@ def test_both_ways_to_iterate_agree(spark):
     assert sum(a.values()) == pytest.approx(1)
 
 
-def test_acceleration_agrees(spark):
+@pytest.mark.parametrize("accelerate,tolerance,prior,least,rounds", [(True, None, 0.01, 1.0, 4), (True, 0.5, 1.0, 1.0, 5), (False, 0.05, 0.1, 0.0, 30), (True, 5e-3, 0.01, 1.0, 40)])
+def test_tables_and_arrays_take_the_same_steps(spark, accelerate, tolerance, prior, least, rounds):
     m, c, p, n = em_tables(spark)
-    a = {r.tid: r.mean for r in A.squarem(m, c, p, n, 2).collect()}
-    assert a == pytest.approx({r.tid: r.mean for r in A.solve(m, c, p, n, 2, accelerate=True).collect()}, abs=1e-9)
+    n = n.unionByName(spark.createDataFrame([(99, 30)], "tid long, eff_len long"))  # a target without a class
+    one, two = ({r.tid: r for r in A.solve(m, c, p, n, rounds, tolerance, accelerate, prior, least, most_pairs=k).collect()} for k in (0, 10**6))
+    assert {t: r.mean for t, r in one.items()} == pytest.approx({t: r.mean for t, r in two.items()}, abs=1e-9)
+    assert {(r.rounds, r.converged) for r in one.values()} == {(r.rounds, r.converged) for r in two.values()} and len(one) == 9
+
+
+def test_acceleration_reaches_the_fixed_point_sooner(spark):
+    m, c, p, n = em_tables(spark)
+    slow = {r.tid: r for r in A.solve(m, c, p, n, 1000, tolerance=1e-6).collect()}
+    fast = {r.tid: r for r in A.solve(m, c, p, n, 1000, tolerance=1e-6, accelerate=True).collect()}
+    assert all(r.converged for r in (*slow.values(), *fast.values())) and fast[0].rounds < slow[0].rounds
+    assert {t: r.mean for t, r in slow.items()} == pytest.approx({t: r.mean for t, r in fast.items()}, abs=1e-4)
+    assert not A.solve(m, c, p, n, 2, tolerance=1e-9).first().converged
+
+
+def test_intervals_hold_the_mean(spark):
+    m, c, p, n = em_tables(spark)
+    means = A.solve(m, c, p, n, 1000, tolerance=1e-6, prior=0.1, least=0.0)
+    rows = A.intervals(means, c).collect()
+    assert len(rows) == 8 and all(0 <= r.low <= r.mean <= r.high <= 1 or r.mean < 1e-3 for r in rows)
+    assert sum(r.mean for r in rows) == pytest.approx(1)
+
+
+def test_acceleration_is_guarded():
+    class Ops:
+        """Steps that shrink a distance by half; extrapolations look worse than they are, so every round falls back to its two steps."""
+
+        def __init__(self):
+            self.tried = 0
+
+        def step(self, m):
+            return m / 2
+
+        def change(self, a, b):
+            return 1.0
+
+        def norms(self, *_):
+            return 3.0, 1.0
+
+        def ahead(self, *_):
+            self.tried += 1
+            return np.array([-1000.0])
+
+        def likelihood(self, m):
+            return -abs(float(m[0])) * 10
+
+    ops = Ops()
+    m, rounds, done = A.drive(ops, np.array([1.0]), 5, None, True)
+    assert m[0] == 2.0**-10 and ops.tried == 5 and (rounds, done) == (5, False)
 
 
 def test_em_raises_the_likelihood(spark):
@@ -172,10 +220,17 @@ def test_digamma(spark):
     assert got[0] == pytest.approx(-0.5772156649015329, abs=1e-11) and got[1] == pytest.approx(-1.9635100260214235, abs=1e-11) and got[2] == pytest.approx(13.815510057964191, abs=1e-9)
 
 
-def test_beta_quantiles(spark):
-    r = A.quantiles_of_beta(spark.createDataFrame([(1.0, 1.0), (2.0, 1.0)], "a double, b double"), "a", "b").collect()
-    assert r[0].low == pytest.approx(0.025, abs=1e-6) and r[0].high == pytest.approx(0.975, abs=1e-6)
-    assert r[1].low == pytest.approx(0.025**0.5, abs=1e-6)
+def test_beta_quantiles():
+    b = np.array([0.1, 1.0, 2.0, 50.0, 1e6])
+    one = np.ones(5)
+    for p in (0.025, 0.5, 0.975):
+        assert A.beta_quantile(one, b, p) == pytest.approx(1 - (1 - p) ** (1 / b), rel=1e-7)
+        assert A.beta_quantile(b, one, p) == pytest.approx(p ** (1 / b), rel=1e-7, abs=1e-15)
+    assert A.beta_quantile(b[1:], b[1:], 0.5) == pytest.approx(0.5, abs=1e-9)
+    x = np.linspace(0.001, 0.999, 200_001)
+    density = x**6.5 * (1 - x) ** 2.25
+    sums = np.cumsum(density) / density.sum()
+    assert A.incomplete_beta(np.array([7.5]), np.array([3.25]), np.array([x[140_000]])) == pytest.approx(sums[140_000], abs=1e-4)
 
 
 def test_polytope():
