@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def correct(expression: DataFrame, features: DataFrame, value: str, least: float = 1e-3, trees: int = 100, depth: int = 5, variance: float = 0.95, seed: int = 1) -> DataFrame:
+def correct(expression: DataFrame, features: DataFrame, value: str, least: float = 1e-3, trees: int = 500, depth: int = 5, variance: float = 0.95, seed: int = 1) -> DataFrame:
     """(name, raw, corrected): ``value`` of rows of at least ``least`` is replaced by exp(mean + residual) of a forest that
     predicts ln(value) from the leading principal components of composition and ln length; other rows stay as they are.
 

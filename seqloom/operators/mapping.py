@@ -10,33 +10,46 @@ from . import kmers as K
 
 
 def seeds(reads: DataFrame, read_id: str, seq: str, targets: DataFrame, tid: str, tseq: str, k: int = 19, max_occ: int | None = 200) -> DataFrame:
-    """(read_id, tid, fwd, rpos, tpos): positions where a k-mer of the read, or of its reverse complement, stands in a target.
+    """(read_id, tid, fwd, rpos, tpos, qpos): positions where a k-mer of the read, or of its reverse complement, stands in a target.
 
-    ``rpos`` counts in the direction in which the read matches. Seeds with more than ``max_occ`` occurrences in the
-    targets are thinned to about max_occ: of n occurrences every ceil(n / max_occ)-th by a hash of target and position
-    stays, so that no seed's occurrences are sorted or gathered in one task; None keeps all.
+    ``rpos`` counts in the direction in which the read matches, ``qpos`` from the start of the read. Of a seed with n occurrences
+    in the targets, more than ``max_occ``, those stay whose tid + tpos is a multiple of ceil(n / max_occ): a stride along the
+    targets that needs no sort, so no seed's occurrences are gathered in one task; None keeps all. After that a seed joins at
+    most some max_occ rows to each of its reads, and adaptive execution splits the reads of a frequent one.
     """
     r = K.tokenise(reads, read_id, seq, k, length="n")
     t = K.tokenise(targets, tid, tseq, k).select("fwd", F.col(tid), F.col("pos").alias("tpos")).withColumnRenamed("fwd", "kmer")
     if max_occ is not None:
         many = t.groupBy("kmer").agg(F.count(F.lit(1)).alias("n_occ")).where(F.col("n_occ") > max_occ)
         step = F.ceil(F.coalesce("n_occ", F.lit(1)) / F.lit(max_occ))
-        t = t.join(many, "kmer", "left").where(F.pmod(F.xxhash64(tid, "tpos"), step) == 0).drop("n_occ")
+        t = t.join(many, "kmer", "left").where(F.pmod(F.col(tid) + F.col("tpos"), step) == 0).drop("n_occ")
     both = F.array(
         F.struct(F.col("fwd").alias("kmer"), F.lit(True).alias("fwd"), F.col("pos").alias("rpos")),
         F.struct(F.col("rev").alias("kmer"), F.lit(False).alias("fwd"), (F.col("n") - k - F.col("pos")).cast("int").alias("rpos")),
     )
-    r = r.select(read_id, F.explode(both).alias("x")).select(read_id, "x.kmer", "x.fwd", "x.rpos")
-    return r.join(t, "kmer").select(read_id, tid, "fwd", "rpos", "tpos")
+    r = r.select(read_id, F.col("pos").alias("qpos"), F.explode(both).alias("x")).select(read_id, "qpos", "x.kmer", "x.fwd", "x.rpos")
+    return r.join(t, "kmer").select(read_id, tid, "fwd", "rpos", "tpos", "qpos")
 
 
 def exact_matches(hits: DataFrame, read_id: str, tid: str, k: int) -> DataFrame:
-    """(read_id, tid, fwd, rpos, tpos, len): seeds on one diagonal at consecutive positions, joined to maximal matches."""
+    """(read_id, tid, fwd, rpos, tpos, qpos, len): seeds on one diagonal at consecutive positions, joined to maximal matches."""
     w = Window.partitionBy(read_id, tid, "fwd", "diag").orderBy("rpos")
     d = hits.withColumn("diag", F.col("tpos") - F.col("rpos"))
     d = d.withColumn("new", F.coalesce((F.col("rpos") != F.lag("rpos").over(w) + 1).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(w))
-    m = d.groupBy(read_id, tid, "fwd", "diag", "run").agg(F.min("rpos").alias("rpos"), F.min("tpos").alias("tpos"), (F.count(F.lit(1)) + (k - 1)).cast("int").alias("len"))
-    return m.select(read_id, tid, "fwd", "rpos", "tpos", "len")
+    m = d.groupBy(read_id, tid, "fwd", "diag", "run").agg(F.min("rpos").alias("rpos"), F.min("tpos").alias("tpos"), F.min("qpos").alias("qpos"), (F.count(F.lit(1)) + (k - 1)).cast("int").alias("len"))
+    return m.select(read_id, tid, "fwd", "rpos", "tpos", "qpos", "len")
+
+
+def super_maximal(matches: DataFrame, read_id: str) -> DataFrame:
+    """The matches whose stretch of the read lies in no longer match of the read, on any target and strand.
+
+    Only the longest match from each position of a read can be one, and only if it ends beyond those that begin before it; so
+    what is ordered is at most a row a position of the read. ``matches`` should be a written table, as it is read twice.
+    """
+    w = Window.partitionBy(read_id).orderBy("qpos").rowsBetween(Window.unboundedPreceding, -1)
+    longest = matches.groupBy(read_id, "qpos").agg(F.max(F.col("qpos") + F.col("len")).alias("end"))
+    kept = longest.withColumn("before", F.max("end").over(w)).where("before is null or before < end").select(read_id, "qpos", (F.col("end") - F.col("qpos")).cast("int").alias("len"))
+    return matches.join(kept, [read_id, "qpos", "len"], "left_semi")
 
 
 def anchors(sorted_positions: Column, gap: int = 10) -> Column:

@@ -22,7 +22,7 @@ from .registry import Registry
 from .workspace import Workspace, table
 
 query = Registry()
-SEED = 19
+SEED, MAX_OCC = 19, 200
 
 # -- library formats
 
@@ -190,12 +190,16 @@ def posterior_mass(spark, d):
 # -- mapping
 
 _TARGETS = f"""t AS (SELECT min(read_id) AS tid, s FROM (SELECT read_id, least(s, {RC.format('s')}) AS s FROM reads WHERE lib_code = 'ctrl' AND regexp_matches(s, '[ACGT]')) GROUP BY s)"""
-_SEEDS = f"""{reads()}, {_TARGETS}, {windows(SEED, cols='read_id, s')}, {windows(SEED, 't', 'tw', 'tid')},
-seeds AS (SELECT read_id, tid, true AS fwd, (win.p - 1)::INT AS rpos, (tw.p - 1)::INT AS tpos FROM win JOIN tw USING (w)
-  UNION ALL SELECT read_id, tid, false, (length(s) - {SEED} - (win.p - 1))::INT, (tw.p - 1)::INT FROM win JOIN tw ON tw.w = {RC.format('win.w')}),
+_SEEDS = f"""{reads()}, {_TARGETS}, {windows(SEED, cols='read_id, s')}, {windows(SEED, 't', 'every_tw', 'tid')},
+tw AS (SELECT tid, p, w FROM every_tw JOIN (SELECT w, count(*) AS n FROM every_tw GROUP BY w) USING (w) WHERE (tid + p - 1) % CASE WHEN n > {MAX_OCC} THEN ceil(n / {MAX_OCC}.0)::BIGINT ELSE 1 END = 0),
+seeds AS (SELECT read_id, tid, true AS fwd, (win.p - 1)::INT AS rpos, (tw.p - 1)::INT AS tpos, (win.p - 1)::INT AS qpos FROM win JOIN tw USING (w)
+  UNION ALL SELECT read_id, tid, false, (length(s) - {SEED} - (win.p - 1))::INT, (tw.p - 1)::INT, (win.p - 1)::INT FROM win JOIN tw ON tw.w = {RC.format('win.w')}),
 mm AS (SELECT *, tpos - rpos AS diag, CASE WHEN lag(rpos) OVER v = rpos - 1 THEN 0 ELSE 1 END AS new FROM seeds WINDOW v AS (PARTITION BY read_id, tid, fwd, tpos - rpos ORDER BY rpos)),
 rr AS (SELECT *, sum(new) OVER (PARTITION BY read_id, tid, fwd, diag ORDER BY rpos) AS run FROM mm),
-mems AS (SELECT read_id, tid, fwd, min(rpos)::INT AS rpos, min(tpos)::INT AS tpos, (count(*) + {SEED - 1})::INT AS len FROM rr GROUP BY read_id, tid, fwd, diag, run)"""
+maximal AS MATERIALIZED (SELECT read_id, tid, fwd, min(rpos)::INT AS rpos, min(tpos)::INT AS tpos, min(qpos)::INT AS qpos, (count(*) + {SEED - 1})::INT AS len FROM rr GROUP BY read_id, tid, fwd, diag, run),
+ends AS (SELECT read_id, qpos, e, max(e) OVER (PARTITION BY read_id ORDER BY qpos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM (SELECT read_id, qpos, max(qpos + len) AS e FROM maximal GROUP BY read_id, qpos)),
+mems AS MATERIALIZED (SELECT maximal.* FROM maximal JOIN ends USING (read_id, qpos) WHERE qpos + len = e AND (before IS NULL OR before < e))"""
 _CLUSTER = f"""{_SEEDS}, v AS (SELECT *, tpos - rpos AS vote FROM mems),
 an AS (SELECT read_id, tid, fwd, list_reduce(list_transform(list(DISTINCT vote ORDER BY vote), lambda x: [x]), lambda a, x: CASE WHEN x[1] - a[len(a)] > 10 THEN list_append(a, x[1]) ELSE a END) AS anchors FROM v GROUP BY ALL),
 va AS (SELECT v.*, list_max(list_filter(anchors, lambda x: x <= vote)) AS anchor FROM v JOIN an USING (read_id, tid, fwd)),
@@ -226,10 +230,10 @@ class Mapped:
         self.lengths = self.reads.where("seq is not null").select("read_id", F.length(S.squeeze("seq")).alias("n"))
 
     def seeds(self):
-        return M.seeds(self.reads, "read_id", "seq", self.targets, "tid", "seq", SEED, max_occ=None)
+        return M.seeds(self.reads, "read_id", "seq", self.targets, "tid", "seq", SEED, MAX_OCC)
 
     def matches(self):
-        return M.exact_matches(self.seeds(), "read_id", "tid", SEED)
+        return M.super_maximal(self.ws.write(M.exact_matches(self.seeds(), "read_id", "tid", SEED), "maximal"), "read_id")
 
     def clusters(self):
         return M.clusters(self.ws.write(self.matches(), "matches"), "read_id", "tid")
@@ -241,14 +245,14 @@ class Mapped:
 @query(f"WITH {_SEEDS} SELECT read_id, tid, fwd, count(*) AS n_seeds FROM seeds GROUP BY ALL")
 @whole
 def seed_hits(spark, d, library=SQL_LIBRARY):
-    """#68, #84: seeds of 19 bases of every read in every target, both strands."""
+    """#68, #84: seeds of 19 bases of every read in every target, both strands, frequent ones by a stride."""
     return Mapped(spark, d, library).seeds().groupBy("read_id", "tid", "fwd").agg(F.count(F.lit(1)).alias("n_seeds"))
 
 
-@query(f"WITH {_SEEDS} SELECT read_id, tid, fwd, rpos, tpos, len FROM mems")
+@query(f"WITH {_SEEDS} SELECT read_id, tid, fwd, rpos, tpos, qpos, len FROM mems")
 @whole
 def mem_merge(spark, d, library=SQL_LIBRARY):
-    """#84: maximal exact matches."""
+    """#84: maximal exact matches that lie in no longer match of the read."""
     return Mapped(spark, d, library).matches()
 
 
@@ -304,15 +308,22 @@ def target_clusters(spark, d, library=SQL_LIBRARY):
     return clusters.shared_members(m.seeds().select("read_id", "tid").distinct(), "read_id", "tid")
 
 
-@query()
-def error_matrix(spark, d):
+@query(f"""WITH {_CLUSTER}, al AS (SELECT CASE WHEN fwd THEN r.s ELSE {RC.format('r.s')} END AS r, substr(t.s, pos::INT + 1, n::INT) AS t FROM best JOIN reads r USING (read_id) JOIN t USING (tid) WHERE score >= 0.75 AND pos >= 0 AND pos + n <= length(t.s)),
+base_pairs AS (SELECT pos, instr('ACGT', substr(r, pos, 1)) - 1 AS col, instr('ACGT', substr(t, pos, 1)) - 1 AS ref, CASE WHEN pos = 1 THEN 0 ELSE instr('ACGT', substr(r, pos - 1, 1)) - 1 END AS prev
+  FROM (SELECT r, t, unnest(generate_series(1, length(r)))::INT AS pos FROM al))
+SELECT pos, (4 * prev + ref)::INT AS row, col::INT AS col, count(*) AS n FROM base_pairs WHERE col >= 0 AND ref >= 0 AND prev >= 0 GROUP BY ALL""")
+@whole
+def error_matrix(spark, d, library=SQL_LIBRARY):
     """#141: bases of reads against the base of their targets, by position, for reads that lie in full on a target."""
-    m = Mapped(spark, d)
+    return A.mismatch_matrix(_on_targets(Mapped(spark, d, library)), "read", "target")
+
+
+def _on_targets(m: Mapped) -> DataFrame:
+    """(read_id, tid, read, target): reads in the direction of the target they lie on in full, and its text there."""
     b = m.best().where("score >= 0.75").join(m.reads.select("read_id", S.squeeze("seq").alias("r")), "read_id").join(m.targets.select("tid", F.col("seq").alias("t")), "tid")
     r = F.when(F.col("fwd"), F.col("r")).otherwise(S.reverse_complement("r"))
     n = F.length("r")
-    b = b.where((F.col("pos") >= 0) & (F.col("pos") + n <= F.length("t"))).select(r.alias("read"), F.substring("t", F.col("pos") + 1, n).alias("target"))
-    return A.mismatch_matrix(b, "read", "target")
+    return b.where((F.col("pos") >= 0) & (F.col("pos") + n <= F.length("t"))).select("read_id", "tid", r.alias("read"), F.substring("t", F.col("pos") + 1, n).alias("target"))
 
 
 _BATCHES = 10
