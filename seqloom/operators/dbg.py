@@ -11,6 +11,8 @@ Nodes are packed k-mers, k of at most 31.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -68,12 +70,96 @@ def _oriented(node: Column, forward: Column) -> Column:
     return F.shiftleft(node, 1).bitwiseOR(F.when(forward, F.lit(0)).otherwise(F.lit(1)).cast("long"))
 
 
-def _jump(ws: Workspace, links: DataFrame, name: str, rounds: int) -> DataFrame:
-    """Pointer doubling over (v, pred): (v, head, dist, low, closed). ``closed`` rows have reached a head without a
-    predecessor; the others lie on cycles and ``low`` is the least number passed, that of the whole cycle in the end.
+def neighbourhoods(values: np.ndarray, k: int, m: int) -> np.ndarray:
+    """A number that k-mers next to each other mostly share: the least of the mixed canonical m-mers of a canonical k-mer."""
+    best = np.full(len(values), np.iinfo(np.int64).max)
+    for j in range(k - m + 1):
+        w = (values >> (2 * j)) & ((1 << (2 * m)) - 1)
+        mixed = np.minimum(w, reverse_values(w, m)) * np.int64(0x2545F4914F6CDD1D) & np.iinfo(np.int64).max
+        np.minimum(best, mixed, out=best)
+    return best
+
+
+def _walk(v: np.ndarray, head: np.ndarray, dist: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(head, dist, low, cyclic) of steps from v to head among themselves: the first head that no step here leaves, the distance to
+    it and the least number on the way; on a cycle, the least number of the cycle."""
+    head, dist, low = head.copy(), dist.copy(), low.copy()
+    order = np.argsort(v)
+    at = np.minimum(np.searchsorted(v[order], head), len(v) - 1)
+    nxt = np.where(v[order][at] == head, order[at], -1)
+    for _ in range(len(v).bit_length() + 1):
+        on = np.flatnonzero(nxt >= 0)
+        if not len(on):
+            break
+        j = nxt[on]
+        h, d, w, n = head[j], dist[on] + dist[j], np.minimum(low[on], low[j]), nxt[j]
+        head[on], dist[on], low[on], nxt[on] = h, d, w, n
+    return head, dist, low, nxt >= 0
+
+
+_STEPS = "v long, head long, dist long, low long, cyclic boolean"
+
+
+def _walk_batches(rows: int | None):
+    """Walk along the steps (v, head, dist, low) of a partition, in pieces of ``rows`` or all together."""
+
+    def run(batches):
+        held, size = [], 0
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                held.append(b)
+                size += b.num_rows
+            if held and (b is None or rows is not None and size >= rows):
+                t = pa.Table.from_batches(held)
+                cols = [t[c].combine_chunks().to_numpy() for c in ("v", "head", "dist", "low")]
+                held, size = [], 0
+                if len(cols[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cols[0], *_walk(*cols))], ["v", "head", "dist", "low", "cyclic"])
+
+    return run
+
+
+def _shortened(ws: Workspace, links: DataFrame, name: str, k: int, rows: int = 1_000_000) -> DataFrame:
+    """Links (v, pred) as (v, head, dist, low, cyclic), gone along as far as they lie together. Links are put beside their
+    neighbours by :func:`neighbourhoods` and taken in pieces of ``rows``; where a piece ends, so does the walk, whatever lies beyond."""
+    m = max(1, min(9, k - 1))
+
+    def place(batches):
+        for b in batches:
+            v = b.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(neighbourhoods(v >> 1, k, m))], ["v", "head", "place"])
+
+    placed = links.select("v", "pred").mapInArrow(place, "v long, head long, place long").repartition("place").sortWithinPartitions("place")
+    steps = placed.select("v", "head", F.lit(1).cast("long").alias("dist"), F.least("v", "head").alias("low"))
+    return ws.write(steps.mapInArrow(_walk_batches(rows), _STEPS), name)
+
+
+def _jump(ws: Workspace, links: DataFrame, name: str, k: int, rounds: int, most_steps: int = 2_000_000) -> DataFrame:
+    """Paths of (v, pred): (v, head, dist, low, closed). ``closed`` rows have reached a head without a predecessor; the others lie
+    on cycles and ``low`` is the least number passed, that of the whole cycle in the end.
+
+    Most of each path is gone along in place, see _shortened. Only steps that others end at, a fraction of all, go on: up to
+    ``most_steps`` of them (some 100 MB) in one task, as that takes less than a round of joins, more by pointer doubling. One join then
+    carries their heads back to all rows.
+    """
+    short = _shortened(ws, links, f"{name}-short", k)
+    asked = short.where("not cyclic").select(F.col("head").alias("v")).distinct()
+    open_ = ws.write(short.join(asked, "v", "left_semi").where("not cyclic").drop("cyclic"), f"{name}-open")
+    if open_.count() <= most_steps:
+        ends = ws.write(open_.coalesce(1).mapInArrow(_walk_batches(None), _STEPS), f"{name}-ends")
+        ends = ends.select("v", "head", "dist", "low", (~F.col("cyclic")).alias("closed"))
+    else:
+        ends = _double(ws, open_, name, rounds)
+    ends = ends.select(F.col("v").alias("head"), F.col("head").alias("h2"), F.col("dist").alias("d2"), F.col("low").alias("l2"), F.col("closed").alias("c2"))
+    whole = short.where("not cyclic").join(ends, "head", "left").select(
+        "v", F.coalesce("h2", "head").alias("head"), (F.col("dist") + F.coalesce("d2", F.lit(0))).alias("dist"), F.least("low", "l2").alias("low"), F.coalesce("c2", F.lit(True)).alias("closed")
+    )
+    return whole.unionByName(short.where("cyclic").select("v", "head", "dist", "low", F.lit(False).alias("closed")))
+
 
-    Only rows that are not closed yet are looked up and rewritten in a round."""
-    open_ = ws.write(links.select("v", F.col("pred").alias("head"), F.lit(1).cast("long").alias("dist"), F.least("v", "pred").alias("low")), f"{name}-open-0")
+def _double(ws: Workspace, open_: DataFrame, name: str, rounds: int) -> DataFrame:
+    """Pointer doubling over the steps (v, head, dist, low): (v, head, dist, low, closed). Only rows that are not closed yet are looked
+    up and rewritten in a round."""
     closed, n = None, open_.count()
     for i in range(rounds):
         if not n:
@@ -96,11 +182,11 @@ def _jump(ws: Workspace, links: DataFrame, name: str, rounds: int) -> DataFrame:
     return left if closed is None else closed.withColumn("closed", F.lit(True)).unionByName(left)
 
 
-def unitigs(kmers: DataFrame, kmer: str, k: int, max_rounds: int = 48) -> DataFrame:
+def unitigs(kmers: DataFrame, kmer: str, k: int, max_rounds: int = 48, most_steps: int = 2_000_000) -> DataFrame:
     """(unitig, n_kmers): the maximal non-branching paths as text, each in one of its two directions (the lesser text).
 
     A closed cycle is cut before its least k-mer. ``kmers`` must be distinct canonical packed k-mers; nulls are left
-    out. Paths are found by pointer doubling, about log2 of the longest path rounds of joins.
+    out. Paths are found by walking along neighbours that lie together, then by pointer doubling between these walks.
     """
     from .kmers import spell
 
@@ -111,14 +197,14 @@ def unitigs(kmers: DataFrame, kmer: str, k: int, max_rounds: int = 48) -> DataFr
     enter = lambda n, e: _oriented(F.col(n), F.col(e) == "L")
     leave = lambda n, e: _oriented(F.col(n), F.col(e) == "R")
     links = ws.write(m.select(enter("b", "b_end").alias("v"), leave("a", "a_end").alias("pred")).unionByName(m.select(enter("a", "a_end").alias("v"), leave("b", "b_end").alias("pred"))), "links")
-    paths = ws.write(_jump(ws, links, "paths", max_rounds), "paths")
+    paths = ws.write(_jump(ws, links, "paths", k, max_rounds, most_steps), "paths")
     cyclic = paths.where("not closed")
     if cyclic.isEmpty():
         placed = paths.select("v", "head", "dist")
     else:
         # cut every cycle before its least oriented node; the mirror cycle has another one, and is the same unitig
         cut = cyclic.where(F.col("v") != F.col("low")).select("v").join(links, "v")
-        again = _jump(ws, ws.write(cut, "cut"), "cycles", max_rounds)
+        again = _jump(ws, ws.write(cut, "cut"), "cycles", k, max_rounds, most_steps)
         placed = paths.where("closed").select("v", "head", "dist").unionByName(again.select("v", "head", "dist"))
     # nodes without a predecessor are heads themselves
     every = nodes.select(F.explode(F.array(F.shiftleft("node", 1), F.shiftleft("node", 1).bitwiseOR(F.lit(1)))).alias("v"))

@@ -153,6 +153,7 @@ def test_circular_unitig(spark):
 def check_unitigs(spark, kmers, k):
     df = spark.createDataFrame([(w,) for w in kmers], "w string").select(K.pack("w").alias("kmer"))
     rows = dbg.unitigs(df, "kmer", k).collect()
+    assert Counter(rows) == Counter(dbg.unitigs(df, "kmer", k, most_steps=0).collect())
     assert brute([r.unitig for r in rows], k) == Counter(kmers)
     expected = walk(kmers, k)
     assert sorted(r.n_kmers for r in rows) == sorted(len(p) for p, _ in expected)
