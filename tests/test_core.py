@@ -97,6 +97,26 @@ def test_deletion_reopens_and_late_parent_resolves(spark):
     assert [r.row_id for r in ledger.orphans().collect()] == [1]
 
 
+def test_ledger_goes_on_where_it_was_killed(spark, tmp_path):
+    rng = random.Random(9)
+    refs = [("t", "f", i, rng.choice("abcdef"), day(rng.randint(0, 400))) for i in range(80)]
+    parents = [("f", i, rng.choice("abcdef"), day(a := rng.randint(0, 400)), rng.choice([None, day(a + rng.randint(0, 90))])) for i in range(20)]
+    r, p, path = spark.createDataFrame(refs, REF), spark.createDataFrame(parents, PAR), f"file://{tmp_path}/ledger"
+
+    class Killed(OrphanLedger):
+        def _orphans_of(self, *args):
+            if len(self.state["periods"]) == 5:
+                raise RuntimeError("killed")
+            return super()._orphans_of(*args)
+
+    with pytest.raises(RuntimeError):
+        replay(Killed(spark, 7, fanout=2, path=path), r, p)
+    ledger = replay(OrphanLedger(spark, path=path), r, p)
+    assert len(ledger.state["parents"]) <= 2 and len(ledger.state["periods"]) > 10
+    assert {tuple(x) for x in ledger.orphans().collect()} == brute_orphans(refs, parents, 7)
+    assert {tuple(x) for x in OrphanLedger(spark, path=path).orphans().collect()} == brute_orphans(refs, parents, 7)
+
+
 def test_orphans_of_empty_tables(spark):
     ledger = replay(OrphanLedger(spark), spark.createDataFrame([], REF), spark.createDataFrame([], PAR))
     assert ledger.orphans().count() == 0 and ledger.history().count() == 0
