@@ -313,6 +313,20 @@ def read_units(counts: DataFrame) -> DataFrame:
     return c.select("tid", tpm.alias("tpm"), fpkm.alias("fpkm"), "num_reads")
 
 
+def clamped_sums(df: DataFrame, key: str, value: str, quantile: float) -> DataFrame:
+    """(key, clamped, between_quantiles): sums of the values of a key with its lowest and highest ones replaced by the next different
+    ones (plain sums below five values), and with all values clamped to the given quantile and its counterpart."""
+    v = F.col(value)
+    b = df.groupBy(key).agg(
+        F.count(F.lit(1)).alias("__n"), F.sum(v).alias("__total"), F.min(v).alias("__low"), F.max(v).alias("__high"),
+        F.percentile(v, F.lit(quantile)).alias("__q1"), F.percentile(v, F.lit(1 - quantile)).alias("__q2"),
+    )
+    x = df.select(key, value).join(b, key)
+    c = x.groupBy(key).agg(F.min(F.when(v > F.col("__low"), v)).alias("__low2"), F.max(F.when(v < F.col("__high"), v)).alias("__high2"))
+    x = x.join(c, key).withColumn("__c", F.when(F.col("__n") < 5, v).when(v >= F.col("__high"), F.coalesce("__high2", "__high")).when(v <= F.col("__low"), F.coalesce("__low2", "__low")).otherwise(v))
+    return x.groupBy(key).agg(F.sum("__c").alias("clamped"), F.sum(F.least("__q2", F.greatest("__q1", v))).alias("between_quantiles"))
+
+
 def roll_up(expression: DataFrame, t2g: DataFrame, tid: str = "tid", gene: str = "gene") -> DataFrame:
     """Per gene the greatest length and the sum of every other number; a target without a gene is its own gene."""
     values = [c for c, kind in expression.dtypes if c not in (tid, "length") and kind in ("double", "float", "int", "bigint")]

@@ -310,7 +310,7 @@ def kmer_prime_update(spark, d):
 
 @query(f"WITH {COUNTS} SELECT kmer, cnt FROM counts WHERE kmer IN (SELECT kmer FROM km GROUP BY kmer HAVING count(*) >= 2)")
 def kmer_bloom_filtered(spark, d):
-    """#77: k-mers seen at least twice; a Bloom filter prunes, exact counts decide."""
+    """#77: k-mers seen at least twice. The counts combined in each task stand for the Bloom counter, and are exact."""
     return _text(kmerdb.bloom_filtered(_reads(spark, d), "seq", k_))
 
 

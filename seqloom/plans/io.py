@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..functions.utilities import mutate, mutation_rate as rate
+from ..operators import index as I
 from ..operators import kmers as K
 from ..sources import sinks, text
 from ..streaming.online import stream_fasta
+from . import mapping, quant
 from .counting import COUNTS, canonical, k_, reads, windows
+from .quant import TK, hits
 from .registry import Registry
 from .workspace import Workspace, table
 
@@ -144,13 +147,76 @@ def hash_text_roundtrip(spark, d):
     return text.read_hash_text(spark, ws.where("hash"))
 
 
-@query("SELECT transcript_id AS name, len(any_value(kmers)) AS n_terms FROM transcripts WHERE kmers IS NOT NULL GROUP BY transcript_id")
+@query("""SELECT name, sum(x) OVER (PARTITION BY name)::DOUBLE AS total, p::INT AS pos, x::DOUBLE AS term FROM (
+SELECT name, unnest(kmers) AS x, generate_subscripts(kmers, 1) - 1 AS p FROM (SELECT transcript_id AS name, max(kmers) AS kmers FROM transcripts WHERE kmers IS NOT NULL GROUP BY transcript_id))""")
 def bias_terms(spark, d):
-    """#18: a dictionary of terms by name, and one of the index artefacts (#23)."""
+    """#18, #23: a dictionary of terms by name, written as one artefact of an index and read back: every term with its place and the sum."""
     ws = Workspace(spark, "io")
-    t = table(spark, d, "transcripts").where("kmers is not null").select(F.col("transcript_id").alias("name"), F.col("kmers").alias("terms")).dropDuplicates(["name"])
+    t = table(spark, d, "transcripts").where("kmers is not null").groupBy(F.col("transcript_id").alias("name")).agg(F.max("kmers").alias("terms"))
     sinks.write_artefacts({"terms": t}, ws.where("index"))
-    return text.read_bias_terms(spark, ws.where("index") + "/terms").select("name", F.size("terms").cast("long").alias("n_terms"))
+    t = text.read_bias_terms(spark, ws.where("index") + "/terms")
+    total = F.aggregate("terms", F.lit(0.0), lambda a, x: a + x)
+    return t.where(F.size("terms") > 0).select("name", total.alias("total"), F.posexplode("terms").alias("pos", "term"))
+
+
+@query(f"""WITH {TK} SELECT * FROM (SELECT 'targets' AS artefact, count(*) AS n_rows, sum(eff_len)::BIGINT AS checksum FROM lens
+UNION ALL SELECT 'target_kmers', count(*), sum(occ)::BIGINT FROM tk UNION ALL SELECT 'kmers', count(*), sum(n)::BIGINT FROM (SELECT kmer, count(*) AS n FROM tk GROUP BY kmer)
+UNION ALL SELECT 'counts', count(*), sum(cnt)::BIGINT FROM hits UNION ALL SELECT 'classes', count(*), sum(class_key)::BIGINT FROM (SELECT kmer, min(kmer) OVER (PARTITION BY v) AS class_key FROM (SELECT kmer, list(struct_pack(t := tid, o := occ) ORDER BY tid) AS v FROM tk GROUP BY kmer)))""")
+def index_artefacts(spark, d):
+    """#23: the whole index written and read back: targets with their lengths, k-mers of targets, k-mers with their targets, counts and classes."""
+    ws = Workspace(spark, "io")
+    tk = ws.write(I.target_kmers(table(spark, d, "transcripts"), "transcript_id", "kmers"), "tk")
+    sums = {"targets": "eff_len", "target_kmers": "occ", "kmers": "n_targets", "counts": "cnt", "classes": "class_key"}
+    sinks.write_artefacts(
+        {"targets": tk.groupBy("tid").agg(F.sum("occ").alias("eff_len")), "target_kmers": tk, "kmers": I.inverted(tk), "counts": hits(spark, d), "classes": I.equivalence_classes(tk)}, ws.where("index")
+    )
+    out = None
+    for name, column in sums.items():
+        one = spark.read.parquet(f"{ws.where('index')}/{name}").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(column).alias("checksum")).select(F.lit(name).alias("artefact"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_DI = ", ".join(f"di_{i:02d} int" for i in range(16))
+
+
+@query(quant.ORACLE["gc_dinuc"])
+def bias_feats_text(spark, d):
+    """#28: the 19 columns of the bias features as text and back."""
+    ws = Workspace(spark, "io")
+    sinks.write_table(quant.gc_dinuc(spark, d), ws.where("features"))
+    return text.read_table(spark, ws.where("features"), f"name long, length int, gc double, {_DI}")
+
+
+@query(f"""SELECT name, value FROM (UNPIVOT (SELECT n_agree::VARCHAR AS n_agree, n_disagree::VARCHAR AS n_disagree, strand_bias::VARCHAR AS strand_bias, many_disagree::VARCHAR AS many_disagree
+FROM ({mapping.ORACLE["libfmt_tally"]})) ON n_agree, n_disagree, strand_bias, many_disagree)""")
+def libfmt_counts_text(spark, d):
+    """#27: the tally of library formats as lines of text and back."""
+    ws = Workspace(spark, "io")
+    sinks.write_pairs(mapping.libfmt_tally(spark, d).drop("strand_ratio"), ws.where("counts"))
+    return text.read_pairs_of_values(spark, ws.where("counts"))
+
+
+@query(f"""WITH c AS ({mapping.ORACLE["posterior_mass"]}) SELECT kmer_id::VARCHAR AS name, CASE WHEN transcript_id IS NULL THEN 4 ELSE 0 END AS flag, coalesce(transcript_id::VARCHAR, '*') AS target
+FROM (SELECT DISTINCT kmer_id FROM kmer_hits WHERE kmer_id <> -1) LEFT JOIN c USING (kmer_id)""")
+def posterior_sam(spark, d):
+    """#30, #72: one alignment a class, drawn by its hits, written as SAM with the unaligned ones, and read back."""
+    ws = Workspace(spark, "io")
+    every = table(spark, d, "kmer_hits").where(S.is_id("kmer_id")).select("kmer_id").distinct()
+    x = every.join(mapping.posterior_mass(spark, d), "kmer_id", "left")
+    missing = F.col("transcript_id").isNull()
+    x = x.select(F.col("kmer_id").cast("string").alias("name"), F.when(missing, 4).otherwise(0).alias("flag"), F.col("transcript_id").cast("string").alias("target"), F.lit(0).alias("pos"), F.lit(255).alias("mapq"), F.lit(None).cast("string").alias("seq"))
+    targets = table(spark, d, "transcripts").where("length is not null").groupBy(F.col("transcript_id").cast("string").alias("name")).agg(F.max("length").alias("length"))
+    sinks.write_sam(x, ws.where("sam"), targets)
+    return text.read_sam(spark, ws.where("sam")).select("name", "flag", "target")
+
+
+@query(r"""SELECT doc_id, p AS path, regexp_matches(regexp_replace(lower(p), '\.(gz|bz2)$', ''), '\.(fa|fq|fasta|fastq)$') AS is_sequence FROM (SELECT doc_id, file_path || ['', '.fa', '.FQ.gz', '.fasta.bz2', '.fastq', '.fa.zip'][1 + doc_id % 6] AS p FROM documents WHERE file_path IS NOT NULL)""")
+def sequence_paths(spark, d):
+    """#79: whether a path ends like a sequence file; endings are added to the paths of the documents."""
+    ends = F.array(*map(F.lit, ("", ".fa", ".FQ.gz", ".fasta.bz2", ".fastq", ".fa.zip")))
+    t = table(spark, d, "documents").where("file_path is not null").select("doc_id", F.concat("file_path", F.element_at(ends, (1 + F.col("doc_id") % 6).cast("int"))).alias("path"))
+    return t.withColumn("is_sequence", text.is_sequence_path(F.col("path")))
 
 
 @query(rf"SELECT length(s) AS n, count(*) AS n_reads FROM (SELECT {_SEQ} AS s FROM read_seqs) WHERE s <> '' GROUP BY 1")

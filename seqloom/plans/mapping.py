@@ -16,7 +16,7 @@ from ..operators import alignments as A
 from ..operators import bias, clusters
 from ..operators import index as I
 from ..operators import mapping as M
-from ..streaming.online import OnlineAbundance
+from ..streaming.online import OnlineAbundance, passes
 from .counting import RC, reads, windows
 from .registry import Registry
 from .workspace import Workspace, table
@@ -175,6 +175,24 @@ def fld_prior(spark, d):
     return A.length_distribution(f, "len", A.length_prior(spark)).select("len", F.round("mass", 6).alias("mass"), F.round("cmf", 6).alias("cmf"))
 
 
+_FLD_P = """fld AS MATERIALIZED (SELECT len, ln(mass / sum(mass) OVER ()) AS log_pmf, ln(sum(mass) OVER (ORDER BY len) / sum(mass) OVER ()) AS log_cmf
+  FROM (SELECT len, sum(mass) AS mass FROM (FROM t UNION ALL FROM prior) GROUP BY len))"""
+
+
+@query(f"""WITH {_FLD}, {_PRIOR}, {_FLD_P}, n AS (SELECT transcript_id AS tid, max(length) AS n FROM transcripts WHERE length IS NOT NULL GROUP BY transcript_id),
+o AS (SELECT hit_id, CASE WHEN fwd THEN n - pos ELSE pos + len END AS reach FROM aln JOIN n USING (tid) WHERE {_KIND} = 'MappedOrphan')
+SELECT hit_id, reach, round(CASE WHEN reach < 800 THEN log_cmf ELSE 0 END, 6) AS log_p FROM o LEFT JOIN fld ON fld.len = reach WHERE reach > 0""")
+def orphan_logprob(spark, d):
+    """#136: ln P of mapped orphans, by the fragments that they may come from."""
+    f = _mates(spark, d).select(A.fragment_length(F.col("p1"), F.col("l1"), F.col("p2"), F.col("l2")).alias("len"))
+    lengths = A.length_probabilities(A.length_distribution(f, "len", A.length_prior(spark))).select(F.col("len").alias("reach"), "log_cmf")
+    n = table(spark, d, "transcripts").where("length is not null").groupBy(F.col("transcript_id").alias("tid")).agg(F.max("length").alias("n"))
+    o = _aln(spark, d).where(A.pair_kind(F.col("flag")) == "MappedOrphan").join(n, "tid")
+    o = o.select("hit_id", A.orphan_reach(F.col("fwd"), F.col("pos"), F.col("len"), F.col("n")).alias("reach")).where("reach > 0")
+    o = o.join(F.broadcast(lengths), "reach", "left")  # 801 lengths
+    return o.select("hit_id", "reach", F.round(F.when(F.col("reach") < 800, F.col("log_cmf")).otherwise(F.lit(0.0)), 6).alias("log_p"))
+
+
 _U = "((kmer_id * 7919 + 13) % 10007) / 10007.0::DOUBLE"
 
 
@@ -318,6 +336,20 @@ def error_matrix(spark, d, library=SQL_LIBRARY):
     return A.mismatch_matrix(_on_targets(Mapped(spark, d, library)), "read", "target")
 
 
+@query(f"""WITH {_CLUSTER}, al AS (SELECT read_id, tid, CASE WHEN fwd THEN r.s ELSE {RC.format('r.s')} END AS r, substr(t.s, pos::INT + 1, n::INT) AS t FROM best JOIN reads r USING (read_id) JOIN t USING (tid) WHERE score >= 0.75 AND pos >= 0 AND pos + n <= length(t.s)),
+base_pairs AS (SELECT read_id, tid, pos, 4 * prev + ref AS row, col FROM (SELECT read_id, tid, pos, instr('ACGT', substr(r, pos, 1)) - 1 AS col, instr('ACGT', substr(t, pos, 1)) - 1 AS ref, CASE WHEN pos = 1 THEN 0 ELSE instr('ACGT', substr(r, pos - 1, 1)) - 1 END AS prev
+  FROM (SELECT read_id, tid, r, t, unnest(generate_series(1, length(r))) AS pos FROM al)) WHERE col >= 0 AND ref >= 0 AND prev >= 0),
+m AS (SELECT pos, row, col, n, sum(n) OVER (PARTITION BY pos, row) AS whole FROM (SELECT pos, row, col, count(*) AS n FROM base_pairs GROUP BY ALL))
+SELECT read_id, tid, round(sum(ln((n + 1.0) / (whole + 4.0))), 5) AS log_p FROM base_pairs JOIN m USING (pos, row, col) GROUP BY ALL""")
+@whole
+def error_loglik(spark, d, library=SQL_LIBRARY):
+    """#136, #141: likelihood of each read on its target under the mismatch model of all of them."""
+    m = Mapped(spark, d, library)
+    aligned = m.ws.write(_on_targets(m), "aligned")
+    matrix = m.ws.write(A.mismatch_matrix(aligned, "read", "target"), "matrix")
+    return A.error_likelihood(aligned, ["read_id", "tid"], "read", "target", matrix).withColumn("log_p", F.round("log_p", 5))
+
+
 def _on_targets(m: Mapped) -> DataFrame:
     """(read_id, tid, read, target): reads in the direction of the target they lie on in full, and its text there."""
     b = m.best().where("score >= 0.75").join(m.reads.select("read_id", S.squeeze("seq").alias("r")), "read_id").join(m.targets.select("tid", F.col("seq").alias("t")), "tid")
@@ -329,18 +361,19 @@ def _on_targets(m: Mapped) -> DataFrame:
 _BATCHES = 10
 
 
-def _online_sql() -> str:
+def _online_sql(passes: int = 1) -> str:
+    steps = passes * _BATCHES
     out = [f"{_SEEDS}, h AS MATERIALIZED (SELECT DISTINCT read_id, tid, batch_no FROM seeds JOIN read_seqs USING (read_id))", "s0 AS MATERIALIZED (SELECT tid, length(s)::DOUBLE AS n, ln(0.005::DOUBLE * length(s)) AS m FROM t)"]
     import math
 
     weight = 0.0
-    for i in range(1, _BATCHES + 1):
+    for i in range(1, steps + 1):
         if i > 1:
             weight += 0.65 * math.log(i - 1) - math.log(i**0.65 - 1)
-        out.append(f"p{i} AS (SELECT read_id, tid, exp(m) / n AS p FROM h JOIN s{i - 1} USING (tid) WHERE batch_no = {i - 1})")
+        out.append(f"p{i} AS (SELECT read_id, tid, exp(m) / n AS p FROM h JOIN s{i - 1} USING (tid) WHERE batch_no = {(i - 1) % _BATCHES})")
         out.append(f"b{i} AS (SELECT tid, sum(p / w) AS b FROM p{i} JOIN (SELECT read_id, sum(p) AS w FROM p{i} GROUP BY read_id) USING (read_id) GROUP BY tid)")
         out.append(f"s{i} AS MATERIALIZED (SELECT tid, n, ln(exp(m) + coalesce(b, 0) * exp({weight!r}::DOUBLE)) AS m FROM s{i - 1} LEFT JOIN b{i} USING (tid))")
-    return "WITH " + ", ".join(out) + f" SELECT tid, round(m, 6) AS log_mass, round(exp(m) / (SELECT sum(exp(m)) FROM s{_BATCHES}), 7) AS share FROM s{_BATCHES}"
+    return "WITH " + ", ".join(out) + f" SELECT tid, round(m, 6) AS log_mass, round(exp(m) / (SELECT sum(exp(m)) FROM s{steps}), 7) AS share FROM s{steps}"
 
 
 def online_model(m: Mapped) -> tuple[OnlineAbundance, DataFrame]:
@@ -359,10 +392,20 @@ def minibatch_round(spark, d, library=SQL_LIBRARY):
     return model.shares().select("tid", F.round("log_mass", 6).alias("log_mass"), F.round("share", 7).alias("share"))
 
 
+@query(_online_sql(2))
+@whole
+def multi_pass(spark, d, library=SQL_LIBRARY):
+    """#31, #138, J4: passes over the same written hits, until more reads were seen than one pass has."""
+    model, hits = online_model(Mapped(spark, d, library))
+    batches = [hits.where(F.col("batch_no") == b) for b in sorted(r.batch_no for r in hits.select("batch_no").distinct().collect())]  # one row a batch
+    passes(model, batches, required=hits.select("read_id").distinct().count() + 1)
+    return model.shares().select("tid", F.round("log_mass", 6).alias("log_mass"), F.round("share", 7).alias("share"))
+
+
 @query(_online_sql())
 @whole
 def stream_round(spark, d, library=SQL_LIBRARY):
-    """#9, #135, #138: the same batches as a stream of files, one file a micro-batch."""
+    """#9, #135: the same batches as a stream of files, one file a micro-batch."""
     m = Mapped(spark, d, library)
     model, hits = online_model(m)
     for b in sorted(r.batch_no for r in hits.select("batch_no").distinct().collect()):
@@ -379,8 +422,8 @@ def _alignment_sql() -> str:
     import math
 
     out = [
-        f"""{_MATES}, h AS MATERIALIZED (SELECT frag AS read_id, tid, CASE WHEN q1 = 255 THEN 0 ELSE -q1 * ln(10) / 10 END + CASE WHEN q2 = 255 THEN 0 ELSE -q2 * ln(10) / 10 END
-  + CASE WHEN {_PAIR} LIKE 'PE/TOWARD/%' THEN -0.6931471805599453 END AS log_p, frag % {_ALN_BATCHES} AS batch FROM mates WHERE tid IS NOT NULL)""",
+        f"""{_FLD}, {_PRIOR}, {_FLD_P}, h AS MATERIALIZED (SELECT frag AS read_id, tid, CASE WHEN q1 = 255 THEN 0 ELSE -q1 * ln(10) / 10 END + CASE WHEN q2 = 255 THEN 0 ELSE -q2 * ln(10) / 10 END
+  + CASE WHEN {_PAIR} LIKE 'PE/TOWARD/%' THEN -0.6931471805599453 END + log_pmf AS log_p, frag % {_ALN_BATCHES} AS batch FROM mates JOIN fld ON fld.len = least(abs(p1 - p2) + CASE WHEN p1 < p2 THEN l2 ELSE l1 END, 800) WHERE tid IS NOT NULL)""",
         "s0 AS MATERIALIZED (SELECT transcript_id AS tid, max(greatest(coalesce(length, 1), 1))::DOUBLE AS n, ln(0.005::DOUBLE * max(greatest(coalesce(length, 1), 1))) AS m FROM transcripts GROUP BY transcript_id)",
     ]
     weight = 0.0
@@ -395,11 +438,14 @@ def _alignment_sql() -> str:
 
 @query(_alignment_sql())
 def alignment_round(spark, d):
-    """#136: the online estimation from alignments, with mapping quality and the probability of their format."""
+    """#136: the online estimation from alignments, with mapping quality and the probabilities of their format and fragment length."""
     ws = Workspace(spark, "alignments")
     seen = L.of_pair(F.col("p1"), F.col("f1"), F.col("p2"), F.col("f2"))
     p = A.log_map_quality(F.col("q1")) + A.log_map_quality(F.col("q2")) + L.log_probability(seen, L.struct(*L.NAMES["IU"]))
-    hits = _mates(spark, d).where("tid is not null").select(F.col("frag").alias("read_id"), "tid", p.alias("log_p"), (F.col("frag") % _ALN_BATCHES).alias("batch"))
+    length = A.fragment_length(F.col("p1"), F.col("l1"), F.col("p2"), F.col("l2"))
+    hits = _mates(spark, d).where("tid is not null").select(F.col("frag").alias("read_id"), "tid", p.alias("p"), (F.col("frag") % _ALN_BATCHES).alias("batch"), F.least(length, F.lit(800)).cast("int").alias("len"))
+    lengths = ws.write(A.length_probabilities(A.length_distribution(_mates(spark, d).select(length.alias("len")), "len", A.length_prior(spark))), "lengths")
+    hits = hits.join(F.broadcast(lengths), "len").select("read_id", "tid", (F.col("p") + F.col("log_pmf")).alias("log_p"), "batch")  # 801 lengths
     hits = ws.write(hits, "hits", ["batch"])
     model = OnlineAbundance(table(spark, d, "transcripts").select(F.col("transcript_id").alias("tid"), "length"), forgetting=0.6)
     for b in range(_ALN_BATCHES):

@@ -9,6 +9,7 @@ from ..functions import sequence as S
 from ..operators import abundance as A
 from ..operators import index as I
 from ..operators import kmers as K
+from ..operators import learners
 from .counting import COUNTS, RC, canonical, k_, reads, windows
 from .registry import Registry
 from .workspace import Workspace, table
@@ -423,6 +424,26 @@ def regression_metrics(spark, d):
     return x.agg(F.round(F.avg(e), 4).alias("mse"), F.round(F.sqrt(F.avg(e)), 4).alias("rmse"), F.round(1 - F.sum(e) / spread, 6).alias("r2"))
 
 
+@query(f"""WITH {TK}, x AS (SELECT tid, coalesce(cnt, 0) AS cnt FROM tk LEFT JOIN hits USING (kmer)),
+b AS (SELECT tid, count(*) AS n, sum(cnt) AS total, min(cnt) AS low, max(cnt) AS high, quantile_cont(cnt, 0.1) AS q_low, quantile_cont(cnt, 0.9) AS q_high FROM x GROUP BY tid),
+c AS (SELECT tid, coalesce(min(cnt) FILTER (cnt > low), any_value(low)) AS low2, coalesce(max(cnt) FILTER (cnt < high), any_value(high)) AS high2 FROM x JOIN b USING (tid) GROUP BY tid)
+SELECT tid, CASE WHEN any_value(n) < 5 THEN any_value(total) ELSE sum(CASE WHEN cnt >= high THEN high2 WHEN cnt <= low THEN low2 ELSE cnt END) END::BIGINT AS clamped,
+round(sum(least(q_high, greatest(q_low, cnt))), 5)::DOUBLE AS between_quantiles FROM x JOIN b USING (tid) JOIN c USING (tid) GROUP BY tid""")
+def clamped_sums(spark, d):
+    """#103: sums of a target's counts with the outermost values replaced by the next ones, and clamped to the outer tenths."""
+    return A.clamped_sums(_tk(spark, d).join(hits(spark, d), "kmer", "left").na.fill(0, ["cnt"]), "tid", "cnt", 0.1).withColumn("between_quantiles", F.round("between_quantiles", 5))
+
+
+@query(f"""WITH {TK}, x AS (SELECT (coalesce(any_value(cnt), 0) > 5)::INT AS y, ln((1 + count(*)) / 2.0) AS f FROM tk LEFT JOIN hits USING (kmer) GROUP BY kmer)
+SELECT round(avg((y = (f > 0.5)::INT)::INT), 6) AS accuracy, round(avg(y * f - ln(1 + exp(f))), 6) AS deviance, round(power(corr(y, f), 2), 6) AS r2 FROM x""")
+def class_metrics(spark, d):
+    """#107: accuracy, binomial deviance and squared correlation of a score that tells frequent k-mers by their targets."""
+    x = _tk(spark, d).groupBy("kmer").agg(F.log((1 + F.count(F.lit(1))) / F.lit(2.0)).alias("f")).join(hits(spark, d), "kmer", "left")
+    x = x.select((F.coalesce("cnt", F.lit(0)) > 5).cast("int").alias("y"), "f")
+    y, f = F.col("y"), F.col("f")
+    return x.agg(F.round(learners.accuracy(y, (f > 0.5).cast("int")), 6).alias("accuracy"), F.round(learners.binomial_deviance(y, f), 6).alias("deviance"), F.round(learners.squared_correlation(y, f), 6).alias("r2"))
+
+
 _B = "(1 + kmer % 40)::DOUBLE / 4"
 
 

@@ -23,6 +23,22 @@ def has_sequence_extension(path: str) -> bool:
     return low.endswith(SEQUENCE_EXTENSIONS)
 
 
+def is_sequence_path(path: Column) -> Column:
+    """The same of a column of paths."""
+    return F.regexp_replace(F.lower(path), r"\.(gz|bz2)$", "").rlike(r"\.(fa|fq|fasta|fastq)$")
+
+
+def read_table(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
+    """Tab-separated text without a header."""
+    return spark.read.csv(paths, sep="\t", schema=schema)
+
+
+def read_pairs_of_values(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(name, value) of lines "name: value"."""
+    f = F.split("value", ": ", 2)
+    return spark.read.text(paths).select(f[0].alias("name"), f[1].alias("value"))
+
+
 def listed_paths(spark: SparkSession, path: str) -> list[str]:
     """Paths of an input: a single path, or with a leading @ the lines of a list file, in no particular order."""
     if not path.startswith("@"):
@@ -75,9 +91,16 @@ def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return r.select("file", "ordinal", F.split(header, "[ \t]", 2)[0].alias("name"), header.alias("header"), "seq", F.expr("left(qual, length(seq))").alias("qual"))
 
 
+def _one_after_the_other(records: DataFrame) -> DataFrame:
+    """Records of :func:`read_fastq` numbered across files, in order of their names; there is one row a file to add up."""
+    sizes = records.groupBy("file").agg((F.max("ordinal") + 1).alias("n"))
+    before = sizes.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return records.join(before, "file").withColumn("ordinal", F.col("before") + F.col("ordinal")).drop("before")
+
+
 def read_pairs(spark: SparkSession, first: str, second: str) -> DataFrame:
-    """(ordinal, name, seq1, seq2, qual1, qual2): two FASTQ files in lock-step, joined by position."""
-    a, b = read_fastq(spark, first), read_fastq(spark, second)
+    """(ordinal, name, seq1, seq2, qual1, qual2): two FASTQ files, or folders of part files, in lock-step, joined by position."""
+    a, b = (_one_after_the_other(read_fastq(spark, p)) for p in (first, second))
     return a.select("ordinal", "name", F.col("seq").alias("seq1"), F.col("qual").alias("qual1")).join(b.select("ordinal", F.col("seq").alias("seq2"), F.col("qual").alias("qual2")), "ordinal")
 
 
