@@ -139,7 +139,8 @@ def replay(ledger: OrphanLedger, references: DataFrame, parents: DataFrame) -> O
         p.where(later).withColumn("month", month("deleted_at"))
     )
     r = references.where("loaded_at is not null").withColumn("month", month("loaded_at"))
-    p, r = ws.write(p, "all-parents", ["month"]), ws.write(r, "all-references", ["month"])
+    # few files a month, however many the input has; a month too large for one task is split
+    p, r = ws.write(p.hint("rebalance", "month"), "all-parents", ["month"]), ws.write(r.hint("rebalance", "month"), "all-references", ["month"])
     months = sorted({x.month for t in (p, r) for x in t.select("month").distinct().collect()})
     for m in months:
         ledger.advance(m, r.where(F.col("month") == m).drop("month"), p.where(F.col("month") == m).drop("month"))
