@@ -63,21 +63,33 @@ def reverse_is_used(fwd: Column, rev: Column, skipped: Column | None = None) ->
     return rev > (fwd if skipped is None else fwd + skipped)
 
 
-def read_hits(tokens: DataFrame, row_id: str, index: DataFrame, k: int) -> DataFrame:
-    """(row_id, n_fwd, n_rev, n_windows) of each read with a window: its hits in an index of non-canonical k-mers.
+def window_hits(tokens: DataFrame, row_id: str, index: DataFrame, k: int, how: str = "inner") -> DataFrame:
+    """(row_id, fwd, rev): the k-mers of each window that stand in an index of non-canonical k-mers, null on the strand that does not; with
+    ``how`` left also the windows that have none.
 
-    ``tokens``: row_id, fwd, rev of :func:`kmers.tokenise`; ``index``: kmer, one row a k-mer.  The index is folded to
-    canonical k-mers with a mark for either strand, so a window is one row and is looked up once for both strands.
+    ``tokens``: row_id, fwd, rev of :func:`kmers.tokenise`; ``index``: kmer, one row a k-mer.  The index is folded to canonical k-mers
+    with a mark for either strand, so a window is one row and is looked up once for both strands.
     """
-    c = F.least("kmer", "other")
     folded = (
         index.select("kmer", reverse_packed(F.col("kmer"), k).alias("other"))
-        .groupBy(c.alias("canon")).agg(F.max(F.col("kmer") <= F.col("other")).alias("as_is"), F.max(F.col("kmer") >= F.col("other")).alias("turned"))
+        .groupBy(F.least("kmer", "other").alias("canon")).agg(F.max(F.col("kmer") <= F.col("other")).alias("as_is"), F.max(F.col("kmer") >= F.col("other")).alias("turned"))
     )
-    w = tokens.select(row_id, F.least("fwd", "rev").alias("canon"), (F.col("fwd") <= F.col("rev")).alias("f")).join(folded, "canon", "left")
-    fwd = F.when(F.col("f"), F.col("as_is")).otherwise(F.col("turned"))
-    rev = F.when(F.col("f"), F.col("turned")).otherwise(F.col("as_is"))
-    return w.groupBy(row_id).agg(F.count_if(fwd).alias("n_fwd"), F.count_if(rev).alias("n_rev"), F.count(F.lit(1)).alias("n_windows"))
+    w = tokens.select(row_id, "fwd", "rev", F.least("fwd", "rev").alias("canon")).join(folded, "canon", how)
+    f = F.col("fwd") <= F.col("rev")
+    return w.select(row_id, F.when(F.when(f, F.col("as_is")).otherwise(F.col("turned")), F.col("fwd")).alias("fwd"), F.when(F.when(f, F.col("turned")).otherwise(F.col("as_is")), F.col("rev")).alias("rev"))
+
+
+def read_hits(tokens: DataFrame, row_id: str, index: DataFrame, k: int) -> DataFrame:
+    """(row_id, n_fwd, n_rev, n_windows) of each read with a window: its hits in an index, see :func:`window_hits`."""
+    return window_hits(tokens, row_id, index, k, "left").groupBy(row_id).agg(F.count("fwd").alias("n_fwd"), F.count("rev").alias("n_rev"), F.count(F.lit(1)).alias("n_windows"))
+
+
+def count_by_strand(hits: DataFrame, row_id: str) -> DataFrame:
+    """(kmer, cnt) of the written hits (row_id, fwd, rev) of windows: each read counts on the strand with more hits, the forward one
+    of two alike. Windows without a hit change nothing and need not be among them."""
+    strand = hits.groupBy(row_id).agg(reverse_is_used(F.count("fwd"), F.count("rev")).alias("r"))
+    used = hits.join(strand, row_id).select(F.when(F.col("r"), F.col("rev")).otherwise(F.col("fwd")).alias("kmer")).where("kmer is not null")
+    return used.groupBy("kmer").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def composition(df: DataFrame, name: str, seq: str, compat: bool = True) -> DataFrame:

@@ -214,10 +214,8 @@ SELECT idx.kmer, count(c.kmer) AS cnt FROM idx LEFT JOIN c USING (kmer) GROUP BY
 def indexed_count(spark, d):
     """#93: k-mers of the index counted in all reads, each read on its better strand."""
     ws = Workspace(spark, "indexed")
-    index, tokens = ws.write(_index_of(spark, d), "index"), _tokens(spark, d)
-    strand = I.read_hits(tokens, "read_id", index, k_).select("read_id", I.reverse_is_used(F.col("n_fwd"), F.col("n_rev")).alias("r"))
-    used = tokens.join(strand, "read_id").select(F.when(F.col("r"), F.col("rev")).otherwise(F.col("fwd")).alias("kmer"))
-    counted = used.groupBy("kmer").agg(F.count(F.lit(1)).alias("cnt"))
+    index = ws.write(_index_of(spark, d), "index")
+    counted = I.count_by_strand(ws.write(I.window_hits(_tokens(spark, d), "read_id", index, k_), "hits"), "read_id")
     return index.join(counted, "kmer", "left").select(K.spell("kmer", k_).alias("kmer"), F.coalesce("cnt", F.lit(0)).alias("cnt"))
 
 
