@@ -290,6 +290,29 @@ def log_likelihood(means: DataFrame, classes: DataFrame, pairs: DataFrame, lengt
     return per.where("l >= 1e-20").agg(F.coalesce(F.sum(F.log("l")), F.lit(0.0)).alias("log_likelihood"))
 
 
+def smoothed_biases(means: DataFrame, classes: DataFrame, pairs: DataFrame, lengths: DataFrame, alpha: float = 0.25, prior: float = PRIOR, least: float = 1.0) -> DataFrame:
+    """(class_key, bias): how far a class is under- (above 1) or overrepresented, as its targets vote, each by its fidelity.
+
+    A target's coverage is what it gets of all classes in a step from ``means``, over its effective length. Its fidelity is 1 / (1 + mean
+    deviation of what it gets of a class from coverage x size of the class); k-mers of classes of which it gets nothing deviate by the coverage.
+    The vote is coverage x size over what it gets; the bias moves by ``alpha`` from 1 to the mean vote. ``classes``: class_key, cnt, size.
+    """
+    sizes = lengths.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(classes.agg(F.sum("cnt").alias("c"))))  # two single rows
+    count = F.col("mean") * F.col("__t")
+    kept = lengths.join(means.select("tid", "mean"), "tid", "left").na.fill(0.0, ["mean"]).join(F.broadcast(sizes.select((F.lit(prior) * F.col("n") + F.col("c")).alias("__t"))))
+    rho = F.when((count >= least) & (count > 0) & (F.col("eff_len") > 0), F.exp(digamma(count) - digamma(F.col("__t"))) / F.col("eff_len")).otherwise(F.lit(0.0))
+    x = pairs.select("class_key", "tid").join(kept.select("tid", "eff_len", rho.alias("rho")), "tid")
+    whole = x.groupBy("class_key").agg(F.sum("rho").alias("whole"))
+    x = x.join(whole, "class_key").join(classes.select("class_key", "cnt", "size"), "class_key")
+    x = x.withColumn("gets", F.when(F.col("whole") > EPSILON, F.col("rho") / F.col("whole") * F.col("cnt")).otherwise(F.lit(0.0)))
+    x = x.join(x.groupBy("tid").agg((F.sum("gets") / F.max("eff_len")).alias("coverage"), F.count(F.lit(1)).alias("n_classes")), "tid")
+    fidelity = x.groupBy("tid").agg((F.sum(F.abs(F.col("gets") - F.col("coverage") * F.col("size"))) + F.max("coverage") * F.greatest(F.max("eff_len") - F.max("n_classes"), F.lit(0))).alias("off"), F.max("eff_len").alias("n"))
+    fidelity = fidelity.select("tid", (1 / (1 + F.col("off") / F.col("n"))).alias("fidelity"))
+    vote = F.when(F.col("gets") > 0, F.col("fidelity") * F.col("coverage") * F.col("size") / F.col("gets")).otherwise(F.lit(0.0))
+    b = x.join(fidelity, "tid").groupBy("class_key").agg((F.sum(vote) / F.sum("fidelity")).alias("vote"))
+    return b.select("class_key", (alpha * F.col("vote") + (1 - alpha)).alias("bias"))
+
+
 def kmer_units(masses: DataFrame, k: int, mean_read_length: float, least: float = 0.0) -> DataFrame:
     """(tid, tpm, rpkm, kpkm, est_kmers, est_reads) of masses (tid, eff_len, mass); all units are 0 where kpkm < ``least``."""
     per_read = mean_read_length - k + 1

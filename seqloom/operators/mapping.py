@@ -71,6 +71,19 @@ def clusters(matches: DataFrame, read_id: str, tid: str, gap: int = 10) -> DataF
     return v.groupBy(*keys, "anchor").agg(F.sum("gain").alias("coverage"))
 
 
+def kernel_locations(matches: DataFrame, read_id: str, tid: str, lengths: DataFrame, reach: int = 4) -> DataFrame:
+    """(read_id, tid, fwd, pos, score): the place where votes (tpos - rpos) add up to most, each spread over its neighbourhood, from
+    ``reach`` before it to ``reach`` - 1 after it, by exp(-d^2 / 60) times its length; of ties the lesser place. Votes and places before
+    the start or beyond the end of the target are none. ``lengths``: tid, n."""
+    v = matches.select(read_id, tid, "fwd", (F.col("tpos") - F.col("rpos")).alias("vote"), "len").where("vote >= 0")
+    v = v.select(read_id, tid, "fwd", "vote", "len", F.explode(F.sequence(F.lit(-reach), F.lit(reach - 1))).alias("d")).withColumn("pos", F.col("vote") + F.col("d"))
+    v = v.join(lengths, tid).where((F.col("pos") >= 0) & (F.col("pos") < F.col("n")))
+    # rounded, so that the order of a sum does not decide between ties
+    at = v.groupBy(read_id, tid, "fwd", "pos").agg(F.round(F.sum(F.exp(-F.col("d") * F.col("d") / 60.0) * F.col("len")), 9).alias("score"))
+    best = F.max(F.struct("score", (-F.col("pos")).alias("p"))).alias("b")
+    return at.groupBy(read_id, tid, "fwd").agg(best).select(read_id, tid, "fwd", (-F.col("b.p")).alias("pos"), F.col("b.score").alias("score"))
+
+
 def best_locations(cl: DataFrame, read_id: str, tid: str, lengths: DataFrame) -> DataFrame:
     """(read_id, tid, fwd, pos, coverage, score): the cluster of greatest coverage; forward wins ties, then the lesser
     position. ``lengths``: read_id, n; score is coverage over n."""

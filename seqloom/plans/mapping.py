@@ -288,6 +288,16 @@ def best_location(spark, d, library=SQL_LIBRARY):
     return Mapped(spark, d, library).best().withColumn("score", F.round("score", 9))
 
 
+@query(f"""WITH {_SEEDS}, v AS (SELECT read_id, tid, fwd, tpos - rpos AS vote, len, unnest(generate_series(-4, 3)) AS d FROM mems WHERE tpos >= rpos),
+sp AS (SELECT read_id, v.tid, fwd, vote + d AS pos, round(sum(exp(-d * d / 60.0::DOUBLE) * len), 9) AS score FROM v JOIN t ON t.tid = v.tid WHERE vote + d >= 0 AND vote + d < length(t.s) GROUP BY ALL)
+SELECT read_id, tid, fwd, pos::INT AS pos, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY read_id, tid, fwd ORDER BY score DESC, pos) AS rn FROM sp) WHERE rn = 1""")
+@whole
+def kernel_location(spark, d, library=SQL_LIBRARY):
+    """#111: best place by votes spread with a Gaussian kernel."""
+    m = Mapped(spark, d, library)
+    return M.kernel_locations(m.matches(), "read_id", "tid", m.targets.select("tid", F.length("seq").alias("n"))).withColumn("score", F.round("score", 6))
+
+
 @query(f"WITH {_CLUSTER}, few AS (SELECT read_id FROM best GROUP BY read_id HAVING count(*) <= 20) SELECT read_id, tid FROM best JOIN few USING (read_id) WHERE score >= 0.75")
 @whole
 def max_read_occ(spark, d, library=SQL_LIBRARY):

@@ -335,6 +335,17 @@ def loglik(spark, d):
     return out
 
 
+@query(f"""WITH {INIT}, w AS (SELECT tid, eff_len, CASE WHEN coalesce(mean, 0) * t >= 1 THEN exp({dg('(mean * t)')} - {dg('t')}) / eff_len ELSE 0 END AS rho FROM lens LEFT JOIN m0 USING (tid), tot),
+g AS (SELECT class_key, tid, eff_len, size, CASE WHEN whole > 0.375e-10 THEN rho / whole * cnt ELSE 0 END AS gets FROM (SELECT class_key, tid, eff_len, rho, sum(rho) OVER (PARTITION BY class_key) AS whole FROM ct JOIN w USING (tid)) JOIN cp USING (class_key)),
+c AS (SELECT *, sum(gets) OVER v / eff_len AS coverage, count(*) OVER v AS n FROM g WINDOW v AS (PARTITION BY tid)),
+f AS (SELECT tid, 1 / (1 + (sum(abs(gets - coverage * size)) + max(coverage) * greatest(max(eff_len) - max(n), 0)) / max(eff_len)) AS fidelity FROM c GROUP BY tid)
+SELECT class_key, round(0.25 * sum(CASE WHEN gets > 0 THEN fidelity * coverage * size / gets ELSE 0 END) / sum(fidelity) + 0.75, 6) AS bias FROM c JOIN f USING (tid) GROUP BY class_key""")
+def kmer_fidelity(spark, d):
+    """#134: biases of the classes, voted by their targets."""
+    m = Model(spark, d)
+    return A.smoothed_biases(m.start(), m.counts, m.pairs, m.lengths).withColumn("bias", F.round("bias", 6))
+
+
 def _units_sql(least: float, cols: str) -> str:
     return f"""WITH {_MASS}, t AS (SELECT sum(mass) AS m, sum(mass / eff_len) AS p FROM mass),
 u AS (SELECT tid, mass / eff_len / p * 1e6 AS tpm, CASE WHEN eff_len + 20 - 94 + 1 > 0 THEN (mass / 74.5) * 1e9 / ((eff_len + 20 - 94 + 1) * (m / 74.5)) ELSE 0 END AS rpkm,
