@@ -315,15 +315,15 @@ def kmer_bloom_filtered(spark, d):
 
 
 @query(f"""WITH {reads()}, masked AS (SELECT read_id, lib_code, array_to_string(list_transform(generate_series(1, length(s)), lambda p:
-  CASE WHEN (read_id * 31 + (p - 1) * 7) % 41 < 10 THEN 'N' ELSE substr(s, p, 1) END), '') AS s FROM reads), {windows(5, "masked")}, {canonical()}
+  CASE WHEN (read_id * 31 + ((p - 1) // 30) * 7) % 41 < 10 THEN 'N' ELSE substr(s, p, 1) END), '') AS s FROM reads), {windows(k_, "masked")}, {canonical()}
 SELECT kmer, count(*) AS cnt FROM km GROUP BY kmer""")
 def kmer_min_quality(spark, d):
-    """#78: bases below quality 10 act as N; 5-mers, as the made-up qualities leave no longer ones."""
+    """#78: bases below quality 10 act as N; the made-up qualities change every thirty bases."""
     r = _reads(spark, d).where("seq is not null").withColumn("s", S.squeeze("seq")).where("length(s) > 0")
     bases = F.split("s", "")
-    q = F.transform(F.sequence(F.lit(0), F.length("s") - 1), lambda p: (F.col("read_id") * 31 + p * 7) % 41)
+    q = F.transform(F.sequence(F.lit(0), F.length("s") - 1), lambda p: (F.col("read_id") * 31 + F.floor(p / 30) * 7) % 41)
     masked = r.select("read_id", F.array_join(F.zip_with(F.slice(bases, 1, F.length("s")), q, lambda b, x: F.when(x < 10, "N").otherwise(b)), "").alias("s"))
-    return _text(K.count_kmers(masked, "s", 5), 5)
+    return _text(K.count_kmers(masked, "s", k_))
 
 
 @query(f"WITH {COUNTS} SELECT kmer, cnt FROM counts WHERE kmer NOT IN (repeat('A', {k_}), repeat('T', {k_}))")

@@ -8,6 +8,7 @@ be read by one task.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -50,14 +51,20 @@ def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, line_no from 0, value) of text files."""
 
     def count(batches):
-        seen: dict = {}
+        seen: dict = {}  # lines so far of each block of this task
         for b in batches:
-            keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-            idx = []
-            for k in keys:
-                idx.append(seen.get(k, 0))
-                seen[k] = idx[-1] + 1
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(idx, pa.int64()), b.column(2)], ["file", "block", "idx", "value"])
+            if not b.num_rows:
+                continue
+            file, block = b.column(0).dictionary_encode(), b.column(1).to_numpy()
+            codes = file.indices.to_numpy()
+            at = np.flatnonzero(np.concatenate(([True], (codes[1:] != codes[:-1]) | (block[1:] != block[:-1]))))
+            idx = np.arange(b.num_rows)
+            for i, j in zip(at, [*at[1:], b.num_rows]):
+                key = file.dictionary[int(codes[i])].as_py(), int(block[i])
+                first = seen.get(key, 0)
+                idx[i:j] += first - i
+                seen[key] = first + int(j - i)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(idx), b.column(2)], ["file", "block", "idx", "value"])
 
     raw = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
     lines = raw.mapInArrow(count, "file string, block long, idx long, value string")
