@@ -1,8 +1,7 @@
 """Queries of mapping, alignments and library formats.
 
-Reads are all of ``read_seqs``; targets are its distinct read keys. The SQL of the mapping queries takes those of the library
-``ctrl`` only; such a query is also there as NAME_all, without SQL, with the targets of all libraries. Alignment records are made from the
-class hits: flag, position and quality are arithmetic on hit_id and kmer_id, so that SQL can make the same ones.
+Reads are all of ``read_seqs``, targets are the distinct read keys of all of them. Alignment records are
+made from the class hits: flag, position and quality are arithmetic on hit_id and kmer_id, so that SQL can make the same ones.
 """
 
 from __future__ import annotations
@@ -207,7 +206,7 @@ def posterior_mass(spark, d):
 
 # -- mapping
 
-_TARGETS = f"""t AS (SELECT min(read_id) AS tid, s FROM (SELECT read_id, least(s, {RC.format('s')}) AS s FROM reads WHERE lib_code = 'ctrl' AND regexp_matches(s, '[ACGT]')) GROUP BY s)"""
+_TARGETS = f"""t AS (SELECT min(read_id) AS tid, s FROM (SELECT read_id, least(s, {RC.format('s')}) AS s FROM reads WHERE regexp_matches(s, '[ACGT]')) GROUP BY s)"""
 _SEEDS = f"""{reads()}, {_TARGETS}, {windows(SEED, cols='read_id, s')}, {windows(SEED, 't', 'every_tw', 'tid')},
 tw AS (SELECT tid, p, w FROM every_tw JOIN (SELECT w, count(*) AS n FROM every_tw GROUP BY w) USING (w) WHERE (tid + p - 1) % CASE WHEN n > {MAX_OCC} THEN ceil(n / {MAX_OCC}.0)::BIGINT ELSE 1 END = 0),
 seeds AS (SELECT read_id, tid, true AS fwd, (win.p - 1)::INT AS rpos, (tw.p - 1)::INT AS tpos, (win.p - 1)::INT AS qpos FROM win JOIN tw USING (w)
@@ -226,25 +225,14 @@ cl AS (SELECT read_id, tid, fwd, anchor, sum(gain)::BIGINT AS coverage FROM g GR
 best AS (SELECT read_id, tid, fwd, anchor AS pos, coverage, coverage / length(s)::DOUBLE AS score, length(s) AS n FROM (SELECT *, row_number() OVER (PARTITION BY read_id, tid ORDER BY coverage DESC, fwd DESC, anchor) AS rn FROM cl) JOIN reads USING (read_id) WHERE rn = 1)"""
 
 
-#: The library that the SQL takes its targets from; None stands for all.
-SQL_LIBRARY = "ctrl"
-
-
-def whole(f):
-    """Register a query also with the targets of all libraries."""
-    query(name=f"{f.__name__}_all")(lambda spark, d: f(spark, d, None))
-    return f
-
-
 class Mapped:
-    """All reads against the distinct read keys of one library, or of all (None)."""
+    """All reads against their distinct read keys."""
 
-    def __init__(self, spark, d, library: str | None = None):
+    def __init__(self, spark, d):
         self.ws = Workspace(spark, "mapping")
         self.reads = table(spark, d, "read_seqs").select("read_id", "seq", "lib_code", "batch_no")
         key = S.read_key("seq")
-        of = self.reads if library is None else self.reads.where(F.col("lib_code") == library)
-        self.targets = self.ws.write(of.select("read_id", key.alias("seq")).where("seq is not null").groupBy("seq").agg(F.min("read_id").alias("tid")), "targets")
+        self.targets = self.ws.write(self.reads.select("read_id", key.alias("seq")).where("seq is not null").groupBy("seq").agg(F.min("read_id").alias("tid")), "targets")
         self.lengths = self.reads.where("seq is not null").select("read_id", F.length(S.squeeze("seq")).alias("n"))
 
     def seeds(self):
@@ -261,48 +249,42 @@ class Mapped:
 
 
 @query(f"WITH {_SEEDS} SELECT read_id, tid, fwd, count(*) AS n_seeds FROM seeds GROUP BY ALL")
-@whole
-def seed_hits(spark, d, library=SQL_LIBRARY):
+def seed_hits(spark, d):
     """#68, #84: seeds of 19 bases of every read in every target, both strands, frequent ones by a stride."""
-    return Mapped(spark, d, library).seeds().groupBy("read_id", "tid", "fwd").agg(F.count(F.lit(1)).alias("n_seeds"))
+    return Mapped(spark, d).seeds().groupBy("read_id", "tid", "fwd").agg(F.count(F.lit(1)).alias("n_seeds"))
 
 
 @query(f"WITH {_SEEDS} SELECT read_id, tid, fwd, rpos, tpos, qpos, len FROM mems")
-@whole
-def mem_merge(spark, d, library=SQL_LIBRARY):
+def mem_merge(spark, d):
     """#84: maximal exact matches that lie in no longer match of the read."""
-    return Mapped(spark, d, library).matches()
+    return Mapped(spark, d).matches()
 
 
 @query(f"WITH {_CLUSTER} SELECT read_id, tid, fwd, anchor::INT AS anchor, coverage FROM cl")
-@whole
-def vote_cluster(spark, d, library=SQL_LIBRARY):
+def vote_cluster(spark, d):
     """#110: anchored clusters of votes with their coverage."""
-    return Mapped(spark, d, library).clusters()
+    return Mapped(spark, d).clusters()
 
 
 @query(f"WITH {_CLUSTER} SELECT read_id, tid, fwd, pos::INT AS pos, coverage, round(score, 9) AS score FROM best")
-@whole
-def best_location(spark, d, library=SQL_LIBRARY):
+def best_location(spark, d):
     """#120: best place and strand of every read in every target it hits."""
-    return Mapped(spark, d, library).best().withColumn("score", F.round("score", 9))
+    return Mapped(spark, d).best().withColumn("score", F.round("score", 9))
 
 
 @query(f"""WITH {_SEEDS}, v AS (SELECT read_id, tid, fwd, tpos - rpos AS vote, len, unnest(generate_series(-4, 3)) AS d FROM mems WHERE tpos >= rpos),
 sp AS (SELECT read_id, v.tid, fwd, vote + d AS pos, round(sum(exp(-d * d / 60.0::DOUBLE) * len), 9) AS score FROM v JOIN t ON t.tid = v.tid WHERE vote + d >= 0 AND vote + d < length(t.s) GROUP BY ALL)
 SELECT read_id, tid, fwd, pos::INT AS pos, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY read_id, tid, fwd ORDER BY score DESC, pos) AS rn FROM sp) WHERE rn = 1""")
-@whole
-def kernel_location(spark, d, library=SQL_LIBRARY):
+def kernel_location(spark, d):
     """#111: best place by votes spread with a Gaussian kernel."""
-    m = Mapped(spark, d, library)
+    m = Mapped(spark, d)
     return M.kernel_locations(m.matches(), "read_id", "tid", m.targets.select("tid", F.length("seq").alias("n"))).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_CLUSTER}, few AS (SELECT read_id FROM best GROUP BY read_id HAVING count(*) <= 20) SELECT read_id, tid FROM best JOIN few USING (read_id) WHERE score >= 0.75")
-@whole
-def max_read_occ(spark, d, library=SQL_LIBRARY):
+def max_read_occ(spark, d):
     """#69, #70: hits of reads with at most 20 targets that cover three quarters of the read."""
-    m = Mapped(spark, d, library)
+    m = Mapped(spark, d)
     return M.limit_hits(m.ws.write(m.best(), "best"), "read_id", 20).where("score >= 0.75").select("read_id", "tid")
 
 
@@ -310,10 +292,9 @@ def max_read_occ(spark, d, library=SQL_LIBRARY):
   FROM best a JOIN best b USING (tid) WHERE a.read_id % 2 = 0 AND b.read_id = a.read_id + 1 AND a.score >= 0.75 AND b.score >= 0.75),
 q AS (SELECT *, CASE WHEN f1 THEN b1 ELSE b1 + n1 END AS p1, CASE WHEN f2 THEN b2 ELSE b2 + n2 END AS p2 FROM m)
 SELECT pair, tid, (abs(b1 - b2) + n2)::INT AS frag_len, round((s1 + s2) / 2, 9) AS score, {_PAIR} AS format FROM q""")
-@whole
-def mate_join(spark, d, library=SQL_LIBRARY):
+def mate_join(spark, d):
     """#83: targets that both mates (reads 2j and 2j + 1) hit."""
-    m = Mapped(spark, d, library)
+    m = Mapped(spark, d)
     b = m.ws.write(m.best().join(m.lengths, "read_id").withColumn("pair", F.floor(F.col("read_id") / 2)), "best")
     p = M.mate_pairs(b.where("read_id % 2 = 0"), b.where("read_id % 2 = 1"), "pair", "tid")
     return p.select("pair", "tid", "frag_len", F.round("score", 9).alias("score"), _joined(F.col("format")).alias("format"))
@@ -321,18 +302,16 @@ def mate_join(spark, d, library=SQL_LIBRARY):
 
 @query(f"""WITH {_SEEDS}, x AS (SELECT read_id, rpos, least(rpos - coalesce(lag(rpos) OVER (PARTITION BY read_id ORDER BY rpos), 0), 20) AS d FROM (SELECT DISTINCT read_id, rpos FROM seeds WHERE fwd))
 SELECT read_id, sum(d)::BIGINT AS covered FROM x GROUP BY read_id""")
-@whole
-def basis_covered(spark, d, library=SQL_LIBRARY):
+def basis_covered(spark, d):
     """#105: bases covered by the forward seeds of a read."""
-    return M.bases_covered(Mapped(spark, d, library).seeds().where("fwd").select("read_id", "rpos").distinct(), ["read_id"], "rpos")
+    return M.bases_covered(Mapped(spark, d).seeds().where("fwd").select("read_id", "rpos").distinct(), ["read_id"], "rpos")
 
 
 @query(f"""WITH RECURSIVE {_SEEDS}, h AS (SELECT DISTINCT read_id, tid FROM seeds), e AS (SELECT DISTINCT a.tid AS x, b.tid AS y FROM h a JOIN h b USING (read_id)),
 reach(x, r) AS (SELECT x, x FROM e UNION SELECT e.y, reach.r FROM reach JOIN e ON e.x = reach.x WHERE reach.r < e.y) SELECT x AS node, min(r) AS cluster FROM reach GROUP BY x""")
-@whole
-def target_clusters(spark, d, library=SQL_LIBRARY):
+def target_clusters(spark, d):
     """#128: targets linked by shared reads."""
-    m = Mapped(spark, d, library)
+    m = Mapped(spark, d)
     return clusters.shared_members(m.seeds().select("read_id", "tid").distinct(), "read_id", "tid")
 
 
@@ -340,10 +319,9 @@ def target_clusters(spark, d, library=SQL_LIBRARY):
 base_pairs AS (SELECT pos, instr('ACGT', substr(r, pos, 1)) - 1 AS col, instr('ACGT', substr(t, pos, 1)) - 1 AS ref, CASE WHEN pos = 1 THEN 0 ELSE instr('ACGT', substr(r, pos - 1, 1)) - 1 END AS prev
   FROM (SELECT r, t, unnest(generate_series(1, length(r)))::INT AS pos FROM al))
 SELECT pos, (4 * prev + ref)::INT AS row, col::INT AS col, count(*) AS n FROM base_pairs WHERE col >= 0 AND ref >= 0 AND prev >= 0 GROUP BY ALL""")
-@whole
-def error_matrix(spark, d, library=SQL_LIBRARY):
+def error_matrix(spark, d):
     """#141: bases of reads against the base of their targets, by position, for reads that lie in full on a target."""
-    return A.mismatch_matrix(_on_targets(Mapped(spark, d, library)), "read", "target")
+    return A.mismatch_matrix(_on_targets(Mapped(spark, d)), "read", "target")
 
 
 @query(f"""WITH {_CLUSTER}, al AS (SELECT read_id, tid, CASE WHEN fwd THEN r.s ELSE {RC.format('r.s')} END AS r, substr(t.s, pos::INT + 1, n::INT) AS t FROM best JOIN reads r USING (read_id) JOIN t USING (tid) WHERE score >= 0.75 AND pos >= 0 AND pos + n <= length(t.s)),
@@ -351,10 +329,9 @@ base_pairs AS (SELECT read_id, tid, pos, 4 * prev + ref AS row, col FROM (SELECT
   FROM (SELECT read_id, tid, r, t, unnest(generate_series(1, length(r))) AS pos FROM al)) WHERE col >= 0 AND ref >= 0 AND prev >= 0),
 m AS (SELECT pos, row, col, n, sum(n) OVER (PARTITION BY pos, row) AS whole FROM (SELECT pos, row, col, count(*) AS n FROM base_pairs GROUP BY ALL))
 SELECT read_id, tid, round(sum(ln((n + 1.0) / (whole + 4.0))), 5) AS log_p FROM base_pairs JOIN m USING (pos, row, col) GROUP BY ALL""")
-@whole
-def error_loglik(spark, d, library=SQL_LIBRARY):
+def error_loglik(spark, d):
     """#136, #141: likelihood of each read on its target under the mismatch model of all of them."""
-    m = Mapped(spark, d, library)
+    m = Mapped(spark, d)
     aligned = m.ws.write(_on_targets(m), "aligned")
     matrix = m.ws.write(A.mismatch_matrix(aligned, "read", "target"), "matrix")
     return A.error_likelihood(aligned, ["read_id", "tid"], "read", "target", matrix).withColumn("log_p", F.round("log_p", 5))
@@ -393,30 +370,27 @@ def online_model(m: Mapped) -> tuple[OnlineAbundance, DataFrame]:
 
 
 @query(_online_sql())
-@whole
-def minibatch_round(spark, d, library=SQL_LIBRARY):
+def minibatch_round(spark, d):
     """#135: one pass of the online estimation over the batches in which the reads arrived."""
-    model, hits = online_model(Mapped(spark, d, library))
+    model, hits = online_model(Mapped(spark, d))
     for b in sorted(r.batch_no for r in hits.select("batch_no").distinct().collect()):  # one row a batch
         model.update(hits.where(F.col("batch_no") == b))
     return model.shares().select("tid", F.round("log_mass", 6).alias("log_mass"), F.round("share", 7).alias("share"))
 
 
 @query(_online_sql(2))
-@whole
-def multi_pass(spark, d, library=SQL_LIBRARY):
+def multi_pass(spark, d):
     """#31, #138, J4: passes over the same written hits, until more reads were seen than one pass has."""
-    model, hits = online_model(Mapped(spark, d, library))
+    model, hits = online_model(Mapped(spark, d))
     batches = [hits.where(F.col("batch_no") == b) for b in sorted(r.batch_no for r in hits.select("batch_no").distinct().collect())]  # one row a batch
     passes(model, batches, required=hits.select("read_id").distinct().count() + 1)
     return model.shares().select("tid", F.round("log_mass", 6).alias("log_mass"), F.round("share", 7).alias("share"))
 
 
 @query(_online_sql())
-@whole
-def stream_round(spark, d, library=SQL_LIBRARY):
+def stream_round(spark, d):
     """#9, #135: the same batches as a stream of files, one file a micro-batch."""
-    m = Mapped(spark, d, library)
+    m = Mapped(spark, d)
     model, hits = online_model(m)
     for b in sorted(r.batch_no for r in hits.select("batch_no").distinct().collect()):
         hits.where(F.col("batch_no") == b).select("read_id", "tid").coalesce(1).write.mode("append").parquet(m.ws.where("arriving"))
