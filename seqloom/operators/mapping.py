@@ -17,18 +17,18 @@ def seeds(reads: DataFrame, read_id: str, seq: str, targets: DataFrame, tid: str
     targets that needs no sort, so no seed's occurrences are gathered in one task; None keeps all. After that a seed joins at
     most some max_occ rows to each of its reads, and adaptive execution splits the reads of a frequent one.
     """
-    r = K.tokenise(reads, read_id, seq, k, length="n")
-    t = K.tokenise(targets, tid, tseq, k).select("fwd", F.col(tid), F.col("pos").alias("tpos")).withColumnRenamed("fwd", "kmer")
+    r = K.tokenise(reads, read_id, seq, k, length="n").select(read_id, F.col("pos").alias("qpos"), "n", F.least("fwd", "rev").alias("kmer"), F.col("fwd").alias("rf"))
+    t = K.tokenise(targets, tid, tseq, k).select("fwd", "rev", F.col(tid), F.col("pos").alias("tpos"))
     if max_occ is not None:
-        many = t.groupBy("kmer").agg(F.count(F.lit(1)).alias("n_occ")).where(F.col("n_occ") > max_occ)
+        many = t.groupBy("fwd").agg(F.count(F.lit(1)).alias("n_occ")).where(F.col("n_occ") > max_occ)
         step = F.ceil(F.coalesce("n_occ", F.lit(1)) / F.lit(max_occ))
-        t = t.join(many, "kmer", "left").where(F.pmod(F.col(tid) + F.col("tpos"), step) == 0).drop("n_occ")
-    both = F.array(
-        F.struct(F.col("fwd").alias("kmer"), F.lit(True).alias("fwd"), F.col("pos").alias("rpos")),
-        F.struct(F.col("rev").alias("kmer"), F.lit(False).alias("fwd"), (F.col("n") - k - F.col("pos")).cast("int").alias("rpos")),
-    )
-    r = r.select(read_id, F.col("pos").alias("qpos"), F.explode(both).alias("x")).select(read_id, "qpos", "x.kmer", "x.fwd", "x.rpos")
-    return r.join(t, "kmer").select(read_id, tid, "fwd", "rpos", "tpos", "qpos")
+        t = t.join(many, "fwd", "left").where(F.pmod(F.col(tid) + F.col("tpos"), step) == 0)
+    # both strands meet under the canonical k-mer, so a window is one row
+    t = t.select(tid, "tpos", F.least("fwd", "rev").alias("kmer"), F.col("fwd").alias("tf"), F.col("rev").alias("tr"))
+    hits = r.join(t, "kmer")
+    same = F.array_compact(F.array(F.when(F.col("rf") == F.col("tf"), F.lit(True)), F.when(F.col("rf") == F.col("tr"), F.lit(False))))
+    hits = hits.select(read_id, tid, F.explode(same).alias("fwd"), "qpos", "tpos", "n") if k % 2 == 0 else hits.withColumn("fwd", F.col("rf") == F.col("tf"))
+    return hits.select(read_id, tid, "fwd", F.when(F.col("fwd"), F.col("qpos")).otherwise((F.col("n") - k - F.col("qpos")).cast("int")).alias("rpos"), "tpos", "qpos")
 
 
 def exact_matches(hits: DataFrame, read_id: str, tid: str, k: int) -> DataFrame:

@@ -369,11 +369,18 @@ def online_model(m: Mapped) -> tuple[OnlineAbundance, DataFrame]:
     return model, hits
 
 
+def _batch_numbers(m: Mapped) -> range:
+    """Numbers of the batches in which reads arrive, from 0; at least as many as SQL writes out. A batch without a hit counts in the schedule."""
+    last = m.reads.agg(F.max("batch_no")).first()[0]
+    return range(max(_BATCHES, 1 + (last or 0)))
+
+
 @query(_online_sql())
 def minibatch_round(spark, d):
     """#135: one pass of the online estimation over the batches in which the reads arrived."""
-    model, hits = online_model(Mapped(spark, d))
-    for b in sorted(r.batch_no for r in hits.select("batch_no").distinct().collect()):  # one row a batch
+    m = Mapped(spark, d)
+    model, hits = online_model(m)
+    for b in _batch_numbers(m):  # one row a batch
         model.update(hits.where(F.col("batch_no") == b))
     return model.shares().select("tid", F.round("log_mass", 6).alias("log_mass"), F.round("share", 7).alias("share"))
 
@@ -381,8 +388,9 @@ def minibatch_round(spark, d):
 @query(_online_sql(2))
 def multi_pass(spark, d):
     """#31, #138, J4: passes over the same written hits, until more reads were seen than one pass has."""
-    model, hits = online_model(Mapped(spark, d))
-    batches = [hits.where(F.col("batch_no") == b) for b in sorted(r.batch_no for r in hits.select("batch_no").distinct().collect())]  # one row a batch
+    m = Mapped(spark, d)
+    model, hits = online_model(m)
+    batches = [hits.where(F.col("batch_no") == b) for b in _batch_numbers(m)]  # one row a batch
     passes(model, batches, required=hits.select("read_id").distinct().count() + 1)
     return model.shares().select("tid", F.round("log_mass", 6).alias("log_mass"), F.round("share", 7).alias("share"))
 
@@ -392,7 +400,7 @@ def stream_round(spark, d):
     """#9, #135: the same batches as a stream of files, one file a micro-batch."""
     m = Mapped(spark, d)
     model, hits = online_model(m)
-    for b in sorted(r.batch_no for r in hits.select("batch_no").distinct().collect()):
+    for b in _batch_numbers(m):
         hits.where(F.col("batch_no") == b).select("read_id", "tid").coalesce(1).write.mode("append").parquet(m.ws.where("arriving"))
     stream = spark.readStream.schema("read_id long, tid long").option("maxFilesPerTrigger", 1).parquet(m.ws.where("arriving"))
     model.follow(stream, m.ws.where("progress")).awaitTermination()

@@ -293,6 +293,22 @@ def test_frequent_seeds_are_thinned(spark):
     assert (m.rpos, m.tpos, m.qpos, m.len) == (0, 905, 0, 35)
 
 
+@pytest.mark.parametrize("k", [4, 5])
+def test_seeds_of_both_strands(spark, k):
+    rng = random.Random(k)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    targets, reads = [(i, text(30)) for i in range(4)], [(i, text(12)) for i in range(20)] + [(99, "ACGTACGT")]
+    rc = lambda w: w[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    expected = Counter()
+    for i, s in reads:
+        for fwd, x in ((True, s), (False, rc(s))):
+            for p in range(len(x) - k + 1):
+                q = p if fwd else len(x) - k - p
+                expected.update((i, t, fwd, p, u, q) for t, y in targets for u in range(len(y) - k + 1) if y[u : u + k] == x[p : p + k])
+    got = mapping.seeds(spark.createDataFrame(reads, "read_id long, s string"), "read_id", "s", spark.createDataFrame(targets, "tid long, s string"), "tid", "s", k)
+    assert Counter(map(tuple, got.collect())) == expected
+
+
 def test_super_maximal_matches(spark):
     rng = random.Random(8)
     rows = [(rng.randint(0, 5), rng.randint(0, 3), rng.random() < 0.5, 0, 0, q := rng.randint(0, 30), rng.randint(19, 50 - q)) for _ in range(120)]
