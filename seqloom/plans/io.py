@@ -12,7 +12,7 @@ from ..operators import kmers as K
 from ..sources import sinks, text
 from ..streaming.online import stream_fasta
 from . import mapping, quant
-from .counting import COUNTS, canonical, k_, reads, windows
+from .counting import COUNTS, k_
 from .quant import TK, hits
 from .registry import Registry
 from .workspace import Workspace, table

@@ -10,7 +10,7 @@ from ..operators import abundance as A
 from ..operators import index as I
 from ..operators import kmers as K
 from ..operators import learners
-from .counting import COUNTS, RC, canonical, k_, reads, windows
+from .counting import RC, k_, reads, windows
 from .registry import Registry
 from .workspace import Workspace, table
 
