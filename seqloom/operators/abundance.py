@@ -405,7 +405,7 @@ def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Regularised incomplete beta function, for 0 < x < 1; its continued fraction by the modified Lentz method, for all rows at once."""
     turned = x > (a + 1) / (a + b + 2)
     p, q, z = np.where(turned, b, a), np.where(turned, a, b), np.where(turned, 1 - x, x)
-    front = np.exp(p * np.log(z) + q * np.log1p(-z) + _log_gamma(p + q) - _log_gamma(p) - _log_gamma(q)) / p
+    front = np.exp(p * np.log(np.maximum(z, 1e-300)) + q * np.log1p(-z) + _log_gamma(p + q) - _log_gamma(p) - _log_gamma(q)) / p
     away = lambda u: np.where(np.abs(u) < 1e-300, 1e-300, u)
     c, d = np.ones(len(x)), 1.0 / away(1 - (p + q) * z / (p + 1))
     f = d.copy()
