@@ -6,6 +6,8 @@ made from the class hits: flag, position and quality are arithmetic on hit_id an
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -226,50 +228,66 @@ best AS (SELECT read_id, tid, fwd, anchor AS pos, coverage, coverage / length(s)
 
 
 class Mapped:
-    """All reads against their distinct read keys."""
+    """All reads against their distinct read keys.
+
+    Equal reads have equal hits, so each text is mapped once, under the least read_id that has it, and what was found is given to its
+    other reads in the end (``every``): a read that a tenth of all rows repeat costs no more than another.
+    """
 
     def __init__(self, spark, d):
         self.ws = Workspace(spark, "mapping")
-        self.reads = table(spark, d, "read_seqs").select("read_id", "seq", "lib_code", "batch_no")
-        key = S.read_key("seq")
-        self.targets = self.ws.write(self.reads.select("read_id", key.alias("seq")).where("seq is not null").groupBy("seq").agg(F.min("read_id").alias("tid")), "targets")
-        self.lengths = self.reads.where("seq is not null").select("read_id", F.length(S.squeeze("seq")).alias("n"))
-
-    def seeds(self):
-        return M.seeds(self.reads, "read_id", "seq", self.targets, "tid", "seq", SEED, MAX_OCC)
-
-    def matches(self):
+        self.reads = table(spark, d, "read_seqs").select("read_id", "seq", "batch_no")
+        texts = self.reads.where("seq is not null").select("read_id", S.squeeze("seq").alias("seq"))
+        self.texts = self.ws.write(texts.groupBy("seq").agg(F.min("read_id").alias("read_id")), "texts")
+        self.targets = self.ws.write(self.texts.select("read_id", S.read_key("seq").alias("seq")).where("seq is not null").groupBy("seq").agg(F.min("read_id").alias("tid")), "targets")
+        self.lengths = texts.select("read_id", F.length("seq").alias("n"))
+
+    def every(self, found: DataFrame) -> DataFrame:
+        """What was found of texts, of all their reads."""
+        same = self.texts.select("seq", F.col("read_id").alias("first"))
+        copies = self.reads.where("seq is not null").select(F.col("read_id").alias("copy"), S.squeeze("seq").alias("seq")).join(same, "seq").where("copy <> first").select("copy", "first")
+        found = self.ws.write(found, f"found-{uuid.uuid4().hex[:8]}")
+        return found.unionByName(found.join(copies, F.col("read_id") == F.col("first")).withColumn("read_id", F.col("copy")).select(*found.columns))
+
+    def seeds(self) -> DataFrame:
+        return M.seeds(self.texts, "read_id", "seq", self.targets, "tid", "seq", SEED, MAX_OCC)
+
+    def matches(self) -> DataFrame:
         return M.super_maximal(self.ws.write(M.exact_matches(self.seeds(), "read_id", "tid", SEED), "maximal"), "read_id")
 
-    def clusters(self):
+    def clusters(self) -> DataFrame:
         return M.clusters(self.ws.write(self.matches(), "matches"), "read_id", "tid")
 
-    def best(self):
-        return M.best_locations(self.clusters(), "read_id", "tid", self.lengths)
+    def best(self) -> DataFrame:
+        return M.best_locations(self.clusters(), "read_id", "tid", self.texts.select("read_id", F.length("seq").alias("n")))
 
 
 @query(f"WITH {_SEEDS} SELECT read_id, tid, fwd, count(*) AS n_seeds FROM seeds GROUP BY ALL")
 def seed_hits(spark, d):
     """#68, #84: seeds of 19 bases of every read in every target, both strands, frequent ones by a stride."""
-    return Mapped(spark, d).seeds().groupBy("read_id", "tid", "fwd").agg(F.count(F.lit(1)).alias("n_seeds"))
+    m = Mapped(spark, d)
+    return m.every(m.seeds().groupBy("read_id", "tid", "fwd").agg(F.count(F.lit(1)).alias("n_seeds")))
 
 
 @query(f"WITH {_SEEDS} SELECT read_id, tid, fwd, rpos, tpos, qpos, len FROM mems")
 def mem_merge(spark, d):
     """#84: maximal exact matches that lie in no longer match of the read."""
-    return Mapped(spark, d).matches()
+    m = Mapped(spark, d)
+    return m.every(m.matches())
 
 
 @query(f"WITH {_CLUSTER} SELECT read_id, tid, fwd, anchor::INT AS anchor, coverage FROM cl")
 def vote_cluster(spark, d):
     """#110: anchored clusters of votes with their coverage."""
-    return Mapped(spark, d).clusters()
+    m = Mapped(spark, d)
+    return m.every(m.clusters())
 
 
 @query(f"WITH {_CLUSTER} SELECT read_id, tid, fwd, pos::INT AS pos, coverage, round(score, 9) AS score FROM best")
 def best_location(spark, d):
     """#120: best place and strand of every read in every target it hits."""
-    return Mapped(spark, d).best().withColumn("score", F.round("score", 9))
+    m = Mapped(spark, d)
+    return m.every(m.best()).withColumn("score", F.round("score", 9))
 
 
 @query(f"""WITH {_SEEDS}, v AS (SELECT read_id, tid, fwd, tpos - rpos AS vote, len, unnest(generate_series(-4, 3)) AS d FROM mems WHERE tpos >= rpos),
@@ -278,14 +296,14 @@ SELECT read_id, tid, fwd, pos::INT AS pos, round(score, 6) AS score FROM (SELECT
 def kernel_location(spark, d):
     """#111: best place by votes spread with a Gaussian kernel."""
     m = Mapped(spark, d)
-    return M.kernel_locations(m.matches(), "read_id", "tid", m.targets.select("tid", F.length("seq").alias("n"))).withColumn("score", F.round("score", 6))
+    return m.every(M.kernel_locations(m.matches(), "read_id", "tid", m.targets.select("tid", F.length("seq").alias("n")))).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_CLUSTER}, few AS (SELECT read_id FROM best GROUP BY read_id HAVING count(*) <= 20) SELECT read_id, tid FROM best JOIN few USING (read_id) WHERE score >= 0.75")
 def max_read_occ(spark, d):
     """#69, #70: hits of reads with at most 20 targets that cover three quarters of the read."""
     m = Mapped(spark, d)
-    return M.limit_hits(m.ws.write(m.best(), "best"), "read_id", 20).where("score >= 0.75").select("read_id", "tid")
+    return m.every(M.limit_hits(m.ws.write(m.best(), "best"), "read_id", 20).where("score >= 0.75").select("read_id", "tid"))
 
 
 @query(f"""WITH {_CLUSTER}, m AS (SELECT a.read_id // 2 AS pair, tid, a.fwd AS f1, b.fwd AS f2, a.pos AS b1, b.pos AS b2, a.n AS n1, b.n AS n2, a.score AS s1, b.score AS s2
@@ -295,7 +313,7 @@ SELECT pair, tid, (abs(b1 - b2) + n2)::INT AS frag_len, round((s1 + s2) / 2, 9)
 def mate_join(spark, d):
     """#83: targets that both mates (reads 2j and 2j + 1) hit."""
     m = Mapped(spark, d)
-    b = m.ws.write(m.best().join(m.lengths, "read_id").withColumn("pair", F.floor(F.col("read_id") / 2)), "best")
+    b = m.ws.write(m.every(m.best()).join(m.lengths, "read_id").withColumn("pair", F.floor(F.col("read_id") / 2)), "best")
     p = M.mate_pairs(b.where("read_id % 2 = 0"), b.where("read_id % 2 = 1"), "pair", "tid")
     return p.select("pair", "tid", "frag_len", F.round("score", 9).alias("score"), _joined(F.col("format")).alias("format"))
 
@@ -304,13 +322,14 @@ def mate_join(spark, d):
 SELECT read_id, sum(d)::BIGINT AS covered FROM x GROUP BY read_id""")
 def basis_covered(spark, d):
     """#105: bases covered by the forward seeds of a read."""
-    return M.bases_covered(Mapped(spark, d).seeds().where("fwd").select("read_id", "rpos").distinct(), ["read_id"], "rpos")
+    m = Mapped(spark, d)
+    return m.every(M.bases_covered(m.seeds().where("fwd").select("read_id", "rpos").distinct(), ["read_id"], "rpos"))
 
 
 @query(f"""WITH RECURSIVE {_SEEDS}, h AS (SELECT DISTINCT read_id, tid FROM seeds), e AS (SELECT DISTINCT a.tid AS x, b.tid AS y FROM h a JOIN h b USING (read_id)),
 reach(x, r) AS (SELECT x, x FROM e UNION SELECT e.y, reach.r FROM reach JOIN e ON e.x = reach.x WHERE reach.r < e.y) SELECT x AS node, min(r) AS cluster FROM reach GROUP BY x""")
 def target_clusters(spark, d):
-    """#128: targets linked by shared reads."""
+    """#128: targets linked by shared reads; equal reads link the same ones."""
     m = Mapped(spark, d)
     return clusters.shared_members(m.seeds().select("read_id", "tid").distinct(), "read_id", "tid")
 
@@ -339,7 +358,7 @@ def error_loglik(spark, d):
 
 def _on_targets(m: Mapped) -> DataFrame:
     """(read_id, tid, read, target): reads in the direction of the target they lie on in full, and its text there."""
-    b = m.best().where("score >= 0.75").join(m.reads.select("read_id", S.squeeze("seq").alias("r")), "read_id").join(m.targets.select("tid", F.col("seq").alias("t")), "tid")
+    b = m.every(m.best().where("score >= 0.75")).join(m.reads.select("read_id", S.squeeze("seq").alias("r")), "read_id").join(m.targets.select("tid", F.col("seq").alias("t")), "tid")
     r = F.when(F.col("fwd"), F.col("r")).otherwise(S.reverse_complement("r"))
     n = F.length("r")
     return b.where((F.col("pos") >= 0) & (F.col("pos") + n <= F.length("t"))).select("read_id", "tid", r.alias("read"), F.substring("t", F.col("pos") + 1, n).alias("target"))
@@ -365,7 +384,7 @@ def _online_sql(passes: int = 1) -> str:
 
 def online_model(m: Mapped) -> tuple[OnlineAbundance, DataFrame]:
     model = OnlineAbundance(m.targets.select("tid", F.length("seq").alias("length")))
-    hits = m.ws.write(m.seeds().select("read_id", "tid").distinct().join(m.reads.select("read_id", "batch_no"), "read_id"), "hits", ["batch_no"])
+    hits = m.ws.write(m.every(m.seeds().select("read_id", "tid").distinct()).join(m.reads.select("read_id", "batch_no"), "read_id"), "hits", ["batch_no"])
     return model, hits
 
 
@@ -467,7 +486,7 @@ def forgetting_mass(spark, d):
 def bias_corrected(spark, d):
     """#144, #145, #146, #147: reads per target corrected for composition."""
     m = Mapped(spark, d)
-    n = m.best().where("score >= 0.75").groupBy(F.col("tid").alias("name")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    n = m.every(m.best().where("score >= 0.75").select("read_id", "tid")).groupBy(F.col("tid").alias("name")).agg(F.count(F.lit(1)).cast("double").alias("value"))
     return bias.correct(m.ws.write(n, "values"), m.ws.write(I.composition(m.targets, "tid", "seq"), "features"), "value")
 
 
@@ -475,7 +494,7 @@ def bias_corrected(spark, d):
 def polytope_counts(spark, d):
     """#139: reads of targets clamped to what is possible: at least the reads that hit no other target, at most all that hit it."""
     m = Mapped(spark, d)
-    h = m.ws.write(m.seeds().select("read_id", "tid").distinct(), "hits")
+    h = m.ws.write(m.every(m.seeds().select("read_id", "tid").distinct()), "hits")
     n = h.groupBy("read_id").agg(F.count(F.lit(1)).alias("n"))
     per = h.join(n, "read_id").groupBy("tid").agg(F.sum(1 / F.col("n")).alias("est"), F.count_if(F.col("n") == 1).cast("double").alias("uniq"), F.count(F.lit(1)).cast("double").alias("total"))
     c = clusters.shared_members(h, "read_id", "tid").withColumnRenamed("node", "tid")
