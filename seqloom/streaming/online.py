@@ -167,13 +167,13 @@ def _in_order(arrow, weights: dict[int, float]):
         yield pa.RecordBatch.from_arrays([pa.array(model[0][j]), pa.array(model[2][j]), pa.array(model[1][j])], ["tid", "length", "log_mass"])
 
 
-def passes(model: OnlineAbundance, batches: list[DataFrame], required: int, most: int = 10) -> int:
+def passes(model: OnlineAbundance, hits: DataFrame, batch: str, numbers: Iterable[int], required: int, most: int = 10) -> int:
     """Go over the batches again until ``required`` reads were seen, at most ``most`` times; returns the reads seen."""
-    seen = 0
+    numbers, seen = list(numbers), 0
+    once = hits.where(F.col(batch).between(numbers[0], numbers[-1])).select(batch, "read_id").distinct().count()
     for _ in range(most):
-        for b in batches:
-            model.update(b)
-            seen += b.select("read_id").distinct().count()
+        model.update_in_order(hits, batch, numbers)
+        seen += once
         if seen >= required or not seen:
             break
     return seen

@@ -15,7 +15,7 @@ from seqloom.operators import index as I
 from seqloom.operators.references import OrphanLedger, reference_key, replay
 from seqloom.operators.skew import dominating, per_key
 from seqloom.sources import sinks, text
-from seqloom.streaming.online import OnlineAbundance
+from seqloom.streaming.online import OnlineAbundance, passes
 
 
 def test_read_key(spark):
@@ -371,6 +371,7 @@ def test_online_batches_in_order(spark):
             got = {r.tid: r.log_mass for r in m.state.collect()}
             assert got == pytest.approx(want, abs=1e-9)
         assert arrays.log_weight == one.log_weight and arrays.step == one.step == 8
+    assert passes(arrays, hits, "b", range(8), required=301) == 600 and arrays.step == 24
 
 
 # -- files
