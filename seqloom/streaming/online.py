@@ -99,11 +99,19 @@ class OnlineAbundance:
         whole = s.agg(F.sum("e").alias("w"))
         return s.join(F.broadcast(whole)).select("tid", "log_mass", (F.col("e") / F.col("w")).alias("share"))
 
-    def follow(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
-        """Update from every micro-batch of a stream of hits. Batches are applied in order, each once per run."""
+    def follow(self, stream: DataFrame, checkpoint: str, batch: str | None = None) -> StreamingQuery:
+        """Update from every micro-batch of a stream of hits. Batches are applied in order, each once per run. A micro-batch is a batch,
+        or, with a column ``batch``, all batches from the first one that has not come to the last one in it."""
+        following = [0]
 
         def each(df: DataFrame, _: int) -> None:
-            self.update(df)
+            if batch is None:
+                self.update(df)
+                return
+            last = df.agg(F.max(batch)).first()[0]
+            if last is not None and last >= following[0]:
+                self.update_in_order(df, batch, range(following[0], last + 1))
+                following[0] = last + 1
 
         return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -352,22 +352,26 @@ def test_online_shares(spark):
     assert sum(s.values()) == pytest.approx(1) and s[1] > s[2] > 0 and set(s) == {1, 2, 3}
 
 
-def test_online_batches_in_order(spark):
-    """All batches in one task, over tables, and one by one give the same masses; batch 3 is empty, batch 9 is not asked for."""
+def test_online_batches_in_order(spark, tmp_path):
+    """All batches in one task, over tables, one by one and from a stream give the same masses; batch 3 is empty, batch 9 is not asked for."""
     rng = random.Random(5)
     targets = spark.createDataFrame([(t, rng.choice([None, 50, 200])) for t in range(0, 60, 2)], "tid long, length int")
     rows = [(r, rng.randrange(70), r % 6 + (r % 6 >= 3), rng.choice([None, -1.0, -0.2, 0.0])) for r in range(300) for _ in range(4)] + [(7, 2, 9, 0.0), (8, 2, None, 0.0)]
     hits = spark.createDataFrame(rows, "read_id long, tid long, b int, log_p double")
     for h in (hits, hits.drop("log_p")):
-        one, arrays, tables = (OnlineAbundance(targets) for _ in range(3))
+        one, arrays, tables, stream = (OnlineAbundance(targets) for _ in range(4))
         for b in range(8):
             one.update(h.where(F.col("b") == b))
         jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
         arrays.update_in_order(h, "b", range(8))
         assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - jobs < 8  # not a few for each batch
         tables.update_in_order(h, "b", range(8), most_targets=3)
+        folder = f"file://{tmp_path}/{len(h.columns)}"
+        for lo, hi in ((0, 3), (4, 7)):
+            h.where(F.col("b").between(lo, hi)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream.follow(spark.readStream.schema(h.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), f"{folder}/progress", "b").awaitTermination()
         want = {r.tid: r.log_mass for r in one.state.collect()}
-        for m in (arrays, tables):
+        for m in (arrays, tables, stream):
             got = {r.tid: r.log_mass for r in m.state.collect()}
             assert got == pytest.approx(want, abs=1e-9)
         assert arrays.log_weight == one.log_weight and arrays.step == one.step == 8
