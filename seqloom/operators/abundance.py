@@ -408,33 +408,53 @@ def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     front = np.exp(p * np.log(np.maximum(z, 1e-300)) + q * np.log1p(-z) + _log_gamma(p + q) - _log_gamma(p) - _log_gamma(q)) / p
     away = lambda u: np.where(np.abs(u) < 1e-300, 1e-300, u)
     c, d = np.ones(len(x)), 1.0 / away(1 - (p + q) * z / (p + 1))
-    f = d.copy()
+    f, left = d.copy(), np.arange(len(x))  # rows that have not converged go on
+    value = d.copy()
     for m in range(1, 20_000):
         even = m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m))
         d, c = 1.0 / away(1 + even * d), away(1 + even / c)
-        f *= c * d
+        f = f * c * d
         odd = -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))
         d, c = 1.0 / away(1 + odd * d), away(1 + odd / c)
-        f *= c * d
-        if (np.abs(c * d - 1) < 1e-14).all():
-            break
-    out = front * f
+        f = f * c * d
+        go = np.abs(c * d - 1) >= 1e-14
+        if not go.all():
+            value[left[~go]] = f[~go]
+            p, q, z, c, d, f, left = (v[go] for v in (p, q, z, c, d, f, left))
+            if not len(left):
+                break
+    value[left] = f
+    out = front * value
     return np.where(turned, 1 - out, out)
 
 
 def beta_quantile(a: np.ndarray, b: np.ndarray, p: float) -> np.ndarray:
-    """Quantile of Beta(a, b), by bisection of all rows at once."""
-    low, high = np.zeros(len(a)), np.ones(len(a))
-    for _ in range(60):
-        mid = (low + high) / 2
-        less = incomplete_beta(a, b, mid) < p
-        low, high = np.where(less, mid, low), np.where(less, high, mid)
-    return (low + high) / 2
+    """Quantile of Beta(a, b): Newton's method for ln F(ln x), which is concave, from the mean; a step that leaves the bracket halves it."""
+    low, high, x = np.zeros(len(a)), np.ones(len(a)), np.clip(a / (a + b), 1e-300, 1 - 1e-16)
+    log_beta = _log_gamma(a) + _log_gamma(b) - _log_gamma(a + b)
+    left = np.arange(len(a))
+    for _ in range(100):
+        if not len(left):
+            break
+        u, al, bl = x[left], a[left], b[left]
+        f = incomplete_beta(al, bl, u)
+        less = f < p
+        low[left], high[left] = np.where(less, u, low[left]), np.where(less, high[left], u)
+        with np.errstate(all="ignore"):
+            slope = np.exp(al * np.log(u) + bl * np.log1p(-u) - log_beta[left]) / f
+            new = u * np.exp((math.log(p) - np.log(f)) / slope)
+        outside = ~((new > low[left]) & (new < high[left]))
+        new = np.where(outside, (low[left] + high[left]) / 2, new)
+        x[left] = new
+        left = left[(np.abs(new - u) > 1e-9 * u) & (high[left] - low[left] > 1e-18)]
+    return x
 
 
 def intervals(means: DataFrame, classes: DataFrame, alpha: float = 0.1) -> DataFrame:
     """(tid, mean, low, high): posterior share of each target and its central 95 % interval, of the converged means (tid, mean) of :func:`solve`
     under a Dirichlet prior ``alpha``: the parameter of a target is its mean times the total, and its share has a beta distribution."""
+    # read twice, so written: the rounds of solve are not taken again
+    means = Workspace(means.sparkSession, "intervals").write(means.select("tid", "mean"), "means")
     total = means.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(classes.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("c"))))  # two single rows
     x = means.join(F.broadcast(total.select((F.lit(alpha) * F.col("n") + F.col("c")).alias("t")))).select("tid", "mean", (F.col("mean") * F.col("t")).alias("a"), ((1 - F.col("mean")) * F.col("t")).alias("b"))
 
@@ -446,7 +466,8 @@ def intervals(means: DataFrame, classes: DataFrame, alpha: float = 0.1) -> DataF
             low[ok], high[ok] = beta_quantile(a[ok], b[ok], 0.025), beta_quantile(a[ok], b[ok], 0.975)
             yield f[["tid", "mean"]].assign(low=low, high=high)
 
-    return x.mapInPandas(run, "tid long, mean double, low double, high double")
+    # few rows, of much work each: as many tasks as there are cores
+    return x.repartition(x.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, "tid long, mean double, low double, high double")
 
 
 def running_log_mass(n: Column, forgetting: float) -> Column:
