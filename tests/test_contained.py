@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.functions.packing import buffers
+from seqloom.operators import bias
 from seqloom.operators import containment as C
 from seqloom.operators import mapping as M
 from seqloom.plans import mapping as P
@@ -61,6 +62,15 @@ def test_best_places_are_those_of_the_joined_seeds(spark, tmp_path, monkeypatch,
     assert Counter(map(tuple, P.max_read_occ(spark, d).collect())) == Counter(map(tuple, few.collect()))
 
 
+def test_reads_of_targets_are_those_of_the_joined_seeds(spark, tmp_path, monkeypatch):
+    d = _write(spark, tmp_path, _odd_reads())
+    monkeypatch.setattr(bias, "correct", lambda values, features, value: values.join(features, "name").select("name", value, "length"))
+    old = P.Mapped(spark, d)
+    n = Counter(r.tid for r in old.every(old.best().where("score >= 0.75").select("read_id", "tid")).collect())
+    size = {r.tid: len(r.seq) for r in old.targets.collect()}
+    assert {(r.name, r.value, r.length) for r in P.bias_corrected(spark, d).collect()} == {(t, float(c), size[t]) for t, c in n.items()}
+
+
 def test_packed_texts_come_back():
     import pyarrow as pa
 
@@ -76,12 +86,13 @@ def _shuffled(spark):
     return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
 
 
-@pytest.mark.parametrize("query", ["max_read_occ"])
-def test_seeds_are_not_shuffled(spark, tmp_path, query):
+@pytest.mark.parametrize("query", ["bias_corrected", "max_read_occ"])
+def test_seeds_are_not_shuffled(spark, tmp_path, monkeypatch, query):
     rnd = random.Random(3)
     genome = "".join(rnd.choice("ACGT") for _ in range(12_000))
     texts = [genome[i : i + 100] for i in (rnd.randrange(len(genome) - 100) for _ in range(4_000))]
     d = _write(spark, tmp_path, texts)
+    monkeypatch.setattr(bias, "correct", lambda values, features, value: values.join(features, "name"))
     begin = _shuffled(spark)
     getattr(P, query)(spark, d).write.format("noop").mode("overwrite").save()
     assert _shuffled(spark) - begin < 5 * 100 * len(texts)
